@@ -37,6 +37,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivel.llm.toxicity import held_out, toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivel.llm.simhash import near_duplicates
 
