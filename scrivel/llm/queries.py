@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import table
+from scrivel.llm.common import table, work_dir
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivel.llm.warc import read_archive, write_archive
+
+    path = f"{work_dir(spark)}/scrivel/archive-{uuid.uuid4().hex}"
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +41,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivel.llm.secret_scan import RULES, Ledger, listed, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, Ledger(spark, f"{work_dir(spark)}/scrivel/ledger-{uuid.uuid4().hex}"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    names = listed(F.col("spans"))
+    return found.select("doc_id", *(count(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES)), F.sha2(names, 256).alias("base_sha256"), names.alias("spans"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivel.llm.substring_dedup import repeated_passages
 
@@ -55,5 +75,33 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, name, pat, grp, least) AS (VALUES
+  (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 18), (2, 'hex', '[0-9a-f]{16,}', 0, 16)),
+m AS (SELECT r, kind, name, least,
+  CASE kind WHEN 0 THEN regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) ELSE regexp_extract_all(t, '[0-9a-f]{16,}', 0) END AS w,
+  CASE kind WHEN 0 THEN regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) ELSE regexp_extract_all(t, '[0-9a-f]{16,}', 0) END AS g,
+  CASE kind WHEN 0 THEN string_split_regex(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') WHEN 1 THEN string_split_regex(t, 'AKIA[A-Z0-9]+') ELSE string_split_regex(t, '[0-9a-f]{16,}') END AS gaps
+  FROM d, k),
+u AS (SELECT r, kind, name, least, unnest(w) AS w, unnest(g) AS g, unnest(gaps[1:len(w)]) AS gap, unnest(range(len(w))) AS i FROM m WHERE len(w) > 0),
+p AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM u),
+s AS (SELECT r, kind, name, e - length(w) AS b, e FROM p WHERE length(g) >= least),
+f AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h,
+  string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (r)
+"""
+
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT page_id, octet_length(encode(t)) AS n, sha256(t) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM q WHERE n >= 100 GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to FROM q LEFT JOIN f USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": OP1, "op3_warc": OP3}
