@@ -33,6 +33,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivel.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +71,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivel.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivel.llm.simhash import near_duplicates
 
