@@ -93,13 +93,15 @@ def pieces(rule: Rule, kind: int) -> Column:
 
 
 def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, version: str = "1", text_col: str = "text") -> DataFrame:
-    """docs with `spans`, the findings of each row's text (empty if there are none): an array of (start, kind, end) in code points, the end exclusive; kind is the rule's number."""
+    """docs with `spans`, the findings of each row's text (empty if there are none): an array of (start, kind, end) in code points, the end exclusive; kind is the rule's number. A column `spans` of docs is replaced."""
     ledger.add(docs, rules, version, text_col)
     found = written(ledger.findings(version), "findings").select(F.col("blob").alias("scan_blob"), F.col("spans").alias("scan_spans"))
-    key = blob_id(text_col)
-    joined = docs.withColumn("scan_key", key).join(found, F.col("scan_key") == F.col("scan_blob"), "left")
+    kept = [c for c in docs.columns if c != "spans"]
+    # whatever the columns of docs are called, they don't clash
+    rows = docs.select(blob_id(text_col).alias("scan_key"), *(F.col(c).alias(f"in_{i}") for i, c in enumerate(kept)))
+    joined = rows.join(found, F.col("scan_key") == F.col("scan_blob"), "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return joined.select(*(docs[c] for c in docs.columns), F.coalesce("scan_spans", none).alias("spans"))
+    return joined.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)), F.coalesce("scan_spans", none).alias("spans"))
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
