@@ -14,8 +14,14 @@ from scrivel.parser.lexer import PATTERN
 from scrivel.parser.reader import CHANNELS, DROPPED, METADATA, TABLES
 
 JAVA = f"(?s)({PATTERN})"
-BY_DOC = Window.partitionBy("doc_id").orderBy("pos")
-SO_FAR = BY_DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by_doc():
+    return Window.partitionBy("doc_id").orderBy("pos")
+
+
+def so_far():
+    return by_doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
@@ -34,7 +40,7 @@ def tokenize(docs: DataFrame) -> DataFrame:
 def with_groups(tokens: DataFrame) -> DataFrame:
     """Adds depth (after the token), level (of the group the token belongs to, its braces included) and group (the position of that group's opening)."""
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    deep = tokens.withColumn("depth", F.sum(step).over(SO_FAR))
+    deep = tokens.withColumn("depth", F.sum(step).over(so_far()))
     level = F.col("depth") + F.when(F.col("kind") == "close", 1).otherwise(0)
     opened = F.when(F.col("kind") == "open", F.col("pos"))
     at_level = Window.partitionBy("doc_id", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -49,7 +55,7 @@ def errors(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     checked = sized.select("doc_id", "large", (F.length(left) > 0).alias("odd"), F.regexp_replace("rtf", "[\\n\\r\\t]", "").alias("rtf"))
     groups = with_groups(tokenize(checked.where("NOT large AND NOT odd").select("doc_id", "rtf")))
     solid = groups.withColumn("solid", ~((F.col("kind") == "text") & (F.trim("text") == "")))
-    nth = F.sum(F.col("solid").cast("int")).over(SO_FAR)
+    nth = F.sum(F.col("solid").cast("int")).over(so_far())
     per = solid.withColumn("nth", nth).groupBy("doc_id").agg(
         F.min("depth").alias("low"), F.max("depth").alias("high"), F.max_by("depth", "pos").alias("last"),
         F.bool_or(F.col("solid") & (F.col("nth") == 1) & (F.col("kind") == "open")).alias("first"), F.bool_or(F.col("solid") & (F.col("nth") == 2) & F.col("word").eqNullSafe("rtf")).alias("second"),
@@ -68,26 +74,26 @@ HIDDEN = sorted(METADATA | DROPPED | {*TABLES, *CHANNELS, "bkmkend", "bkmkstart"
 
 def without_hidden(groups: DataFrame) -> DataFrame:
     """Tokens outside groups that begin with a hidden destination, or with \\* and a word that isn't shown. Openings and ends of such groups are counted, which is an anti-join of intervals without a join."""
-    before, before2 = F.lag("kind", 1).over(BY_DOC), F.lag("kind", 2).over(BY_DOC)
-    star = (before == "symbol") & (F.lag("text", 1).over(BY_DOC) == "*") & (before2 == "open")
+    before, before2 = F.lag("kind", 1).over(by_doc()), F.lag("kind", 2).over(by_doc())
+    star = (before == "symbol") & (F.lag("text", 1).over(by_doc()) == "*") & (before2 == "open")
     # only a group's first word, after an optional \*, begins a destination
     begins = (F.col("kind") == "word") & ((before == "open") & F.col("word").isin(HIDDEN) | star & ~F.col("word").isin("shppict", "nonshppict", "fldrslt"))
     in_group = Window.partitionBy("doc_id", "group")
     marked = groups.withColumn("begins", begins).withColumn("hides", F.coalesce(F.bool_or("begins").over(in_group), F.lit(False)))
     step = F.when(F.col("hides") & (F.col("kind") == "open"), 1).when(F.col("hides") & (F.col("kind") == "close"), -1).otherwise(0)
-    return marked.withColumn("within", F.sum(step).over(SO_FAR)).where((F.col("within") == 0) & ~F.col("hides")).drop("begins", "hides", "within")
+    return marked.withColumn("within", F.sum(step).over(so_far())).where((F.col("within") == 0) & ~F.col("hides")).drop("begins", "hides", "within")
 
 
 def visible(tokens: DataFrame) -> DataFrame:
     """(doc_id, pos, chars, ends): the characters that each token shows, and whether it ends a paragraph. After \\uN, one character of the next text is the fallback and not shown (\\uc1)."""
     is_u = F.col("word") == "u"
-    after_u = F.coalesce(F.lag(is_u & F.col("param").isNotNull()).over(BY_DOC), F.lit(False))
+    after_u = F.coalesce(F.lag(is_u & F.col("param").isNotNull()).over(by_doc()), F.lit(False))
     text = F.when(F.col("kind") == "text", F.when(after_u, F.substring("text", 2, 2**31 - 1)).otherwise(F.col("text")))
     symbol = F.when(F.col("text").isin("\\", "{", "}"), F.col("text")).when(F.col("text") == "~", " ").when(F.col("text") == "_", "‑")
     # surrogates of one character stand next to one another: they are joined before they are decoded
     code = F.pmod("param", F.lit(65536))
     high, low = is_u & code.between(0xD800, 0xDBFF), is_u & code.between(0xDC00, 0xDFFF)
-    pair = F.when(low & F.lag(high, 2).over(BY_DOC) & (F.lag("text", 1).over(BY_DOC) == "?"), F.decode(F.unhex(F.concat(F.hex(F.lag(code, 2).over(BY_DOC)), F.hex(code))), "UTF-16BE"))
+    pair = F.when(low & F.lag(high, 2).over(by_doc()) & (F.lag("text", 1).over(by_doc()) == "?"), F.decode(F.unhex(F.concat(F.hex(F.lag(code, 2).over(by_doc())), F.hex(code))), "UTF-16BE"))
     chars = F.when(is_u, F.coalesce(pair, unicode_char(F.col("param")))).when(F.col("kind") == "symbol", symbol).otherwise(text)
     return tokens.select("doc_id", "pos", F.coalesce(chars, F.lit("")).alias("chars"), F.coalesce(F.col("word").isin("par", "line"), F.lit(False)).alias("ends"))
 
@@ -95,7 +101,7 @@ def visible(tokens: DataFrame) -> DataFrame:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, text) of the body's paragraphs, the empty ones too, from tokens alone."""
     shown = visible(without_hidden(with_groups(tokenize(docs))))
-    number = F.coalesce(F.sum(F.col("ends").cast("int")).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.coalesce(F.sum(F.col("ends").cast("int")).over(by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return shown.withColumn("ord", number).groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chars"))), lambda x: x["chars"]), "").alias("text"))
 
 
