@@ -203,12 +203,12 @@ def color_resolution(spark, sf_dir):
 @query("""
 SELECT p_partkey AS doc_id, CAST(floor(CAST(100 AS FLOAT) + CAST(155 AS FLOAT) * (CAST(p_size AS FLOAT) / CAST(255 AS FLOAT)) + CAST(0.5 AS FLOAT)) AS INTEGER) AS tinted,
   CAST(floor(CAST(CAST(200 AS FLOAT) * (CAST(1 AS FLOAT) - CAST(p_size AS FLOAT) / CAST(255 AS FLOAT)) AS FLOAT) + CAST(0.5 AS FLOAT)) AS INTEGER) AS shaded,
-  CAST(CASE p_partkey % 12 WHEN 4 THEN 68 WHEN 11 THEN 149 END AS BIGINT) AS accent_r FROM part
+  CAST(CASE p_partkey % 12 WHEN 4 THEN 68 WHEN 11 THEN 149 ELSE -1 END AS BIGINT) AS accent_r FROM part
 """)
 def theme_tint_shade(spark, sf_dir):
     base = C.theme_base((F.col("p_partkey") % 12).cast("int"))["r"]
     accent = F.when(F.col("p_partkey") % 12 == 4, base).when(F.col("p_partkey") % 12 == 11, base)
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), C.tint(F.lit(100), "p_size").alias("tinted"), C.shade(F.lit(200), "p_size").alias("shaded"), accent.cast("long").alias("accent_r"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), C.tint(F.lit(100), "p_size").alias("tinted"), C.shade(F.lit(200), "p_size").alias("shaded"), F.coalesce(accent, F.lit(-1)).cast("long").alias("accent_r"))
 
 
 @query("""
@@ -285,10 +285,10 @@ def vmerge_rowspans(spark, sf_dir):
 WITH c AS (SELECT p_partkey // 20 AS d, (p_partkey % 20) // 4 AS r, p_partkey % 4 AS c, CASE WHEN p_size % 2 = 0 THEN p_size END AS t, CASE WHEN p_size % 3 = 0 THEN p_size + 1 END AS l, CASE WHEN p_size % 5 = 0 THEN p_size + 2 END AS b,
   CASE WHEN p_size % 7 = 0 THEN p_size + 3 END AS g, CASE WHEN (p_partkey % 20) // 4 % 2 = 0 THEN 100 END AS h, CASE WHEN (p_partkey % 20) // 4 % 3 = 0 THEN 200 END AS v FROM part)
 SELECT c.d AS doc_id, c.r AS row, c.c AS col,
-  CAST(CASE WHEN u.d IS NULL THEN coalesce(c.t, 7) WHEN c.t IS NOT NULL OR u.b IS NOT NULL THEN CASE WHEN u.b IS NULL THEN c.t END WHEN u.h IS NULL THEN c.h END AS BIGINT) AS draw_top,
-  CAST(CASE WHEN w.d IS NULL THEN coalesce(c.l, 8) WHEN c.l IS NOT NULL OR w.g IS NOT NULL THEN CASE WHEN w.g IS NULL THEN c.l END WHEN w.v IS NULL THEN c.v END AS BIGINT) AS draw_left,
-  CAST(CASE WHEN x.d IS NULL THEN c.b WHEN c.b IS NOT NULL OR x.t IS NOT NULL THEN c.b ELSE c.h END AS BIGINT) AS draw_bottom,
-  CAST(CASE WHEN y.d IS NULL THEN c.g WHEN c.g IS NOT NULL OR y.l IS NOT NULL THEN c.g ELSE c.v END AS BIGINT) AS draw_right
+  CAST(coalesce(CASE WHEN u.d IS NULL THEN coalesce(c.t, 7) WHEN c.t IS NOT NULL OR u.b IS NOT NULL THEN CASE WHEN u.b IS NULL THEN c.t END WHEN u.h IS NULL THEN c.h END, -1) AS BIGINT) AS draw_top,
+  CAST(coalesce(CASE WHEN w.d IS NULL THEN coalesce(c.l, 8) WHEN c.l IS NOT NULL OR w.g IS NOT NULL THEN CASE WHEN w.g IS NULL THEN c.l END WHEN w.v IS NULL THEN c.v END, -1) AS BIGINT) AS draw_left,
+  CAST(coalesce(CASE WHEN x.d IS NULL THEN c.b WHEN c.b IS NOT NULL OR x.t IS NOT NULL THEN c.b ELSE c.h END, -1) AS BIGINT) AS draw_bottom,
+  CAST(coalesce(CASE WHEN y.d IS NULL THEN c.g WHEN c.g IS NOT NULL OR y.l IS NOT NULL THEN c.g ELSE c.v END, -1) AS BIGINT) AS draw_right
 FROM c LEFT JOIN c u ON u.d = c.d AND u.c = c.c AND u.r = c.r - 1 LEFT JOIN c w ON w.d = c.d AND w.r = c.r AND w.c = c.c - 1 LEFT JOIN c x ON x.d = c.d AND x.c = c.c AND x.r = c.r + 1 LEFT JOIN c y ON y.d = c.d AND y.r = c.r AND y.c = c.c + 1
 """)
 def effective_borders(spark, sf_dir):
@@ -299,7 +299,7 @@ def effective_borders(spark, sf_dir):
         F.floor(k / 20).alias("doc_id"), row.alias("row"), (k % 4).alias("col"), own(2, 0).alias("top"), own(3, 1).alias("left"), own(5, 2).alias("bottom"), own(7, 3).alias("right"),
         F.lit(7).alias("row_top"), F.lit(8).alias("row_left"), none.alias("row_bottom"), none.alias("row_right"), F.when(row % 2 == 0, 100).alias("row_h"), F.when(row % 3 == 0, 200).alias("row_v"),
     )
-    return A.effective_borders(cells).select("doc_id", "row", "col", *(F.col(f"draw_{side}").cast("long").alias(f"draw_{side}") for side in ("top", "left", "bottom", "right")))
+    return A.effective_borders(cells).select("doc_id", "row", "col", *(F.coalesce(F.col(f"draw_{side}"), F.lit(-1)).cast("long").alias(f"draw_{side}") for side in ("top", "left", "bottom", "right")))
 
 
 # ---- lists
