@@ -102,8 +102,8 @@ def flatten(document: dict) -> tuple[list[dict], list[dict]]:
     return nodes, inlines
 
 
-def read_one(rtf: str | None, limits: Limits) -> dict:
-    """A row of parse(). A null text is empty input."""
+def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None) -> dict:
+    """A row of parse(), with the columns in `want` (all of them if None). A null text is empty input."""
     empty = {"nodes": [], "inlines": [], "warnings": [], "sections": [], "generated": []}
     try:
         found = Reader(limits).read(rtf or "")
@@ -112,31 +112,38 @@ def read_one(rtf: str | None, limits: Limits) -> dict:
     except RecursionError:
         return {**empty, "error_type": "group_depth_exceeded", "error": "too deep"}
     document = found["document"]
-    nodes, inlines = flatten(document)
     managed = document.get("page_management", {})
-    warnings = [{"seq": i, "type": w["type"], "severity": w["severity"], "reason": w.get("reason"), "word": w.get("word") or w.get("control_word") or w.get("destination"), "target": w.get("target") or (str(w["ls_id"]) if "ls_id" in w else None)} for i, w in enumerate(found["warnings"])]
-    return {
-        "ir": json.dumps(document, ensure_ascii=False), "nodes": nodes, "inlines": inlines, "warnings": warnings, **found["stats"],
-        "sections": [{"index": s["index"], "restart": s["restart_page_numbering"], "start_page": s.get("start_page"), "number_format": s["number_format"]} for s in managed.get("sections", [])],
-        "generated": [{"insertion_index": g["insertion_index"], "kind": g["kind"]["type"], "explicit": g["explicit"]} for g in managed.get("generated_blocks", [])],
-    }
-
-
-def parse(docs: DataFrame, limits: Limits | None = None, rows_at_once: int = 64) -> DataFrame:
-    """(doc_id, ...) of (doc_id, rtf). No shuffle; a task holds `rows_at_once` documents' results at a time."""
+    row = {**empty, **found["stats"]}
+    wanted = lambda *names: want is None or not want.isdisjoint(names)
+    if wanted("ir"):
+        row["ir"] = json.dumps(document, ensure_ascii=False)
+    if wanted("nodes", "inlines"):
+        row["nodes"], row["inlines"] = flatten(document)
+    if wanted("warnings"):
+        row["warnings"] = [{"seq": i, "type": w["type"], "severity": w["severity"], "reason": w.get("reason"), "word": w.get("word") or w.get("control_word") or w.get("destination"), "target": w.get("target") or (str(w["ls_id"]) if "ls_id" in w else None)} for i, w in enumerate(found["warnings"])]
+    row["sections"] = [{"index": s["index"], "restart": s["restart_page_numbering"], "start_page": s.get("start_page"), "number_format": s["number_format"]} for s in managed.get("sections", [])]
+    row["generated"] = [{"insertion_index": g["insertion_index"], "kind": g["kind"]["type"], "explicit": g["explicit"]} for g in managed.get("generated_blocks", [])]
+    return row
+
+
+def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] | None = None, rows_at_once: int = 64) -> DataFrame:
+    """(doc_id, ...) of (doc_id, rtf): all columns, or those in `want` and error_type. No shuffle; a task holds `rows_at_once` documents' results at a time."""
     limits = limits or Limits()
     kind = docs.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(f"doc_id {kind}, {PARSED}")
+    if want is not None:
+        schema = StructType([f for f in schema.fields if f.name in ("doc_id", "error_type", *want)])
     arrow = to_arrow_schema(schema)
+    chosen = None if want is None else frozenset(want)
 
     def each(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
                 ids, texts = (batch.column(i).slice(at, rows_at_once).to_pylist() for i in (0, 1))
-                rows = [{"doc_id": i, **read_one(t, limits)} for i, t in zip(ids, texts, strict=True)]
+                rows = [{"doc_id": i, **read_one(t, limits, chosen)} for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return docs.select("doc_id", "rtf").mapInArrow(each, schema)

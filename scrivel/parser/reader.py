@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from functools import cached_property
+from operator import attrgetter
 
 from scrivel.functions import colors
 from scrivel.limits import Limits
@@ -37,6 +39,9 @@ MERGES = {"clmgf": {"horizontal_start": {"span": 1}}, "clmrg": "horizontal_conti
 FLAGS = ("bold", "italic", "underline", "strikethrough", "small_caps", "all_caps")
 
 
+CHARACTERS = attrgetter(*FLAGS, "font", "size", "color", "highlight", "background")
+
+
 @dataclass(frozen=True)
 class Style:
     bold: bool = False
@@ -55,8 +60,9 @@ class Style:
     cfpat: int | None = None
     shading: int | None = None
 
+    @cached_property
     def characters(self) -> tuple:
-        return tuple(getattr(self, f) for f in (*FLAGS, "font", "size", "color", "highlight", "background"))
+        return CHARACTERS(self)
 
 
 class Group:
@@ -214,7 +220,7 @@ class Reader:
                 self.bookmark += text
                 return
             self.start_paragraph()
-            if self.style.characters() != self.run_style.characters():
+            if self.style is not self.run_style and self.style.characters != self.run_style.characters:
                 self.flush()
                 self.run_style = self.style
             self.text += text
@@ -229,7 +235,7 @@ class Reader:
                 self.skip -= cut
                 text = text[cut:]
             if text:
-                if self.style.characters() != self.run_style.characters():
+                if self.style is not self.run_style and self.style.characters != self.run_style.characters:
                     self.flush()
                     self.run_style = self.style
                 self.text += text
@@ -426,7 +432,9 @@ class Reader:
         elif word == "plain":
             self.style = replace(Style(font=self.default_font), alignment=self.style.alignment, cbpat=self.style.cbpat, cfpat=self.style.cfpat, shading=self.style.shading)
         elif word == "pard":
-            self.style = replace(self.style, alignment="left", cbpat=None, cfpat=None, shading=None)
+            s = self.style
+            if s.alignment != "left" or s.cbpat is not None or s.cfpat is not None or s.shading is not None:
+                self.style = replace(s, alignment="left", cbpat=None, cfpat=None, shading=None)
             self.ls = self.level = None
             self.intbl = False
         elif word == "u":

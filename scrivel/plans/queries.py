@@ -15,9 +15,10 @@ from scrivel.limits import Limits
 from scrivel.operators import analytics as A
 from scrivel.operators import parse as P
 from scrivel.operators import tokens as T
-from scrivel.operators.render import to_html, to_typst
+from scrivel.operators.render import convert_to_html, to_typst
 from scrivel.sources.rtf import document, encode_rows, encode_text, escaped
 
+STATS = ("paragraph_count", "run_count", "bytes_processed", "duration_ms")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -96,7 +97,7 @@ def validation_errors(spark, sf_dir):
 
 @query(ORACLES["validation_errors"])
 def reader_errors(spark, sf_dir):
-    return P.failures(P.parse(broken_documents(spark, sf_dir))).groupBy("error_type").agg(F.count("*").alias("n"))
+    return P.failures(P.parse(broken_documents(spark, sf_dir), want=("error",))).groupBy("error_type").agg(F.count("*").alias("n"))
 
 
 def broken_documents(spark, sf_dir):
@@ -109,7 +110,7 @@ SELECT p_partkey AS doc_id, 'group_depth_exceeded' AS error_type FROM part WHERE
 """)
 def limit_errors(spark, sf_dir):
     docs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(F.concat(F.expr("repeat('{', p_size % 9)"), F.lit("x"), F.expr("repeat('}', p_size % 9)"))).alias("rtf"))
-    return P.failures(P.parse(docs, Limits(max_group_depth=6))).select("doc_id", "error_type")
+    return P.failures(P.parse(docs, Limits(max_group_depth=6), want=("error",))).select("doc_id", "error_type")
 
 
 TEXT_STATS = r"""
@@ -129,7 +130,7 @@ def text_stats(spark, sf_dir):
 SELECT d.doc_id, count(p) FILTER (p <> '') AS paragraph_count, count(p) FILTER (p <> '') AS run_count, 0 AS duration_ms FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) d GROUP BY d.doc_id
 """)
 def document_stats(spark, sf_dir):
-    return P.stats(P.parse(encoded_documents(spark, sf_dir))).drop("bytes_processed")
+    return P.stats(P.parse(encoded_documents(spark, sf_dir), want=STATS)).drop("bytes_processed")
 
 
 @query("""
@@ -155,7 +156,7 @@ def styled_turns(spark, sf_dir):
 SELECT conv_id AS doc_id, role = 'user' AS bold, role = 'assistant' AS italic, CAST(sum(1 + length(replace(text, chr(10), ''))) AS BIGINT) AS chars FROM conversations GROUP BY ALL
 """)
 def styled_run_chars(spark, sf_dir):
-    runs = P.table(P.parse(styled_turns(spark, sf_dir)), "inlines").where("inline_type = 'run'")
+    runs = P.table(P.parse(styled_turns(spark, sf_dir), want=("inlines",)), "inlines").where("inline_type = 'run'")
     return runs.groupBy("doc_id", "bold", "italic").agg(F.sum(F.length("text")).alias("chars"))
 
 
@@ -238,7 +239,7 @@ SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity) AS quantity, count(D
 """)
 def cell_values_agg(spark, sf_dir):
     docs = encode_rows(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity", "l_returnflag"])
-    cells = P.table(P.parse(docs), "nodes").where("node_type = 'cell'").select("doc_id", "row", "col", "text")
+    cells = P.table(P.parse(docs, want=("nodes",)), "nodes").where("node_type = 'cell'").select("doc_id", "row", "col", "text")
     rows = cells.groupBy("doc_id", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).cast("double").alias("q"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("flag"))
     return rows.groupBy("flag").agg(F.count("*").alias("n"), F.sum("q").alias("quantity"), F.count_distinct("doc_id").alias("tables"))
 
@@ -318,7 +319,7 @@ def list_items_by_level(spark, sf_dir):
     item = F.concat(F.lit("\\pard\\ls1\\ilvl"), F.col("level").cast("string"), F.lit(" "), escaped("t"), F.lit("\\par "))
     head_text = LIST_HEAD.replace("\\levelnfc23", "\\levelnfc2")
     docs = head.unionByName(below).groupBy(F.col("r_regionkey").alias("doc_id")).agg(document(F.concat(F.lit(head_text), joined(item, F.col("o")))).alias("rtf"))
-    items = P.table(P.parse(docs), "nodes").where("node_type = 'list_item'")
+    items = P.table(P.parse(docs, want=("nodes",)), "nodes").where("node_type = 'list_item'")
     return items.groupBy("doc_id", "level", F.col("list_kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -413,7 +414,7 @@ def field_kinds(spark, sf_dir):
     said = F.get(F.array(*map(F.lit, FIELDS)), (F.col("p_partkey") % 8).cast("int"))
     field = F.concat(F.lit("{\\field{\\*\\fldinst "), said, F.lit("}{\\fldrslt r}}"))
     docs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(field).alias("rtf"))
-    return P.table(P.parse(docs), "inlines").groupBy(F.coalesce("kind", "inline_type").alias("kind")).agg(F.count("*").alias("n"))
+    return P.table(P.parse(docs, want=("inlines",)), "inlines").groupBy(F.coalesce("kind", "inline_type").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -422,7 +423,7 @@ SELECT o_custkey AS doc_id, count(*) FILTER (o_orderkey % 2 = 0) AS headings, co
 def headings_toc(spark, sf_dir):
     line = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "{\\b\\fs28 Order ").otherwise("{order "), F.col("o_orderkey").cast("string"), F.lit("}\\par "))
     docs = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(document(joined(line, F.col("o_orderkey"))).alias("rtf"))
-    parsed = P.parse(docs)
+    parsed = P.parse(docs, want=("nodes", "generated"))
     return parsed.select("doc_id", F.size(F.filter("nodes", lambda n: F.coalesce(n["is_heading"], F.lit(False)))).cast("long").alias("headings"), (F.size("generated") > 0).alias("has_toc"))
 
 
@@ -514,7 +515,7 @@ def image_sizes(spark, sf_dir):
     odd = F.when(F.col("p_size") % 4 == 3, "f").otherwise("")
     body = F.concat(F.lit("{\\pict\\pngblip\\picscalex50\\picwgoal"), (F.col("p_size") * 20).cast("string"), F.lit(" "), F.expr("repeat('0a', p_size)"), odd, F.lit("}"))
     docs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(body).alias("rtf"))
-    return P.table(P.parse(docs), "nodes").where("node_type = 'image'").select("doc_id", F.col("image_bytes").alias("n_bytes"), "width_twips")
+    return P.table(P.parse(docs, want=("nodes",)), "nodes").where("node_type = 'image'").select("doc_id", F.col("image_bytes").alias("n_bytes"), "width_twips")
 
 
 # ---- writers
@@ -535,13 +536,13 @@ SELECT doc_id, md5(coalesce(string_agg('<p class="rtf-p">' || replace(replace(re
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id
 """)
 def html_render(spark, sf_dir):
-    return to_html(P.parse(encoded_documents(spark, sf_dir)), wrapper=False).select("doc_id", F.md5(F.col("html").cast("binary")).alias("digest"))
+    return convert_to_html(encoded_documents(spark, sf_dir), wrapper=False).select("doc_id", F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
 @query("SELECT l_orderkey AS doc_id, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey")
 def html_table_rows(spark, sf_dir):
     docs = encode_rows(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_partkey", "l_shipdate"])
-    out = to_html(P.parse(docs), profile=None)
+    out = convert_to_html(docs, profile=None)
     return out.select("doc_id", F.size(F.regexp_extract_all("html", F.lit("(<tr>)"), F.lit(1))).cast("long").alias("n_rows"))
 
 
@@ -549,20 +550,20 @@ def html_table_rows(spark, sf_dir):
 SELECT doc_id, count(p) FILTER (p <> '') AS n_blocks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) GROUP BY doc_id
 """)
 def ir_json_blocks(spark, sf_dir):
-    parsed = P.parse(encoded_documents(spark, sf_dir))
+    parsed = P.parse(encoded_documents(spark, sf_dir), want=("ir",))
     return parsed.select("doc_id", F.size(F.from_json("ir", "blocks array<struct<type string>>")["blocks"]).cast("long").alias("n_blocks"))
 
 
 @query()
 def typst_render(spark, sf_dir):
-    return to_typst(P.parse(encoded_documents(spark, sf_dir))).select("doc_id", F.length("typst").alias("n_chars"))
+    return to_typst(P.parse(encoded_documents(spark, sf_dir), want=("ir",))).select("doc_id", F.length("typst").alias("n_chars"))
 
 
 @query("SELECT doc_id, true AS is_pdf, true AS has_end FROM documents")
 def pdf_render(spark, sf_dir):
     from scrivel.operators.render import to_pdf
 
-    out = to_pdf(P.parse(encoded_documents(spark, sf_dir)))
+    out = to_pdf(P.parse(encoded_documents(spark, sf_dir), want=("ir",)))
     return out.select("doc_id", (F.substring("pdf", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"), (F.substring("pdf", -6, 5) == F.lit(b"%%EOF")).alias("has_end"))
 
 
@@ -570,4 +571,4 @@ def pdf_render(spark, sf_dir):
 def docx_render(spark, sf_dir):
     from scrivel.operators.render import to_docx
 
-    return to_docx(P.parse(encoded_documents(spark, sf_dir))).select("doc_id", (F.substring("docx", 1, 2) == F.lit(b"PK")).alias("is_zip"))
+    return to_docx(P.parse(encoded_documents(spark, sf_dir), want=("ir",))).select("doc_id", (F.substring("docx", 1, 2) == F.lit(b"PK")).alias("is_zip"))
