@@ -29,6 +29,7 @@ CHANNELS = {"header": "header_default", "headerr": "header_default", "headerl":
 TABLES = {"listtable": "lists", "listoverridetable": "overrides", "fonttbl": "fonts", "colortbl": "colors"}
 SILENT = words("rtf ansi ansicpg deflang deflangfe adeflang result hwid emdash endash emspace enspace qmspace bullet lquote rquote ldblquote rdblquote tab sub super nosupersub outl shad expnd expndtw kerning charscalex lang langfe langnp langfenp par line sectd nonesttables")
 LIST_SILENT = words("listtemplateid listsimple listhybrid listname liststyleid levels levelstartat levelindent levelspace levelfollow levellegal levelnorestart leveljcn levelnfcn levelnfcN listoverridestart listoverridepad")
+LEGACY = words("pnlvl pnlvlblt pnlvlbody pnlvlcont pnstart pnindent pntxta pntxtb")
 TOGGLES = {"b": "bold", "i": "italic", "ul": "underline", "strike": "strikethrough", "striked": "strikethrough", "scaps": "small_caps", "caps": "all_caps"}
 ALIGN = {"ql": "left", "qc": "center", "qr": "right", "qj": "justify"}
 BORDERS = {"brdrs": "single", "brdrdb": "double", "brdrdot": "dotted", "brdrdash": "dashed", "brdrnone": "none"}
@@ -81,14 +82,14 @@ class RowDef:
     """What the words between \\trowd and \\row say of a row and its cells."""
 
     def __init__(self):
-        self.right, self.cells, self.cell, self.row, self.border = [], [], {}, {}, None
+        self.right, self.cells, self.cell, self.row, self.border = [], [], {}, {}, {}
 
     def commit(self) -> None:
-        """A border descriptor goes to its target when the next one begins."""
-        if self.border and self.border.get("target"):
+        """A border descriptor goes to its target when the next one begins; words before any target wait for one."""
+        if "target" in self.border:
             owner, side = self.border["target"]
             (self.cell if owner == "cell" else self.row).setdefault("borders", {})[side] = {k: self.border.get(k) for k in ("style", "width", "color")}
-        self.border = None
+            self.border = {}
 
 
 class Table:
@@ -319,7 +320,7 @@ class Reader:
             return None
         if self.ls not in self.overrides:
             self.warn("unresolved_list_override", ls_id=self.ls)
-            self.drop("Unresolved list override; paragraph kept without its list")
+            self.drop(f"Unresolved list override ls_id={self.ls}")
             return None
         number = self.overrides[self.ls]
         levels = self.lists.get(number, [])
@@ -457,13 +458,13 @@ class Reader:
         elif word in ("cbpat", "cfpat", "shading"):
             self.style = replace(self.style, **{word: n})
         elif word == "ls":
-            self.ls = n if n is not None else self.ls
+            self.ls = n
         elif word == "ilvl":
-            if n is not None:
-                self.level = min(max(n, 0), 8)
-                if n > 8:
-                    self.warn("unsupported_nesting_level", level=min(n, 255), max=8)
-        elif word.startswith("pn") and word in ("pn", "pnlvl", "pnlvlblt", "pnlvlbody", "pnlvlcont", "pntext", "pntxta", "pntxtb", "pnstart", "pnindent", "pnhang", "pndec"):
+            level = n if n is not None and 0 <= n <= 255 else 0
+            self.level = min(level, 8)
+            if level > 8:
+                self.warn("unsupported_nesting_level", level=level, max=8)
+        elif word in LEGACY:
             self.warn("unsupported_list_control", control_word=word)
             self.drop("Dropped legacy paragraph numbering content")
         elif word in ("sect", "pgnrestart", "pgnstarts", "pgndec", "pgnlcrm", "pgnucrm"):
@@ -589,8 +590,9 @@ class Reader:
         self.sinks.append((name, into))
 
         def back():
-            if self.text or self.inlines:
-                self.end_paragraph()
+            self.end_paragraph()
+            if self.tables:  # one that was begun in the channel, or around it
+                self.end_table()
             self.sinks.pop()
             if note and into:
                 self.notes.append({**note, "blocks": into})
@@ -613,8 +615,8 @@ class Reader:
         digits = re.sub("[ \t\n\r\f]", "", raw)
         if "format" not in p:
             self.drop("Dropped unsupported image format", len(raw))
-        elif not digits or len(digits) % 2 or re.search("[^0-9a-fA-F]", digits):
-            self.drop("Dropped malformed image data", len(raw))
+        elif len(digits) % 2 or re.search("[^0-9a-fA-F]", digits):
+            self.drop("Dropped malformed image hex payload", len(raw))
         else:
             data = bytes.fromhex(digits)
             self.image_bytes += len(data)
@@ -622,10 +624,11 @@ class Reader:
                 raise InvalidDocument("image_bytes_exceeded", f"{self.image_bytes} bytes of images, at most {self.limits.max_image_bytes_total}")
             block = {"type": "imageblock", "format": p["format"], "data": list(data)}
             for side, name in (("w", "width_twips"), ("h", "height_twips")):
-                size = p.get(side + "goal") or p.get(side)
+                size = p[side + "goal"] if p.get(side + "goal") is not None else p.get(side)
                 scale = p.get("scalex" if side == "w" else "scaley") or 100
-                if size and size > 0:
-                    block[name] = size * (scale if scale > 0 else 100) // 100
+                scaled = max(size or 0, 0) * (scale if scale > 0 else 100) // 100
+                if scaled > 0:
+                    block[name] = scaled
             self.place(block)
 
     # ---- fields
@@ -763,7 +766,7 @@ class Reader:
             d.cell["v_align"] = {"t": "top", "c": "center", "b": "bottom"}[word[-1]]
         elif word in MERGES:
             d.cell["merge"] = MERGES[word]
-        elif m := re.fullmatch("(cl|tr)(cbpat|cfpat|shading|shdng)", word):
+        elif m := re.fullmatch("(cl|tr)(cbpat|cfpat|shdng)", word):
             name = "shading" if m[2] == "shdng" else m[2]
             (d.cell if m[1] == "cl" else d.row)[name] = n
             if m[1] == "tr" and self.tables:
@@ -772,10 +775,9 @@ class Reader:
             if m[1] == "cl" and m[2] in "hv":
                 return False
             d.commit()
-            d.border = {"target": ("cell" if m[1] == "cl" else "row", SIDES[m[2]])}
+            d.border["target"] = ("cell" if m[1] == "cl" else "row", SIDES[m[2]])
         elif word in BORDERS or word in ("brdrw", "brdrcf"):
-            if d.border is not None:
-                d.border["style" if word in BORDERS else "width" if word == "brdrw" else "color"] = BORDERS[word] if word in BORDERS else max(n, 0) if word == "brdrw" and n is not None else n
+            d.border["style" if word in BORDERS else "width" if word == "brdrw" else "color"] = BORDERS[word] if word in BORDERS else max(n, 0) if word == "brdrw" and n is not None else n
         else:
             return False
         return True
@@ -881,9 +883,9 @@ class Reader:
         if fts in (0, 1):
             return {"type": "auto"}
         if fts == 2:
-            return {"type": "percent", "value": min(max(w, 0), 10_000)} if w is not None else None
+            return {"type": "percent", "value": min(max(w or 0, 0), 10_000)}
         if fts == 3:
-            return {"type": "twips", "value": w} if w is not None else None
+            return {"type": "twips", "value": w or 0}
         self.warn("unsupported_table_control", control_word=word)
         return None
 
