@@ -37,14 +37,26 @@ def tokenize(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), kind.alias("kind"), F.nullif(word, F.lit("")).alias("word"), param.alias("param"), text.alias("text"))
 
 
+#: Destinations whose text a reader doesn't show in the body.
+HIDDEN = sorted(METADATA | DROPPED | {*TABLES, *CHANNELS, "bkmkend", "bkmkstart", "footnote", "endnote", "pict", "fldinst"})
+
+
 def with_groups(tokens: DataFrame) -> DataFrame:
-    """Adds depth (after the token), level (of the group the token belongs to, its braces included) and group (the position of that group's opening)."""
+    """Adds depth (after the token), level (of the group the token belongs to, its braces included), group (the position of that group's opening) and hides (whether that group is a hidden destination).
+
+    Only a group's first word, after an optional \\*, makes it a destination; both are seen from the opening, by looking ahead.
+    """
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    deep = tokens.withColumn("depth", F.sum(step).over(so_far()))
+    ahead = lambda c, n: F.lead(c, n).over(by_doc())
+    known = ahead(F.when(F.col("word").isin(HIDDEN), True), 1)
+    starred = (ahead("kind", 1) == "symbol") & (ahead("text", 1) == "*") & ~ahead("word", 2).isin("shppict", "nonshppict", "fldrslt")
+    hides = F.when(F.col("kind") == "open", F.coalesce(known, F.lit(False)) | F.coalesce(starred, F.lit(False)))
+    deep = tokens.withColumn("depth", F.sum(step).over(so_far())).withColumn("hides", hides)
     level = F.col("depth") + F.when(F.col("kind") == "close", 1).otherwise(0)
-    opened = F.when(F.col("kind") == "open", F.col("pos"))
+    opened = F.when(F.col("kind") == "open", F.struct("pos", "hides"))
     at_level = Window.partitionBy("doc_id", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return deep.withColumn("level", level).withColumn("group", F.last(opened, ignorenulls=True).over(at_level))
+    held = deep.withColumn("level", level).withColumn("opened", F.last(opened, ignorenulls=True).over(at_level))
+    return held.withColumn("group", F.col("opened.pos")).withColumn("hides", F.coalesce(F.col("opened.hides"), F.lit(False))).drop("opened")
 
 
 def errors(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -68,20 +80,10 @@ def errors(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     return joined.select("doc_id", kind.alias("error_type")).where("error_type IS NOT NULL")
 
 
-#: Destinations whose text a reader doesn't show in the body.
-HIDDEN = sorted(METADATA | DROPPED | {*TABLES, *CHANNELS, "bkmkend", "bkmkstart", "footnote", "endnote", "pict", "fldinst"})
-
-
 def without_hidden(groups: DataFrame) -> DataFrame:
-    """Tokens outside groups that begin with a hidden destination, or with \\* and a word that isn't shown. Openings and ends of such groups are counted, which is an anti-join of intervals without a join."""
-    before, before2 = F.lag("kind", 1).over(by_doc()), F.lag("kind", 2).over(by_doc())
-    star = (before == "symbol") & (F.lag("text", 1).over(by_doc()) == "*") & (before2 == "open")
-    # only a group's first word, after an optional \*, begins a destination
-    begins = (F.col("kind") == "word") & ((before == "open") & F.col("word").isin(HIDDEN) | star & ~F.col("word").isin("shppict", "nonshppict", "fldrslt"))
-    in_group = Window.partitionBy("doc_id", "group")
-    marked = groups.withColumn("begins", begins).withColumn("hides", F.coalesce(F.bool_or("begins").over(in_group), F.lit(False)))
+    """Tokens outside hidden groups. Openings and ends of such groups are counted, which is an anti-join of intervals without a join."""
     step = F.when(F.col("hides") & (F.col("kind") == "open"), 1).when(F.col("hides") & (F.col("kind") == "close"), -1).otherwise(0)
-    return marked.withColumn("within", F.sum(step).over(so_far())).where((F.col("within") == 0) & ~F.col("hides")).drop("begins", "hides", "within")
+    return groups.withColumn("within", F.sum(step).over(so_far())).where((F.col("within") == 0) & ~F.col("hides")).drop("hides", "within")
 
 
 def visible(tokens: DataFrame) -> DataFrame:
