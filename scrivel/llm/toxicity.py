@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import slices, texts
+from scrivel.llm.common import slices, texts, written
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Bytes after which a window ends with the next space.
@@ -133,23 +133,27 @@ def held_out(id_col) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, most_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most `most` labelled rows, in the order of a hash of their ids, and at most `most_bytes` of text; both bound what the driver holds."""
+    """A model from at most `most` labelled documents, in the order of a hash of their ids, and at most `most_bytes` of text; both bound what the driver holds.
+
+    Rows that repeat an id are one document, with the smallest of its texts.
+    """
     known = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label IS NOT NULL AND id IS NOT NULL")
     taken = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    # at most `most` ids and labels
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id")
-    sized = rows.select(F.xxhash64("id").alias("order"), "id", F.octet_length("text").alias("size"))
-    total, ids = 0, []
-    for r in sorted(sized.toLocalIterator()):
-        total += r.size or 0
+    # at most `most` ids and labels are broadcast, and as many texts written
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(taken), "id")
+    sample = written(rows.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")
+    ids, total = [], 0
+    for r in sample.select(F.xxhash64("id").alias("order"), "id", F.octet_length("text").alias("size")).orderBy("order", "id").collect():
+        total += r["size"]
         if total > most_bytes and ids:
             break
-        ids.append(r.id)
-    cut = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {docs.schema[id_col].dataType.simpleString()}") if ids else None
-    if cut is None:
+        ids.append(r["id"])
+    if not ids:
         return Model([])
-    found = [(r.text or "", int(r.label > 0)) for r in rows.join(F.broadcast(cut), "id", "left_semi").select("text", "label").toLocalIterator()]
-    return Model(sorted(found))
+    kind = docs.schema[id_col].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {kind}")
+    found = sample.join(F.broadcast(chosen), "id", "left_semi").select("text", "label").collect()
+    return Model(sorted((r["text"], int(r["label"] > 0)) for r in found))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

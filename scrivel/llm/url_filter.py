@@ -53,7 +53,7 @@ def title_words(pages: DataFrame, html_col: str = "html", most: int = DICTIONARY
     """Counts over all pages; of them the `most` frequent words, which is the size of the dictionary."""
     title = F.regexp_extract(F.lower(F.col(html_col)), "(?s)<title[^>]*>([^<]*)", 1)
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit("[a-z]+"), F.lit(0))).alias("word")).where(F.length("word") <= LONGEST)
-    return {r.word: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).toLocalIterator()}
+    return {r.word: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()}
 
 
 class Segmenter:
@@ -119,7 +119,7 @@ def train(rows: DataFrame, counts: dict[str, int]) -> Bayes:
 
     partial = rows.where("decided IS NOT NULL").select("host", "path", "decided").mapInArrow(each, "label int, place int, n long")
     found, urls = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-    for r in partial.groupBy("label", "place").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in partial.groupBy("label", "place").agg(F.sum("n").alias("n")).collect():
         if r.place < 0:
             urls[r.label] = r["n"]
         else:

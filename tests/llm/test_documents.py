@@ -314,3 +314,13 @@ def test_queries_follow_the_contract(spark, tmp_path):
     assert [q["op5_token_counts"](spark, "/root/testdata/sf0.001").dtypes] == [[("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_tokens", "bigint"), ("over_limit", "boolean")]]
     r = q["op4_decontamination"](spark, "/root/testdata/sf0.001").where("n_items = 0").first()
     assert r.items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_written_tables_can_be_released(spark):
+    from scrivel.llm.common import release, work_dir, written
+
+    df = written(spark.range(3), "numbers")
+    assert df.count() == 3 and work_dir(spark)
+    release(spark)
+    with pytest.raises(Exception, match="not exist"):
+        df.count()
