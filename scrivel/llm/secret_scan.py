@@ -92,16 +92,38 @@ def pieces(rule: Rule, kind: int) -> Column:
     return F.transform(zipped, one)
 
 
+#: Bits of the filter over blobs with findings, in rows of 32,768: two MiB at most, whatever the ledger holds.
+FILTER_BITS = 1 << 24
+ROW_BITS = 1 << 15
+
+
+def place(blob: Column) -> tuple[Column, Column]:
+    """The filter's row and bit of a blob."""
+    bit = F.pmod(F.xxhash64(blob), F.lit(FILTER_BITS))
+    return F.shiftright(bit, 15), bit.bitwiseAND(F.lit(ROW_BITS - 1))
+
+
 def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, version: str = "1", text_col: str = "text") -> DataFrame:
-    """docs with `spans`, the findings of each row's text (empty if there are none): an array of (start, kind, end) in code points, the end exclusive; kind is the rule's number. A column `spans` of docs is replaced."""
+    """docs with `spans`, the findings of each row's text (empty if there are none): an array of (start, kind, end) in code points, the end exclusive; kind is the rule's number. A column `spans` of docs is replaced.
+
+    Rows are joined with findings by blob. A bit filter of fixed size, which is broadcast, tells most rows without findings
+    beforehand: their columns aren't shuffled.
+    """
     ledger.add(docs, rules, version, text_col)
     found = written(ledger.findings(version), "findings").select(F.col("blob").alias("scan_blob"), F.col("spans").alias("scan_spans"))
+    row, bit = place(F.col("scan_blob"))
+    bits = found.select(row.alias("filter_row"), bit.alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
     kept = [c for c in docs.columns if c != "spans"]
     # whatever the columns of docs are called, they don't clash
     rows = docs.select(blob_id(text_col).alias("scan_key"), *(F.col(c).alias(f"in_{i}") for i, c in enumerate(kept)))
-    joined = rows.join(found, F.col("scan_key") == F.col("scan_blob"), "left")
+    row, bit = place(F.col("scan_key"))
+    byte = F.conv(F.hex(F.substring("filter_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit.bitwiseAND(F.lit(7))).cast("int")) != 0, F.lit(False))
+    marked = rows.withColumn("filter_row", row).join(F.broadcast(bits), "filter_row", "left").withColumn("may", may).drop("filter_row", "filter_bits")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return joined.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)), F.coalesce("scan_spans", none).alias("spans"))
+    held = marked.where("may").join(found, F.col("scan_key") == F.col("scan_blob"), "left").withColumn("spans", F.coalesce("scan_spans", none))
+    out = marked.where("NOT may").withColumn("spans", none).select(*(f"in_{i}" for i in range(len(kept))), "spans").union(held.select(*(f"in_{i}" for i in range(len(kept))), "spans"))
+    return out.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)), "spans")
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
