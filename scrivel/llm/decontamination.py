@@ -195,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, at_leas
         for x in sent:
             x.value.ready(words)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 n = part.num_rows
                 n_words, n_hit, items = shard(part, words, [x.value for x in sent])
                 count = np.fromiter(map(len, items), np.int64, n)
