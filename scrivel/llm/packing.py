@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from scrivel.llm.common import Bounded, slices, texts
 
+#: Fixed value: pretokens of the vocabulary, within ASCII and lower case.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -44,14 +47,17 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         if len(piece) > 1 and piece[-1] in ",." and piece[:-1].lower().isalpha():
             return self.pieces[piece[:-1]] + self.pieces[piece[-1]]  # letters and signs never share a pretoken
+        if piece.isascii() and not piece.isalpha() and "<|" not in piece and len(parts := PARTS.findall(piece.lower())) > 1:
+            return b"".join([self.pieces[p] for p in parts])
         if piece.isalpha() and "\u03a3" not in piece and (lower := piece.lower()) != piece and lower.isalpha():
             return self.pieces[lower]  # the vocabulary is of lower case; only the sigma's depends on its neighbours
         return self.inner(piece) if piece else b""
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, cut: list[list[str]]) -> None:
         """Has the library encode many new words at once: each ends with an id of a word's end, which tells them apart."""
         known, old = self.pieces, self.pieces.old
-        new = [p for p in {p.rstrip(".,").lower() for p in pieces} if p not in known and p not in old and p.isalpha() and "\u03c2" not in p and len(p) <= 64]
+        odd = {p for x in cut for p in x if p not in known}
+        new = [p for p in {p.rstrip(".,").lower() for p in odd} if p not in known and p not in old and p.isalpha() and "\u03c2" not in p and len(p) <= 64]
         lists = [new[i : i + 500] for i in range(0, len(new), 500)]
         for words, found in zip(lists, self.library.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
@@ -67,7 +73,7 @@ class Encoder:
         if not self.apart:
             return [self.inner(t) for t in texts]
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set().union(*cut))
+        self.learn(cut)
         get = self.pieces.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
