@@ -137,7 +137,18 @@ def document_stats(spark, sf_dir):
 SELECT doc_id, length(text) AS shown FROM documents WHERE text NOT LIKE '%' || chr(10) || '%'
 """)
 def destination_skip(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(~F.col("text").contains("\n"))
+    return shown_lengths(read(spark, sf_dir, "documents").where(~F.col("text").contains("\n")))
+
+
+@query("""
+SELECT doc_id, length(text) AS shown FROM documents
+""")
+def destination_skip_lines(spark, sf_dir):
+    """The same over all documents, line breaks included."""
+    return shown_lengths(read(spark, sf_dir, "documents"))
+
+
+def shown_lengths(docs):
     hidden = F.concat(F.lit("{\\info{\\title "), escaped("text"), F.lit("}}{\\*\\nosuchword "), escaped("text"), F.lit("}{\\header "), escaped("lang"), F.lit("}"))
     rtf = docs.select("doc_id", document(F.concat(hidden, escaped("text"))).alias("rtf"))
     return T.plain_text(rtf).select("doc_id", F.length("text").cast("long").alias("shown"))

@@ -38,6 +38,12 @@ def test_query(spark, sf_dir, duck, name):
         assert got == sorted(tuple(plain(r[at[c]]) for c in names) for r in cur.fetchall())
 
 
+def test_hidden_destinations_of_every_document(spark, sf_dir):
+    docs = Q.read(spark, sf_dir, "documents")
+    assert docs.where(F.col("text").contains("\n")).count() > 0
+    assert Q.QUERIES["destination_skip_lines"](spark, sf_dir).count() == docs.count()
+
+
 def test_tokens_and_reader_agree(spark, sf_dir):
     docs = Q.encoded_documents(spark, sf_dir)
     a = T.paragraphs(docs).where("text <> ''").select("doc_id", F.md5(F.col("text").cast("binary")).alias("t"))
