@@ -3,8 +3,8 @@
 A gear hash of the bytes before each word rates the word's start; the lowest rate among any WINDOW words next to one
 another is a cut. So cuts depend on nearby text alone, an insertion moves none beyond itself, and cuts are never more
 than WINDOW words apart. A chunk runs from a cut to the first cut at least `min_bytes` on; chunks with the same 128-bit
-digest in different documents are repeated, and repeated chunks that touch are one passage. Of a passage of 51 words shared by
-two documents, about 41 words are covered by repeated chunks as a rule, and 24 nearly always; shorter ones aren't reported.
+digest in different documents are repeated, and repeated chunks that touch are one passage. Passages of 16 words or more are
+reported, and those of 128 bytes or more, as text without spaces has few words.
 
 Defined cases: null and empty texts have no chunks; a text shorter than a window is one chunk; rows without an id take
 no part; rows with the same id are the same document; repeats within one document alone are not reported; an empty table
@@ -103,7 +103,7 @@ def chunks(docs: DataFrame, min_bytes: int = 64, id_col: str = "doc_id", text_co
     return rows.mapInArrow(each, f"doc_id {kind.simpleString()}, hi long, lo long, w0 int, w1 int, b0 int, b1 int")
 
 
-def repeated_passages(docs: DataFrame, min_bytes: int = 64, min_words: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_bytes: int = 64, min_words: int = 16, least_bytes: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each passage that another document holds too: (doc_id, start_byte, end_byte, start_word, n_words, n_chunks, first_doc_id, is_first).
 
     first_doc_id is the smallest document that holds a chunk of it; is_first marks that document's own passage, which a
@@ -121,4 +121,4 @@ def repeated_passages(docs: DataFrame, min_bytes: int = 64, min_words: int = 24,
         F.min("b0").cast("long").alias("start_byte"), F.max("b1").cast("long").alias("end_byte"), F.min("w0").cast("long").alias("start_word"),
         (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"),
     )
-    return passages.where(F.col("n_words") >= min_words).drop("run").withColumn("is_first", F.col("doc_id") == F.col("first_doc_id"))
+    return passages.where((F.col("n_words") >= min_words) | (F.col("end_byte") - F.col("start_byte") >= least_bytes)).drop("run").withColumn("is_first", F.col("doc_id") == F.col("first_doc_id"))

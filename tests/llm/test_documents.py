@@ -195,6 +195,14 @@ def test_every_passage_of_over_fifty_words_is_found(spark):
     assert found == planted
 
 
+def test_passages_that_chunks_cover_in_part_and_without_spaces(spark):
+    """A passage of 51 words of which repeated chunks cover 23, and text that has no spaces."""
+    passage, line = words(51, 2058), "".join(chr(0x4E00 + i * 37 % 5000) for i in range(60))
+    rows = [(i, f"{words(40, 500_000 + i)} {passage} {words(40, 900_000 + i)}") for i in (2116, 2117)] + [(1, line), (2, line)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {1, 2, 2116, 2117} and all(r.n_words < 24 for r in found)
+
+
 def spans_of(text):
     found = []
     for kind, (name, pattern, group, least) in enumerate((("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))):
