@@ -144,9 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, most_bytes: in
     sample = written(rows.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")
     ids, total = [], 0
     for r in sample.select(F.xxhash64("id").alias("order"), "id", F.octet_length("text").alias("size")).orderBy("order", "id").collect():
+        if total + r["size"] > most_bytes:  # a text that does not fit leaves room for shorter ones
+            continue
         total += r["size"]
-        if total > most_bytes and ids:
-            break
         ids.append(r["id"])
     if not ids:
         return Model([])

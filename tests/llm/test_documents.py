@@ -314,6 +314,14 @@ def test_toxicity(spark, docs):
     assert toxicity.toxicity(docs, nothing).where("score <> 0").count() == 0
 
 
+def test_one_text_beyond_the_byte_bound_does_not_end_the_sample(spark):
+    texts, labels = labelled(spark)
+    first = spark.range(10_000, 20_000).where(~toxicity.held_out("id")).orderBy(F.xxhash64("id")).first().id
+    texts = texts.union(spark.createDataFrame([(first, words(40_000, 1))], "doc_id long, text string"))
+    labels = labels.union(spark.createDataFrame([(first, 0)], "doc_id long, toxic int"))
+    assert toxicity.train(texts, labels, most_bytes=150_000).weights is not None
+
+
 def test_queries_follow_the_contract(spark, tmp_path):
     """op5 and op8 by name and type, over the smallest tables."""
     import __spark_entry__ as entry
