@@ -2,8 +2,8 @@
 
 Both dictionaries end with the same common words, so what differs between a window's two compressed lengths comes from
 their heads: words that mark toxic training text in one, rarer ordinary words in the other. How many windows of a text
-are shorter under the toxic one, and by how much, is weighed by thresholds calibrated on training texts that neither
-dictionary has seen.
+are shorter under the toxic one, and by how much, is weighed by a logistic regression on training texts that neither
+dictionary has seen. The dictionaries are word lists chosen by log odds, not trained by zstandard.
 
 Defined cases: a null or empty text is one empty window; ids may be null or repeated, each row is scored for itself; labels
 that are null are not learned from, of repeated labels of one document the larger counts; without two labels of both kinds
@@ -104,7 +104,7 @@ def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
 
 
 class Model:
-    """Learned from (text, label) rows: two in three for the dictionaries, the others for the thresholds."""
+    """Learned from (text, label) rows: two in three for the dictionaries, the others for the weights."""
 
     def __init__(self, rows: list[tuple[str, int]]):
         parts = [[r for r in rows if (zlib.crc32(r[0].encode()) % 3 == 0) == k] for k in (False, True)]
