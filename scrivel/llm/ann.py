@@ -3,11 +3,13 @@
 Vectors are brought to length one, so that the largest inner product is the largest cosine. Pairs of components share a
 codebook of sixteen words, learned so that the part of a residual parallel to its vector, which shifts the scores of those that
 matter, costs more than the part across it. Of each block of rows, the codes are scored by table look-ups, and the best go to an
-exact rerank on the original vectors.
+exact rerank on the original vectors. So do all others whose score could, by the length of their residual, still reach the
+nearest found so far; what is returned is therefore exact, ties included.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another
-length than the first by id, or rows without an id; equal vectors keep their smallest ids, so ties go to them; with fewer candidates than asked for, all
-are returned; an empty table gives no rows.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an
+id, or those of another length than the commonest one (of equally common lengths, the largest), as their cosine isn't defined;
+ties go to the smaller id; a repeated id is one candidate with the best score of its vectors, and asks with the smallest of them
+in the order of arrays; with fewer candidates than asked for, all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from scrivel.llm.common import written
 
 WORDS = 16
 RESULT = "query_id long, vec_id long, score double"
+#: No id.
+NONE = np.iinfo(np.int64).max
+#: What sums of single precision in the tables may be off.
+ROUNDING = 1e-4
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -28,8 +34,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.coalesce(good, F.lit(False))).where(F.exists("v", lambda x: x != 0))
-    first = rows.orderBy("vec_id").limit(1).select(F.size("v")).first()
-    return rows.where(F.size("v") == (first[0] if first else 0))
+    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    return rows.where(F.size("v") == (common["d"] if common else 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero, without a sign
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -106,12 +112,22 @@ class Quantiser:
         return (one[::2, :, :, None] + one[1::2, :, None, :]).reshape(len(one) // 2, len(queries), WORDS * WORDS)
 
 
-def build(vectors: DataFrame, sample: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Quantiser | None]:
-    """The index, of every usable row (vec_id, v, codes), as a written table; its quantiser, learned from at most `sample` rows in the order of a hash of their ids."""
-    rows = usable(vectors, id_col, vector_col)
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+def distinct(rows: DataFrame, most: int) -> DataFrame:
+    """(v, ids): each different vector with the smallest `most` ids that have it. More can't be among the nearest, as ties go to the smaller id.
+
+    Repeated rows are summed up before they are shuffled, and of a frequent vector each task sends at most `most` ids.
+    """
+    once = rows.groupBy(F.xxhash64("v").alias("h"), "v", "vec_id").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("h", "v").orderBy("vec_id")
+    few = once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    return few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "ids")
+
+
+def build(rows: DataFrame, sample: int, most: int) -> tuple[DataFrame, Quantiser | None]:
+    """The index of usable rows (v, ids, codes), as a written table; its quantiser, learned from at most `sample` rows in the order of a hash of their ids."""
+    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toArrow()
     if not taken.num_rows:
-        return rows.withColumn("codes", F.lit(b"")), None
+        return rows, None
     quantiser = Quantiser(unit(matrix(taken.column("v"))))
     sent = rows.sparkSession.sparkContext.broadcast(quantiser)
 
@@ -119,89 +135,130 @@ def build(vectors: DataFrame, sample: int = 20_000, id_col: str = "vec_id", vect
         for batch in batches:
             if batch.num_rows:
                 codes = sent.value.packed(unit(matrix(batch.column("v"))))
-                yield pa.record_batch([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
-
-    return written(rows.mapInArrow(each, "vec_id long, v array<double>, codes binary"), "index"), quantiser
-
-
-class Best:
-    """The nearest few of one query so far, by score and then by the smaller id; each id once."""
-
-    def __init__(self, nearest: int):
-        self.nearest, self.score, self.id = nearest, np.zeros(0), np.zeros(0, np.int64)
-
-    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        score, ids = np.concatenate((self.score, score)), np.concatenate((self.id, ids))
-        order = np.lexsort((ids, -score))
-        _, first = np.unique(ids[order], return_index=True)
-        order = order[np.sort(first)][: self.nearest]
-        self.score, self.id = score[order], ids[order]
-
-
-def distinct(x: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A row for each different vector, and the smallest `most` ids that have it."""
-    _, group = np.unique(x, axis=0, return_inverse=True)
-    group = group.reshape(-1)
-    order = np.lexsort((ids, group))
-    g, i = group[order], ids[order]
-    order = order[np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1])))]
-    at = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1])))
-    ends = np.append(at[1:], len(order))
-    return order[at], [ids[order[a : min(b, a + most)]] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+                yield pa.record_batch([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "codes"])
+
+    return written(distinct(rows, most).mapInArrow(each, "v array<double>, ids array<long>, codes binary"), "index"), quantiser
+
+
+class Nearest:
+    """The nearest few of each query so far, by score and then by the smaller id, each id once. Empty places hold -inf."""
+
+    def __init__(self, own: np.ndarray, few: int):
+        self.own, self.few = own, few
+        self.score, self.id = np.full((len(own), few), -np.inf), np.full((len(own), few), NONE)
+
+    def least(self, rows: slice) -> np.ndarray:
+        """The score that the next must reach."""
+        return self.score[rows, -1]
+
+    def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """For some queries as many further candidates each: score and ids of shape (queries, candidates); -inf stands for none."""
+        score = np.concatenate((self.score[rows], np.where(ids == self.own[rows][:, None], -np.inf, score)), axis=1)
+        ids = np.concatenate((self.id[rows], ids), axis=1)
+        order = np.lexsort((ids, -score), axis=1)
+        score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        by_id = np.argsort(ids, axis=1, kind="stable")  # of each id the first one counts
+        sorted_ids = np.take_along_axis(ids, by_id, 1)
+        again = np.zeros(ids.shape, bool)
+        np.put_along_axis(again, by_id[:, 1:], sorted_ids[:, 1:] == sorted_ids[:, :-1], 1)
+        score = np.where(again, -np.inf, score)
+        front = np.argsort(np.isneginf(score), axis=1, kind="stable")[:, : self.few]
+        score, ids = np.take_along_axis(score, front, 1), np.take_along_axis(ids, front, 1)
+        self.score[rows], self.id[rows] = score, np.where(np.isneginf(score), NONE, ids)
+
+
+class Block:
+    """Some rows of the index: their vectors, ids, codes and how far a score by the tables can be from the true one."""
+
+    def __init__(self, batch: pa.RecordBatch, quantiser: Quantiser):
+        n = batch.num_rows
+        self.x = unit(matrix(batch.column("v")))
+        self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(n, -1)
+        lists = batch.column("ids")
+        off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        flat, size = lists.flatten().to_numpy(), np.diff(off)
+        self.ids = np.full((n, int(size.max())), NONE)
+        self.ids[np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(off[:-1], size)] = flat
+        order = np.argsort(self.ids[:, 0], kind="stable")  # so that of equal scores the smaller id comes first
+        self.x, self.codes, self.ids = self.x[order], self.codes[order], self.ids[order]
+        both = np.stack((self.codes >> 4, self.codes & 15), axis=2).reshape(n, -1)[:, : quantiser.words.shape[0]]
+        rest = quantiser.split(self.x) - quantiser.decoded(both)
+        self.off = (np.sqrt((rest * rest).sum(axis=(1, 2))) + ROUNDING).astype(np.float32)
+
+    def taken(self, nearest: Nearest, rows: np.ndarray, score: np.ndarray, at: np.ndarray) -> None:
+        """Candidates `at` of each of `rows`, with exact scores. First the vectors that matter, then all their ids."""
+        few = min(nearest.few + 1, score.shape[1])
+        order = np.lexsort((self.ids[at, 0], -score), axis=1)
+        while True:
+            first = order[:, :few]
+            vectors, scores = np.take_along_axis(at, first, 1), np.take_along_axis(score, first, 1)
+            ids = self.ids[vectors]
+            if few == score.shape[1] or all(len(set(x.ravel().tolist()) - {NONE}) > nearest.few for x in ids):
+                break
+            few = min(2 * few, score.shape[1])  # the same ids again and again: look further
+        wide = np.where(ids == NONE, -np.inf, scores[:, :, None])
+        nearest.add(rows, wide.reshape(len(rows), -1), ids.reshape(len(rows), -1))
+
+    def search(self, quantiser: Quantiser, queries: np.ndarray, rows: slice, nearest: Nearest, rerank: int) -> None:
+        q = queries[rows]
+        numbers = np.arange(rows.start, rows.start + len(q))
+        score = np.zeros((len(q), len(self.x)), np.float32)
+        for b, table in enumerate(quantiser.tables(q)):
+            score += table[:, self.codes[:, b]]
+        few = min(len(self.x), rerank)
+        top = np.argpartition(-score, few - 1, axis=1)[:, :few]
+        for a in range(0, len(q), 32):
+            near = top[a : a + 32]
+            self.taken(nearest, numbers[a : a + 32], (self.x[near] * q[a : a + 32, None, :]).sum(axis=2), near)
+        # what the tables can't rule out
+        score += self.off
+        np.put_along_axis(score, top, -np.inf, 1)
+        who, what = np.nonzero(score >= nearest.least(rows)[:, None])
+        for a in range(0, len(who), 1 << 14):
+            w, x = who[a : a + (1 << 14)], what[a : a + (1 << 14)]
+            exact = (self.x[x] * q[w]).sum(axis=1)
+            good = exact >= nearest.least(rows)[w]
+            w, x, exact = w[good], x[good], exact[good]
+            edges = np.flatnonzero(np.diff(w, prepend=-1, append=-1)).tolist()
+            for i, j in zip(edges, edges[1:], strict=False):
+                self.taken(nearest, numbers[w[i : i + 1]], exact[None, i:j], x[None, i:j])
 
 
 def scanned(index: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, nearest: int, rerank: int) -> DataFrame:
-    """(query_id, vec_id, score): for one block of queries, the nearest of each task's rows. Of every 4096 rows, the `rerank` best by the tables are scored exactly."""
+    """(query_id, vec_id, score): for one block of queries, the nearest of each task's rows."""
     sent = index.sparkSession.sparkContext.broadcast((quantiser, ids, queries))
 
     def each(batches):
         quantiser, ids, queries = sent.value
-        tables = quantiser.tables(queries)
-        best = [Best(nearest) for _ in ids]
+        found = Nearest(ids, nearest)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                x = unit(matrix(batch.column("v")))
-                # ties go to the smaller id, so of equal vectors few can be among the nearest: one more than asked for, as one may be the query itself
-                heads, members = distinct(x, batch.column("vec_id").to_numpy(), nearest + 1)
-                x = x[heads]
-                codes = np.frombuffer(b"".join(batch.column("codes").take(pa.array(heads)).to_pylist()), np.uint8).reshape(len(heads), -1)
-                score = np.zeros((len(ids), len(heads)), np.float32)
-                for b, table in enumerate(tables):
-                    score += table[:, codes[:, b]]
-                few = min(len(heads), rerank)
-                top = np.argpartition(-score, few - 1, axis=1)[:, :few]
-                for q in range(len(ids)):
-                    near = top[q]
-                    exact = (x[near] * queries[q]).sum(axis=1)
-                    keep = np.argsort(-exact, kind="stable")[: nearest + 1]
-                    own = [members[k] for k in near[keep]]
-                    found = np.concatenate(own)
-                    other = found != ids[q]
-                    best[q].add(np.repeat(exact[keep], list(map(len, own)))[other], found[other])
-        count = [len(b.id) for b in best]
-        yield pa.record_batch([pa.array(np.repeat(ids, count)), pa.array(np.concatenate([b.id for b in best])), pa.array(np.concatenate([b.score for b in best]))], ["query_id", "vec_id", "score"])
+                block = Block(whole.slice(at, 4096), quantiser)
+                for a in range(0, len(ids), 256):
+                    block.search(quantiser, queries, slice(a, a + 256), found, rerank)
+        held = found.id != NONE
+        yield pa.record_batch([pa.array(np.repeat(ids, held.sum(axis=1))), pa.array(found.id[held]), pa.array(found.score[held])], ["query_id", "vec_id", "score"])
 
     return index.mapInArrow(each, RESULT)
 
 
-def search(vectors: DataFrame, asks, nearest: int = 5, rerank: int = 100, sample: int = 20_000, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, asks, nearest: int = 5, rerank: int = 100, sample: int = 20_000, block_bytes: int = 16 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows where `asks` (a condition on vec_id) holds, the nearest other rows by cosine.
 
-    Queries go in blocks of about `block`, each against all rows; a block is all that the driver holds of them.
+    Queries go in blocks of about `block_bytes` of their vectors, each against all rows; a block is all that the driver and a task hold of them.
     """
-    index, quantiser = build(vectors, sample, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col)
+    index, quantiser = build(rows, sample, nearest + 1)
     if quantiser is None:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = index.where(asks).select("vec_id", "v")
-    blocks = -(-queries.count() // block)
+    queries = written(rows.where(asks).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    blocks = -(-queries.count() * 8 * quantiser.width // block_bytes)
     parts = None
     for k in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).toArrow()
-        ids, first = np.unique(asked.column("vec_id").to_numpy(), return_index=True)
-        if not len(ids):
+        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).orderBy("vec_id").toArrow()
+        if not asked.num_rows:
             continue
-        found = scanned(index, quantiser, ids, unit(matrix(asked.column("v")))[first], nearest, rerank)
+        found = scanned(index, quantiser, asked.column("vec_id").to_numpy(), unit(matrix(asked.column("v"))), nearest, rerank)
         if blocks > 1:
             found = written(found, "nearest")
         parts = found if parts is None else parts.union(found)
