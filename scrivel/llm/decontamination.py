@@ -2,26 +2,29 @@
 
 A shard is a slice of a partition's texts. Its words become symbols: a number for each word that a test window holds, 0 for
 every other. A window can only lie within a run of such words as long as the shortest window, so only those runs are
-indexed; each window is then searched backward through the wavelet ranks, its occurrences are located from sampled
-positions, and the words they cover are merged. Documents aren't shuffled; what is sent to the tasks is the benchmark, in
-blocks of at most `block` windows.
+indexed; each window whose words all occur is then searched backward through the wavelet ranks, its occurrences are located
+from sampled positions, and the words they cover are merged into spans to remove. Documents aren't shuffled. The benchmark
+goes to the tasks in blocks of bounded size: one pass for each block, of which driver and tasks hold one at a time; what
+a pass found goes with the documents, in a written table, to the next.
 
 Defined cases: a null or empty text has no words and isn't contaminated; items without words or without an id have no
 windows; item ids that repeat are one item with the windows of all their texts; ids of documents may be null or repeated,
-each row is judged for itself; an empty table gives no rows, an empty benchmark no hits.
+each row is judged for itself; a column to keep that is called like a result gives way to it; words whose hashes are equal
+are told apart by their letters; an empty table gives no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import slices, utf8
+from scrivel.llm.common import only, slices, utf8, written
 from scrivel.llm.fm_index import FMIndex
 
 #: Fixed value: a word, once A-Z are lower case.
@@ -29,7 +32,9 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 FACTOR = 0x9E3779B97F4A7C15
 PART = 1 << 20
-SCHEMA = "n_words long, n_hit long, n_items long, items array<string>"
+SPANS = "array<struct<start:int,end:int>>"
+#: Windows of a block of the benchmark, and bytes of their words, at most.
+BLOCK, BLOCK_BYTES = 100_000, 32 << 20
 
 
 def lowered() -> np.ndarray:
@@ -94,30 +99,42 @@ class Benchmark:
             self.patterns[i, : len(x)] = [self.symbol[w.encode()] for w in x]
 
     def ready(self, words: Words) -> None:
-        """Sorted hashes of the vocabulary, for one task."""
+        """Sorted hashes of the vocabulary, for one task. Hashes that several words have are listed apart."""
         texts = list(self.symbol)
         data = np.frombuffer(b" ".join(texts), np.uint8)
-        off = np.array([0, len(data)])
-        hashes = words.hashes(*words.ends(data, off))
-        if len(set(hashes.tolist())) != len(texts):
-            raise ValueError("two test words have the same hash")
-        order = np.argsort(hashes)
+        hashes = words.hashes(*words.ends(data, np.array([0, len(data)])))
+        order = np.argsort(hashes, kind="stable")
         self.hashes, self.number = hashes[order], order + 1
+        again = self.hashes[1:] == self.hashes[:-1]
+        self.ambiguous = np.unique(self.hashes[1:][again])
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+    def symbols(self, hashes: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.number[at], 0)
+        found = np.where(self.hashes[at] == hashes, self.number[at], 0)
+        if len(self.ambiguous):
+            for i in np.flatnonzero(np.isin(hashes, self.ambiguous)).tolist():
+                found[i] = self.symbol.get(low[begin[i] : end[i]].tobytes(), 0)
+        return found
 
 
-def windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> dict[tuple[str, ...], list[str]]:
-    """Each distinct window with its items. The benchmark is the stated query set: it is read by the driver item by item."""
+def windows(benchmark: DataFrame, size: int, id_col: str, text_col: str, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> Iterator[dict[tuple[str, ...], list[str]]]:
+    """Each distinct window of a block with its items, block after block. The benchmark is the stated query set: it is read by the driver item by item. A window that comes again in a later block has other items there."""
     found: dict[tuple[str, ...], set[str]] = {}
+    held = 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    done = lambda: {x: sorted(items) for x, items in sorted(found.items())}
     for item, text in rows.toLocalIterator():
         text = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
         for i in range(max(1, len(text) - size + 1) if text else 0):
-            found.setdefault(tuple(text[i : i + size]), set()).add(item)
-    return {x: sorted(items) for x, items in sorted(found.items())}
+            window = tuple(text[i : i + size])
+            if window not in found:
+                held += sum(map(len, window))
+            found.setdefault(window, set()).add(item)
+            if len(found) >= block or held >= block_bytes:
+                yield done()
+                found, held = {}, 0
+    if found:
+        yield done()
 
 
 def covered(found: np.ndarray, text: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,70 +154,113 @@ def covered(found: np.ndarray, text: np.ndarray, bench: Benchmark) -> tuple[np.n
     run = np.searchsorted(to, place, side="right")
     word = heads[run] + place - (to - sizes - 1)[run]
     sequence = np.where(place == to[run] - 1, 0, found[np.minimum(word, len(found) - 1)])
+    there = np.bincount(sequence, minlength=bench.sigma + 1) > 0
+    there[0] = True  # what a shorter window is filled with
+    asked = np.flatnonzero(there[bench.patterns].all(axis=1))
+    if not len(asked):
+        return mask, none, none
     index = FMIndex(sequence, bench.sigma)
-    low, high = index.search(bench.patterns, bench.lengths)
+    low, high = index.search(bench.patterns[asked], bench.lengths[asked])
     hits = np.maximum(high - low, 0)
     pattern = np.repeat(np.arange(len(hits)), hits)
     if not len(pattern):
         return mask, none, none
     rows = np.arange(len(pattern)) - np.repeat(np.cumsum(hits) - hits, hits) + low[pattern]
-    at = word[index.locate(rows)]
+    at, pattern = word[index.locate(rows)], asked[pattern]
     cover = np.zeros(len(found) + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + bench.lengths[pattern], -1)
     return np.cumsum(cover[:-1]) > 0, text[at], pattern
 
 
-def shard(part: pa.RecordBatch, words: Words, benches: list[Benchmark]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """n_words, n_hit and items of a slice's rows. The spans that the blocks of the benchmark give are merged."""
+def shard(part: pa.RecordBatch, words: Words, bench: Benchmark | None) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+    """n_words, numbers of hit words and items of a slice's rows."""
     off, data = utf8(part.column("text"))
     low, begin, end = words.ends(data, off)
     first = np.searchsorted(begin, off)  # a text's words: first[k] to first[k + 1]
     n_words = np.diff(first)
     items: list[set] = [set() for _ in n_words]
-    if not len(begin):
-        return n_words, np.zeros(len(n_words), np.int64), [[] for _ in items]
-    hashes, text = words.hashes(low, begin, end), np.repeat(np.arange(len(n_words)), n_words)
-    mask = np.zeros(len(begin), bool)
-    for bench in benches:
-        found = bench.symbols(hashes)
-        hit, texts, pattern = covered(found, text, bench)
-        mask |= hit
-        # equal hashes are no proof: the words of each text that was hit are compared
-        for k in np.unique(texts).tolist():
-            here = [bench.symbol.get(w, 0) for w in BYTES.findall(low[off[k] : off[k + 1]].tobytes())]
-            if not np.array_equal(here, found[first[k] : first[k + 1]]):
-                raise ValueError("two words have the same hash")
+    hit: list[list[int]] = [[] for _ in n_words]
+    if len(begin) and bench:
+        text = np.repeat(np.arange(len(n_words)), n_words)
+        found = bench.symbols(words.hashes(low, begin, end), low, begin, end)
+        while True:
+            mask, texts, pattern = covered(found, text, bench)
+            # equal hashes are no proof: the words of each text that was hit are compared, and its symbols mended
+            wrong = False
+            for k in np.unique(texts).tolist():
+                here = [bench.symbol.get(w, 0) for w in BYTES.findall(low[off[k] : off[k + 1]].tobytes())]
+                if not np.array_equal(here, found[first[k] : first[k + 1]]):
+                    found[first[k] : first[k + 1]], wrong = here, True
+            if not wrong:
+                break
         for both in np.unique(texts * len(bench.items) + pattern).tolist():
             k, p = divmod(both, len(bench.items))
             items[k].update(bench.items[p])
-    total = np.concatenate(([0], np.cumsum(mask)))
-    return n_words, total[first[1:]] - total[first[:-1]], [sorted(x) for x in items]
+        for k in np.unique(texts).tolist():
+            hit[k] = np.flatnonzero(mask[first[k] : first[k + 1]]).tolist()
+    return n_words, hit, [sorted(x) for x in items]
+
+
+def merged(numbers: list[int], text: str) -> list[dict]:
+    """Spans of neighbouring hit words in code points, the end exclusive: from the first word's beginning to the last one's end."""
+    if not numbers:
+        return []
+    words = [m.span() for m in WORD.finditer(re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    spans: list[dict] = []
+    for i, before in zip(numbers, [-2, *numbers], strict=False):
+        if i == before + 1:
+            spans[-1]["end"] = words[i][1]
+        else:
+            spans.append({"start": words[i][0], "end": words[i][1]})
+    return spans
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, at_least: int = 20, block: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated) for each row, and the columns `keep`.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, at_least: int = 20, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, spans, contaminated) for each row, and the columns `keep`.
 
-    contaminated: some word is hit, and n_hit * at_least >= n_words.
+    spans: the runs of hit words (start, end) in code points, the end exclusive. contaminated: some word is hit, and
+    n_hit * at_least >= n_words.
     """
-    held = windows(benchmark, size, item_col, item_text_col)
-    listed = list(held.items())
-    blocks = [Benchmark(dict(listed[i : i + block])) for i in range(0, len(listed), block)]
-    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks]
-    kind = docs.schema[id_col].dataType
-    extra = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
-
-    def each(batches):
-        words = Words()
-        for x in sent:
-            x.value.ready(words)
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                n = part.num_rows
-                n_words, n_hit, items = shard(part, words, [x.value for x in sent])
-                count = np.fromiter(map(len, items), np.int64, n)
-                yield pa.record_batch([part.column(0), *(part.column(f"keep_{i}") for i in range(len(keep))), n_words, n_hit, count, pa.array(items, pa.list_(pa.string()))], ["doc_id", *keep, "n_words", "n_hit", "n_items", "items"])
-
-    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep))]
-    found = docs.select(*columns).mapInArrow(each, ", ".join([f"doc_id {kind.simpleString()}", *extra, SCHEMA]))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * at_least >= F.col("n_words")))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    names = ["id", "text", *(f"keep_{i}" for i in range(len(keep)))]
+    passed = ", ".join([f"id {kind}", f"text {docs.schema[text_col].dataType.simpleString()}", *(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))])
+
+    def one_pass(rows: DataFrame, bench: Benchmark | None, last: bool) -> DataFrame:
+        """Adds what a block finds to the numbers of hit words and to the items. In the last pass words are counted, spans made, and the text goes."""
+        sent = spark.sparkContext.broadcast(bench)
+        out = ([x for x in names if x != "text"] + ["n_words", "hit", "items", "spans"]) if last else [*names, "hit", "items"]
+
+        def each(batches):
+            only("decontamination")
+            words, bench = Words(), sent.value
+            if bench:
+                bench.ready(words)
+            for batch in batches:
+                for part in slices(batch, "text", 4 << 20):
+                    n_words, hit, items = shard(part, words, bench)
+                    for i, (before, names_before) in enumerate(zip(part.column("hit").to_pylist(), part.column("items").to_pylist(), strict=True)):
+                        if before:
+                            hit[i], items[i] = sorted({*before, *hit[i]}), sorted({*names_before, *items[i]})
+                    columns = {x: part.column(x) for x in names} | {"hit": pa.array(hit, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(n_words, pa.int64())}
+                    if last:
+                        spans = [merged(x, part.column("text")[i].as_py()) if x else [] for i, x in enumerate(hit)]
+                        columns["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                    yield pa.record_batch([columns[x] for x in out], out)
+
+        found = "hit array<int>, items array<string>"
+        schema = ", ".join(x for x in passed.split(", ") if not x.startswith("text ")) if last else passed
+        return rows.mapInArrow(each, f"{schema}, n_words long, {found}, spans {SPANS}" if last else f"{schema}, {found}")
+
+    none = [F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items")]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), *none)
+    blocks = windows(benchmark, size, item_col, item_text_col, block)
+    now = next(blocks, None)
+    while (then := next(blocks, None) if now else None) is not None:
+        rows = written(one_pass(rows, Benchmark(now), False), "decontaminated")
+        now = then
+    found = one_pass(rows, Benchmark(now) if now else None, True)
+    n_hit = F.size("hit").cast("long")
+    result = {"doc_id": F.col("id"), "n_words": F.col("n_words"), "n_hit": n_hit, "n_items": F.size("items").cast("long"), "items": F.col("items"), "spans": F.col("spans"), "contaminated": (n_hit > 0) & (n_hit * at_least >= F.col("n_words"))}
+    kept = {c: F.col(f"keep_{i}") for i, c in enumerate(keep)}
+    return found.select(*(c.alias(x) for x, c in (kept | result).items()))
