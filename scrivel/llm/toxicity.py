@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import slices, texts, written
+from scrivel.llm.common import only, scratch, slices, texts, written
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Bytes after which a window ends with the next space.
@@ -30,6 +31,8 @@ WINDOW = 64
 #: A toxic and an ordinary head of so many bytes, then common words.
 HEAD, COMMON = 24_000, 400_000
 STEPS = (1, 2, 3, 4, 5, 6, 8)
+#: Toxic texts in which a word of the toxic head stands at least.
+LEAST = 4
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -94,8 +97,7 @@ def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
         seen[label].update(set(WORD.findall(text.lower().encode())))
     of = [sum(label == k for _, label in rows) for k in (0, 1)]
     lift = lambda w: math.log((seen[1][w] + 0.5) / (of[1] + 1)) - math.log((seen[0][w] + 0.5) / (of[0] + 1))
-    least = 5 if of[1] >= 200 else 2
-    telling = sorted((w for w in seen[1] if len(w) > 2 and seen[1][w] >= least and lift(w) > 3), key=lambda w: (seen[1][w], w))
+    telling = sorted((w for w in seen[1] if len(w) > 2 and seen[1][w] >= LEAST and lift(w) > 3), key=lambda w: (seen[1][w], w))
     common = sorted((w for w in seen[0] if len(w) > 2 and seen[0][w] >= 2 and lift(w) < 1), key=lambda w: (seen[0][w], w))
     all_common = b" " + b" ".join(common) + b" "
     head, tail = (b" " + b" ".join(telling) + b" ")[-HEAD:], all_common[-COMMON:]
@@ -110,6 +112,7 @@ class Model:
         parts = [[r for r in rows if (zlib.crc32(r[0].encode()) % 3 == 0) == k] for k in (False, True)]
         self.weights = None
         if any({label for _, label in part} != {0, 1} for part in parts):
+            warnings.warn("too few labelled rows of both kinds: every score is 0", stacklevel=2)
             return
         self.toxic, self.ordinary = dictionaries(parts[0])
         measure = Distance(self.toxic, self.ordinary)
@@ -141,19 +144,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, most_bytes: in
     taken = known.orderBy(F.xxhash64("id"), "id").limit(most)
     # at most `most` ids and labels are broadcast, and as many texts written
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(taken), "id")
-    sample = written(rows.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")
-    ids, total = [], 0
-    for r in sample.select(F.xxhash64("id").alias("order"), "id", F.octet_length("text").alias("size")).orderBy("order", "id").collect():
-        if total + r["size"] > most_bytes:  # a text that does not fit leaves room for shorter ones
-            continue
-        total += r["size"]
-        ids.append(r["id"])
-    if not ids:
-        return Model([])
-    kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {kind}")
-    found = sample.join(F.broadcast(chosen), "id", "left_semi").select("text", "label").collect()
-    return Model(sorted((r["text"], int(r["label"] > 0)) for r in found))
+    with scratch(docs.sparkSession):
+        sample = written(rows.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")
+        ids, total = [], 0
+        for r in sample.select(F.xxhash64("id").alias("order"), "id", F.octet_length("text").alias("size")).orderBy("order", "id").collect():
+            if total + r["size"] > most_bytes:  # a text that does not fit leaves room for shorter ones
+                continue
+            total += r["size"]
+            ids.append(r["id"])
+        if not ids:
+            return Model([])
+        kind = docs.schema[id_col].dataType.simpleString()
+        chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {kind}")
+        found = sample.join(F.broadcast(chosen), "id", "left_semi").select("text", "label").collect()
+        return Model(sorted((r["text"], int(r["label"] > 0)) for r in found))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -164,6 +168,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     names = ["doc_id", *(f"keep_{i}" for i in range(len(keep)))]
 
     def each(batches):
+        only("toxicity")
         score = sent.value.scorer()
         for batch in batches:
             for part in slices(batch, "text"):
