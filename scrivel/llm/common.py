@@ -2,41 +2,95 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that an Arrow function works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and everything runs on one machine, a temporary one; elsewhere that is an error, as executors would write to their own disks."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='scrivel-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends there, and lost executors lose none of it."""
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{work_dir(spark)}/scrivel/{spark.sparkContext.applicationId}"
+
+
+#: Of each open scratch(), the paths of its tables.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+def written(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: its lineage ends there, and lost executors lose none of it. Within a scratch() it is removed with it; `outer` leaves it to what is around that."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/scrivel/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scopes = _scopes.get()[: -1 if outer else None]
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes every table that written() and the queries left in the shared folder, once no DataFrame that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/scrivel")
+def removed(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables that written() makes inside, at the end. What is needed longer is written with `outer`."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in paths:
+            removed(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes every table that this application left in the shared folder, once no DataFrame that reads them is needed."""
+    removed(spark, run_dir(spark))
+
+
+#: What this Python worker keeps between tasks, by operator: how to forget it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def only(operator: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called by a task before it begins: what other operators keep in this worker is forgotten, so that a worker holds one operator's caches at a time."""
+    others = [k for k in _kept if k != operator]
+    for k in others:
+        _kept.pop(k)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # what the C library holds goes back to the system, where it can
+            ctypes.CDLL(None).malloc_trim(0)
+    _kept[operator] = forget
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,6 +123,34 @@ def texts(array: pa.Array) -> list[str]:
     return [x or "" for x in array.to_pylist()]
 
 
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """The text with `mark` for each span; spans that overlap are one. spans: an array of structs with start and end, sorted by start, in code points, ends exclusive.
+
+    Linear in text and spans: the text is taken apart into its characters once, and the pieces between spans are slices.
+    """
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<start:bigint,end:bigint>>")
+    start = F.struct(zero.alias("reach"), none.alias("merged"), zero.alias("begin"), F.lit(False).alias("open"))
+
+    def grown(held, x):
+        begin, end = x["start"].cast("long"), x["end"].cast("long")
+        inside = held["open"] & (begin < held["reach"])
+        done = F.when(held["open"] & ~inside, F.array_append(held["merged"], F.struct(held["begin"].alias("start"), held["reach"].alias("end")))).otherwise(held["merged"])
+        return F.struct(F.when(inside, F.greatest(held["reach"], end)).otherwise(end).alias("reach"), done.alias("merged"), F.when(inside, held["begin"]).otherwise(begin).alias("begin"), F.lit(True).alias("open"))
+
+    one = F.aggregate(spans, start, grown, lambda held: F.array_append(held["merged"], F.struct(held["begin"].alias("start"), held["reach"].alias("end"))))
+
+    def pieces(held):
+        chars, merged = held["chars"], held["merged"]
+        upto = lambda i: F.when(i == 0, zero).otherwise(F.get(merged, (i - 1).cast("int"))["end"])
+        piece = F.transform(merged, lambda x, i: F.concat(F.array_join(F.slice(chars, (upto(i) + 1).cast("int"), (x["start"] - upto(i)).cast("int")), ""), F.lit(mark)))
+        last = F.element_at(merged, -1)["end"]
+        return F.concat(F.array_join(piece, ""), F.array_join(F.slice(chars, (last + 1).cast("int"), F.size(chars)), ""))
+
+    # bound by a lambda, so that neither is computed again for each span
+    held = F.array(F.struct(F.split(text, "").alias("chars"), one.alias("merged")))
+    return F.when(F.size(spans) == 0, text).otherwise(F.element_at(F.transform(held, pieces), 1))
+
+
 def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 

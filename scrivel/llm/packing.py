@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Bounded, slices, texts
+from scrivel.llm.common import Bounded, only, slices, texts
 
 #: Fixed value: pretokens of the vocabulary, within ASCII and lower case.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -159,6 +159,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches):
+        only("packing", encoder.cache_clear)
         ids_of = encoder(vocabulary).many
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         id_type = None

@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import table, work_dir
+from scrivel.llm.common import run_dir, table
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivel.llm.warc import read_archive, write_archive
 
-    path = f"{work_dir(spark)}/scrivel/archive-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages"), path)
     return read_archive(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
@@ -51,7 +51,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivel.llm.secret_scan import RULES, Ledger, listed, scan
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, Ledger(spark, f"{work_dir(spark)}/scrivel/ledger-{uuid.uuid4().hex}"))
+    found = scan(docs, Ledger(spark, spark.conf.get("spark.scrivel.secrets.ledger", None) or f"{run_dir(spark)}/ledger-{uuid.uuid4().hex}"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     names = listed(F.col("spans"))
     return found.select("doc_id", *(count(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES)), F.sha2(names, 256).alias("base_sha256"), names.alias("spans"))

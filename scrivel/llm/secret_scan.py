@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import written
+from scrivel.llm.common import replaced, scratch, written
 
 
 @dataclass(frozen=True)
@@ -133,8 +133,5 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced; spans that overlap are one. Each span that begins beyond all before it closes the piece of text up to it."""
-    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda x: x["end"])), F.lit(0))
-    piece = F.transform(spans, lambda x, i: F.when((x["start"] >= reach(i)) | (i == 0), F.concat(F.substring(text, (reach(i) + 1).cast("int"), (x["start"] - reach(i)).cast("int")), F.lit(mark))).otherwise(""))
-    last = F.array_max(F.transform(spans, lambda x: x["end"]))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(piece, ""), F.substring(text, (last + 1).cast("int"), F.length(text))))
+    """The text with every span replaced; spans that overlap are one."""
+    return replaced(text, spans, mark)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scrivel.llm.common import slices, utf8, written
+from scrivel.llm.common import only, scratch, slices, utf8, written
 
 #: Shingles hashed at once.
 BLOCK = 1 << 16
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType
 
     def each(batches):
+        only("simhash")
         for batch in batches:
             for part in slices(batch, "text"):
                 off, data = utf8(part.column("text"))
@@ -106,25 +107,27 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of the longest path. Every round is written, and no node's edges meet in one task: sums are partial,
     and the joins may be split.
     """
-    edges = written(edges.union(edges.select(F.col("v"), F.col("u"))), "edges")
-    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    while True:
-        at = lambda a, b: labels.select(F.col("node").alias(a), F.col("label").alias(b))
-        beside = edges.join(at("u", "lu"), "u").join(at("v", "lv"), "v").where("lv < lu")
-        lower = beside.select(F.explode(F.array("u", "lu")).alias("node"), F.col("lv").alias("low")).groupBy("node").agg(F.min("low").alias("low"))
-        hung = written(labels.join(lower, "node", "left").select("node", F.least("label", "low").alias("label"), F.col("low").isNotNull().alias("moved")), "hung")
-        up = hung.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = written(hung.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), (F.col("moved") | (F.col("above") < F.col("label"))).alias("moved")), "labels")
-        if labels.where("moved").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+    with scratch(edges.sparkSession):
+        edges = written(edges.union(edges.select(F.col("v"), F.col("u"))), "edges")
+        labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+        while True:
+            at = lambda a, b: labels.select(F.col("node").alias(a), F.col("label").alias(b))
+            beside = edges.join(at("u", "lu"), "u").join(at("v", "lv"), "v").where("lv < lu")
+            lower = beside.select(F.explode(F.array("u", "lu")).alias("node"), F.col("lv").alias("low")).groupBy("node").agg(F.min("low").alias("low"))
+            hung = written(labels.join(lower, "node", "left").select("node", F.least("label", "low").alias("label"), F.col("low").isNotNull().alias("moved")), "hung")
+            up = hung.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            labels = written(hung.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), (F.col("moved") | (F.col("above") < F.col("label"))).alias("moved")), "labels")
+            if labels.where("moved").isEmpty():
+                return written(labels.select("node", "label"), "components", outer=True)
+            labels = labels.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row."""
     marks = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    nodes = written(marks.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-    found = components(links(nodes.where("rep IS NOT NULL"), distance, blocks))
-    named = written(nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "components")
+    with scratch(docs.sparkSession):
+        nodes = written(marks.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+        found = components(links(nodes.where("rep IS NOT NULL"), distance, blocks))
+        named = written(nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "named", outer=True)
     hex16: Column = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marks.join(named, "fp", "left").select(F.col("id").alias("doc_id"), hex16.alias("fingerprint"), "component_id")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import slices, utf8, written
+from scrivel.llm.common import only, slices, utf8, written
 
 WINDOW = 10
 #: Bytes that the gear hash looks back on.
@@ -70,6 +70,7 @@ def chunks(docs: DataFrame, min_bytes: int = 64, id_col: str = "doc_id", text_co
     def each(batches):
         import xxhash
 
+        only("substring_dedup")
         digest, table = xxhash.xxh3_128_digest, gear_table()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Bounded, slices, texts, utf8
+from scrivel.llm.common import Bounded, only, slices, texts, utf8
 
 #: White space as the vocabulary's splitting pattern understands it.
 WS = "\t-\r \x85\xa0  -     　"
@@ -115,6 +115,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     kind = docs.schema[id_col].dataType
 
     def each(batches):
+        only("token_counts", counter.cache_clear)
         count = counter(vocabulary).count
         for batch in batches:
             for part in slices(batch, "text"):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -225,6 +226,16 @@ def test_secret_scan(spark, docs, tmp_path):
     assert secret_scan.scan(docs.limit(0), secret_scan.Ledger(spark, f"file://{tmp_path}/b")).count() == 0
 
 
+def test_redaction_is_linear(spark, tmp_path):
+    """Thousands of findings in one text, some of them overlapping."""
+    text = "".join(f"é𝄞 {i:016x} secret={i:016x}\n" for i in range(6_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secret_scan.scan(docs, secret_scan.Ledger(spark, f"file://{tmp_path}/c"))
+    began = time.perf_counter()
+    r = found.select(secret_scan.redacted(F.col("text"), F.col("spans")).alias("r")).first().r
+    assert r == "é𝄞 [SECRET] [SECRET]\n" * 6_000 and time.perf_counter() - began < 20
+
+
 def test_ledger_scans_only_what_it_has_not_seen(spark, docs, tmp_path):
     ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger")
     ledger.add(docs.where("doc_id <= 5"))
@@ -262,13 +273,36 @@ def test_decontamination(spark, docs, benchmark, block):
                     hit.update(range(k, k + len(w)))
                     items |= names
         want.append((i, len(x), len(hit), sorted(items), len(hit) > 0 and 20 * len(hit) >= len(x)))
-    got = decontamination.contamination(docs.drop("items"), benchmark, block=block)
+    got = decontamination.contamination(docs.drop("items"), benchmark, block=block).cache()
+    for r in got.join(docs.select(F.col("doc_id").alias("i"), "text").dropDuplicates(["i"]), F.col("i") == F.col("doc_id")).where("n_hit > 0").collect():
+        inside = [w for a, b in r.spans for w in low(r.text[a:b])]
+        assert len(inside) == r.n_hit and all(b <= c for (_, b), (c, _) in zip(r.spans, r.spans[1:]))
     assert both(got, "doc_id", "n_words", "n_hit", "items", "contaminated") == sorted(want, key=repr)
     assert decontamination.contamination(docs.limit(0), benchmark).count() == 0
     none = decontamination.contamination(docs, benchmark.limit(0))
     assert none.where("n_hit > 0 OR contaminated").count() == 0 and none.count() == docs.count()
 
 
+def thue_morse(flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024))
+
+
+def test_words_of_equal_hashes(spark):
+    """Two words that the rolling hash can't tell apart, in the benchmark and in documents, and results called like columns to keep."""
+    a, b = thue_morse(0), thue_morse(1)
+    w = decontamination.Words()
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    assert len(set(w.hashes(*w.ends(data, np.array([0, len(data)]))).tolist())) == 1
+    docs = spark.createDataFrame([(1, f"x {a} y", 5, "k"), (2, f"x {b} y", 6, None), (3, f"{b} {b}", 7, "")], "doc_id long, text string, items int, source string")
+    for items in ([(9, a)], [(9, a), (8, b)], [(9, a), (8, f"{b} {b}"), (7, b)]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        for block in (100, 1):
+            got = {r.doc_id: (r["items"], r.n_hit) for r in decontamination.contamination(docs, bench, block=block, keep=("items", "source")).collect()}
+            for i, text in ((1, f"x {a} y"), (2, f"x {b} y"), (3, f"{b} {b}")):
+                names = sorted(str(n) for n, t in items if f" {t} " in f" {text} ")
+                assert got[i] == (names, sum(x in {y for n, t in items if str(n) in names for y in t.split()} for x in text.split())), (i, items)
+
+
 def test_fm_index():
     r = np.random.default_rng(0)
     for _ in range(150):
