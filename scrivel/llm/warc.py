@@ -1,12 +1,18 @@
 """A content-addressed web archive: payload bytes once under their SHA-256, exact record headers apart, records through a join.
 
+Every record has an id of its own, a date, and its page's id in a field of ours, percent-encoded, so that ids of any type and
+with any character come back; a revisit names the record that it refers to by that record's page.
+
 Defined cases: a null payload is empty; of equal payloads of `least` bytes or more, the records with the smallest id are
 responses and the others revisit them; smaller payloads are all responses, and stored once all the same; a record without an
-id comes after all others; repeated rows are repeated records; an empty table gives an empty archive.
+id comes after all others; a null url has no field, an empty one an empty field; repeated rows are repeated records, each with
+its own record id; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,51 +21,67 @@ from scrivel.llm.common import written
 #: Fixed values of the format.
 VERSION, LINE = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Fields of ours.
+PAGE, PAGE_TYPE, REFERS = "Scrivel-Page-ID", "Scrivel-Page-ID-Type", "Scrivel-Refers-To-Page-ID"
 
 
 def one_line(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, "\r", "%0D"), "\n", "%0A")
 
 
-def header_block(record: DataFrame) -> Column:
+def field(name: str, value: Column) -> Column:
+    """A header line; none for a null value."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(LINE)), F.lit(""))
+
+
+def header_block(record: DataFrame, date: str) -> Column:
     """The header of a record, up to and with the empty line. Content-Length is of the record's own block: none for a revisit."""
-    field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(LINE))
     revisit = F.col("record_type") == "revisit"
+    id_type = record.schema["page_id"].dataType.simpleString()
     return F.concat(
         F.lit(VERSION + LINE),
         field("WARC-Type", F.col("record_type")),
-        field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
-        F.when(F.col("url").isNotNull(), field("WARC-Target-URI", one_line(F.col("url")))).otherwise(""),
+        field("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
+        field("WARC-Date", F.lit(date)),
+        field("WARC-Target-URI", one_line(F.col("url"))),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{LINE}"), F.when(F.col("refers_to").isNotNull(), field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))).otherwise(""))).otherwise(""),
+        field(PAGE_TYPE, F.lit(id_type)),
+        field(PAGE, F.url_encode(F.col("page_id").cast("string"))),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{LINE}"), field(REFERS, F.url_encode(F.col("refers_to").cast("string"))))).otherwise(""),
         field("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
         F.lit(LINE),
     )
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Writes path/payloads (digest, payload) and path/records (digest, header). Payloads are shuffled once, by digest; headers never with them."""
+def write_archive(pages: DataFrame, path: str, least: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: datetime.datetime | None = None) -> None:
+    """Writes path/payloads (digest, payload) and path/records (digest, header). Payloads are shuffled once, by digest; headers never with them.
+
+    `date` (now, if none is given) is the date of every record.
+    """
     kind = pages.schema[id_col].dataType.simpleString()
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
-    sized = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"))
+    sized = written(rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size")), "sized")  # from here on, no payload is read or hashed again
     firsts = written(sized.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     revisits = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
     typed = sized.join(firsts, "digest", "left").withColumn("record_type", F.when(revisits, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisits, F.col("first")).cast(kind))
-    typed.select("digest", header_block(typed).cast("binary").alias("header")).write.parquet(f"{path}/records")
+    stamp = (date or datetime.datetime.now(datetime.UTC)).astimezone(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    typed.select("digest", header_block(typed, stamp).cast("binary").alias("header")).write.parquet(f"{path}/records")
 
 
-def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """(page_id, url, record_type, refers_to, digest, header, payload) of each record, rebuilt by a join. A payload that isn't what its digest says raises an error."""
+def read_archive(spark: SparkSession, path: str, id_type: str | None = None) -> DataFrame:
+    """(page_id, url, record_type, refers_to, digest, header, payload) of each record, rebuilt by a join. Ids have the type that the records name, or `id_type`. A payload that isn't what its digest says raises an error."""
     payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     true = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("digest"))).cast("binary"))
     records = spark.read.schema("digest string, header binary").parquet(f"{path}/records")
     text = F.decode("header", "UTF-8")
-    field = lambda name, pattern: F.nullif(F.regexp_extract(text, rf"\r\n{name}: {pattern}\r\n", 1), F.lit(""))
+    value = lambda name: F.get(F.regexp_extract_all(text, F.lit(rf"\r\n{name}: ([^\r\n]*)\r\n"), F.lit(1)), F.lit(0))
+    if id_type is None:
+        one = records.select(value(PAGE_TYPE).alias("t")).first()
+        id_type = one.t if one else "bigint"
     parsed = records.select(
-        "digest", "header", field("WARC-Record-ID", "<urn:page:([^>]*)>").cast(id_type).alias("page_id"), field("WARC-Target-URI", "([^\r\n]*)").alias("url"),
-        field("WARC-Type", "(\\w+)").alias("record_type"), field("WARC-Refers-To", "<urn:page:([^>]*)>").cast(id_type).alias("refers_to"),
+        "digest", "header", F.url_decode(value(PAGE)).cast(id_type).alias("page_id"), value("WARC-Target-URI").alias("url"), value("WARC-Type").alias("record_type"), F.url_decode(value(REFERS)).cast(id_type).alias("refers_to"),
     )
     return parsed.join(payloads.select("digest", true.alias("payload")), "digest").select("page_id", "url", "record_type", "refers_to", "digest", "header", "payload")
 

@@ -1,7 +1,10 @@
 """Operators on pages and embeddings: brute force, round trips, and the cases that their docstrings define."""
 
 import hashlib
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -40,6 +43,18 @@ def test_archive(spark, pages, tmp_path):
     raw = back.where("page_id = 10").select(warc.record_bytes(back).alias("b")).first().b
     assert bytes(raw).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(raw).endswith(("é" * 90).encode() + b"\r\n\r\n")
     assert back.where("page_id = 11").first().url == "s://bluesky.com/de/%0D%0A2"
+    heads = [bytes(r.header).decode() for r in back.collect()]
+    assert len({re.search("WARC-Record-ID: (.*)", h)[1] for h in heads}) == len(rows) and all(re.search(r"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", h) for h in heads)
+
+
+def test_archive_of_any_ids(spark, tmp_path):
+    """Ids that hold the signs of a header, empty and missing urls, and addresses that imitate header lines."""
+    rows = [("a>b", "", "x" * 100), ("\r\nWARC-Type: revisit\r\n", None, "x" * 100), ("", "\r\nScrivel-Page-ID: z\r\n", "y"), (None, "é ü", None), ("100% +", "u", "z")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), f"file://{tmp_path}/ids")
+    back = {(r.page_id, r.url, bytes(r.payload).decode(), r.record_type, r.refers_to) for r in warc.read_archive(spark, f"file://{tmp_path}/ids").collect()}
+    first = min(i for i, _, p in rows if p == "x" * 100)
+    want = {(i, u and u.replace("\r", "%0D").replace("\n", "%0A"), p or "", "revisit" if p == "x" * 100 and i != first else "response", first if p == "x" * 100 and i != first else None) for i, u, p in rows}
+    assert back == want
 
 
 def test_archive_of_nothing(spark, pages, tmp_path):
@@ -78,9 +93,53 @@ def test_urls(pages):
     assert {r.verdict for r in url_filter.judge(pages.where("page_id = 13")).collect()} == {"allow"}
 
 
-def test_segmentation():
-    cut = url_filter.Segmenter({"red": 50, "car": 40, "redc": 1, "sky": 9, "blue": 9})
-    assert cut.names["redcar"] == ["red", "car"] and cut.names["blueskyx"] == ["blue", "sky", "x"] and cut.names[""] == []
+def test_segmentation(spark):
+    counts = {"red": 50, "car": 40, "redc": 1, "sky": 9, "blue": 9, "c" * 30: 2, "c" * 60: 1}
+    names = ["redcar", "blueskyx", "", "red-car9sky", "c" * 59, "c" * 61, "x" * 3000 + "red", "é", "RED"]
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = {r.name: r.words for r in url_filter.segmented(spark.createDataFrame([(n,) for n in names * 2], "name string"), words).collect()}
+    assert got == {n: likeliest(n, counts) for n in names}
+    assert got["redcar"] == ["red", "car"] and got["blueskyx"] == ["blue", "sky", "x"] and got[""] == []
+    assert url_filter.segmented(spark.createDataFrame([("ab",)], "name string"), words.limit(0)).first().words == ["a", "b"]
+
+
+def likeliest(name, counts):
+    """The split by brute force over all words at each place."""
+    total = sum(counts.values()) + 1
+    best = [(0.0, [])]
+    for end in range(1, len(name) + 1):
+        cost, words = best[-1]
+        options = [(cost + math.log(total) + 10, words, name[end - 1])]
+        options += [(best[end - len(w)][0] + math.log(total / n), best[end - len(w)][1], w) for w, n in counts.items() if name[:end].endswith(w)]
+        cost, words, last = min(options, key=lambda x: x[0])
+        best.append((cost, [*words, last]))
+    return best[-1][1]
+
+
+def test_verdicts_against_brute_force(spark):
+    """Counts, smoothing and sums of naive Bayes, all over again."""
+    r = random.Random(3)
+    words = "spam loot calm tree red blue".split()
+    rows = [(i, f"https://{''.join(r.choice(words) for _ in range(2))}.{r.choice(['com', 'net', 'org'])}/{r.choice(['de', 'fr', 'xx'])}/{r.choice(words)}{r.randrange(50)}", f"<title>{r.choice(words)} {r.choice(words)} rare{'x' * r.randrange(40)}</title>") for i in range(300)]
+    got = {x.page_id: x for x in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    counts, seen, urls, found = {}, np.zeros((2, url_filter.BUCKETS)), [0, 0], {}
+    for _, _, html in rows:
+        for w in re.findall("[a-z]+", html[7:-8]):
+            counts[w] = counts.get(w, 0) + 1
+    for i, url, _ in rows:
+        host, path, _, verdict = judged(url)
+        names = ["h " + w for label in host.split(".") for w in likeliest(label, counts)]
+        names += ["p " + ("#" * len(t) if t.isdigit() else t) for t in re.findall("[a-z]+|[0-9]+", path)]
+        found[i] = [zlib.crc32(t.encode()) % url_filter.BUCKETS for t in names]
+        if verdict:
+            label = int(verdict == "block")
+            urls[label] += 1
+            for place in found[i]:
+                seen[label, place] += 1
+    p = (seen + 1) / (seen + 1).sum(axis=1, keepdims=True)
+    for i, url, _ in rows:
+        odds = math.log((urls[1] + 0.5) / (urls[0] + 0.5)) + sum(math.log(p[1, x] / p[0, x]) for x in found[i])
+        assert abs(got[i].log_odds - odds) < 1e-9 and got[i].verdict == (judged(url)[3] or ("block" if odds > 0 else "allow"))
 
 
 def test_naive_bayes_learns_from_rules(spark):
