@@ -1,8 +1,9 @@
 """Incremental secret scans over a ledger of content-addressed blobs, with DataFrame functions alone.
 
 Every version of a text is a blob named by the SHA-256 of its bytes. The ledger holds which blobs were scanned under which
-version of the rules, and what was found; a run scans only pairs that aren't in it, each blob once however many paths hold it,
-and joins findings back to all paths.
+version of the rules, what was found, and which paths ever held which blob; a run scans only pairs that aren't in it, each blob
+once however many paths hold it, and joins findings back to all paths. Names of blobs are compared first: of known blobs no
+text is shuffled.
 
 Defined cases: a null text is empty; ids may be null or repeated, each row gets its blob's findings; matches of one rule don't
 overlap, those of different rules may; an empty table gives no rows and leaves the ledger as it was.
@@ -43,7 +44,7 @@ def blob_id(text: str | Column) -> Column:
 
 
 class Ledger:
-    """Two Parquet tables below a shared path: scanned (blob, rules) and found (blob, rules, kind, start, end)."""
+    """Three Parquet tables below a shared path: scanned (blob, rules), found (blob, rules, kind, start, end) and versions (path, blob)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -51,8 +52,10 @@ class Ledger:
     def table(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:  # nothing has been written yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing has been written yet
 
     def scanned(self) -> DataFrame:
         return self.table("scanned", "blob string, rules string")
@@ -62,19 +65,41 @@ class Ledger:
 
     def add(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = "1", text_col: str = "text") -> None:
         """Scans the blobs of docs that weren't scanned under this version. Findings are written first, so a run that breaks off is repeated, not lost; findings that were then written twice are read once."""
-        seen = self.scanned().where(F.col("rules") == version).select("blob")
-        blobs = docs.select(blob_id(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        unseen = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
+        with scratch(self.spark):
+            seen = self.scanned().where(F.col("rules") == version).select("blob")
+            blobs = docs.select(blob_id(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+            new = written(blobs.select("blob").distinct().join(seen, "blob", "left_anti"), "new")
+            if new.isEmpty():
+                return
+            # the filter lets few known blobs through; what it lets through is joined exactly, each text once
+            likely = filtered(blobs, "blob", new.select("blob")).where("may").drop("may")
+            unseen = likely.groupBy("blob").agg(F.first("text").alias("text")).join(new, "blob", "left_semi")
+            self.search(unseen, rules, version).write.mode("append").parquet(f"{self.path}/found")
+            new.select("blob", F.lit(version).alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
+
+    def search(self, blobs: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFrame:
+        """Rows of found, for each of the blobs (blob, text)."""
         may_hold = [F.col("text").rlike(r.pattern).alias(f"has_{i}") for i, r in enumerate(rules)]
         # one pass tells which rules match at all; only those few texts are taken apart
-        marked = unseen.select("blob", "text", *may_hold)
+        marked = blobs.select("blob", "text", *may_hold)
         parts = F.array(*(F.when(F.col(f"has_{i}"), pieces(r, i)) for i, r in enumerate(rules)))
         hit = marked.where(" OR ".join(f"has_{i}" for i in range(len(rules)))).select("blob", F.explode(F.flatten(F.filter(parts, lambda x: x.isNotNull()))).alias("m")).select("blob", "m.*")
         before = Window.partitionBy("blob", "kind").orderBy("i")
         end = F.sum(F.col("gap") + F.col("size")).over(before.rowsBetween(Window.unboundedPreceding, 0))
-        spans = hit.withColumn("end", end).where("kept").select("blob", F.lit(version).alias("rules"), "kind", (F.col("end") - F.col("size")).alias("start"), "end")
-        spans.write.mode("append").parquet(f"{self.path}/found")
-        blobs.select("blob").distinct().join(seen, "blob", "left_anti").select("blob", F.lit(version).alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
+        return hit.withColumn("end", end).where("kept").select("blob", F.lit(version).alias("rules"), "kind", (F.col("end") - F.col("size")).alias("start"), "end")
+
+    def versions(self) -> DataFrame:
+        return self.table("versions", "path string, blob string").distinct()
+
+    def record(self, docs: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> None:
+        """Keeps which blob each path holds now, beside those that it held before."""
+        now = docs.select(F.col(path_col).cast("string").alias("path"), blob_id(text_col).alias("blob")).distinct()
+        known = self.versions().withColumnsRenamed({"path": "known_path", "blob": "known_blob"})
+        now.join(known, F.col("path").eqNullSafe(F.col("known_path")) & (F.col("blob") == F.col("known_blob")), "left_anti").write.mode("append").parquet(f"{self.path}/versions")
+
+    def history(self, version: str = "1") -> DataFrame:
+        """(path, blob, spans): findings of every version that any recorded path ever held."""
+        return self.versions().join(self.findings(version), "blob").select("path", "blob", "spans")
 
     def findings(self, version: str = "1") -> DataFrame:
         """(blob, spans) of the blobs with findings: an array of (start, kind, end), in that order."""
@@ -103,6 +128,16 @@ def place(blob: Column) -> tuple[Column, Column]:
     return F.shiftright(bit, 15), bit.bitwiseAND(F.lit(ROW_BITS - 1))
 
 
+def filtered(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """rows with `may`: whether their key may be among names (one column), by a bit filter of fixed size, which is broadcast. False is certain."""
+    row, bit = place(F.col(names.columns[0]))
+    bits = names.select(row.alias("filter_row"), bit.alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
+    row, bit = place(F.col(key))
+    byte = F.conv(F.hex(F.substring("filter_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit.bitwiseAND(F.lit(7))).cast("int")) != 0, F.lit(False))
+    return rows.withColumn("filter_row", row).join(F.broadcast(bits), "filter_row", "left").withColumn("may", may).drop("filter_row", "filter_bits")
+
+
 def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, version: str = "1", text_col: str = "text") -> DataFrame:
     """docs with `spans`, the findings of each row's text (empty if there are none): an array of (start, kind, end) in code points, the end exclusive; kind is the rule's number. A column `spans` of docs is replaced.
 
@@ -111,15 +146,10 @@ def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, versi
     """
     ledger.add(docs, rules, version, text_col)
     found = written(ledger.findings(version), "findings").select(F.col("blob").alias("scan_blob"), F.col("spans").alias("scan_spans"))
-    row, bit = place(F.col("scan_blob"))
-    bits = found.select(row.alias("filter_row"), bit.alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
     kept = [c for c in docs.columns if c != "spans"]
     # whatever the columns of docs are called, they don't clash
     rows = docs.select(blob_id(text_col).alias("scan_key"), *(F.col(c).alias(f"in_{i}") for i, c in enumerate(kept)))
-    row, bit = place(F.col("scan_key"))
-    byte = F.conv(F.hex(F.substring("filter_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit.bitwiseAND(F.lit(7))).cast("int")) != 0, F.lit(False))
-    marked = rows.withColumn("filter_row", row).join(F.broadcast(bits), "filter_row", "left").withColumn("may", may).drop("filter_row", "filter_bits")
+    marked = filtered(rows, "scan_key", found.select("scan_blob"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     held = marked.where("may").join(found, F.col("scan_key") == F.col("scan_blob"), "left").withColumn("spans", F.coalesce("scan_spans", none))
     out = marked.where("NOT may").withColumn("spans", none).select(*(f"in_{i}" for i in range(len(kept))), "spans").union(held.select(*(f"in_{i}" for i in range(len(kept))), "spans"))
