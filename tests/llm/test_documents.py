@@ -196,6 +196,54 @@ def test_every_passage_of_over_fifty_words_is_found(spark):
     assert found == planted
 
 
+def test_some_copy_of_every_passage_is_kept(spark):
+    """A passage first held by document 1, beside one first held by 5: each is kept once, and the kept pieces hold every repeated word."""
+    a, b = words(70, 31), words(70, 32)
+    alone = lambda i: words(40, 700_000 + i)
+    rows = [(1, f"{alone(1)} {a} {alone(2)}"), (5, f"{alone(3)} {a} {b} {alone(4)}"), (7, f"{a} {b}"), (9, f"{alone(5)} {b}"), (9, f"{alone(5)} {b}"), (9, f"{a} {alone(6)}")]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {(r.doc_id, r.first_doc_id) for r in found if r.is_first}
+    assert kept == {(1, 1), (5, 5), (7, 7)} and {r.first_doc_id for r in found if r.doc_id == 7} == {1, 5, 7}  # 7 and 9 end alike
+    assert sum(r.n_words for r in found if r.doc_id == 5 and r.is_first) >= 60 and sum(r.n_words for r in found if r.doc_id == 1) >= 60
+    for i in (5, 7):  # parts don't overlap
+        spans = sorted((r.start_byte, r.end_byte) for r in found if r.doc_id == i)
+        assert all(x <= y for (_, x), (y, _) in zip(spans, spans[1:]))
+
+
+def longest_common(a, b):
+    """The most words in a row that both hold."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0] * (len(b) + 1)
+        for j, y in enumerate(b, 1):
+            if x == y:
+                now[j] = row[j - 1] + 1
+        best, row = max(best, max(now)), now
+    return best
+
+
+def test_passages_against_brute_force(spark):
+    """Of all pairs of documents the longest common run of words: whoever shares more than 50 is found, whoever shares less than 10 isn't, and of those between, most."""
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "stra", "te") for b in ("ren", "s", "tul", "vo") for c in ("", "n", "dis")]
+    r = random.Random(8)
+    make = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    texts = [make(r.randint(60, 120)) for _ in range(60)]
+    for k in range(0, 40, 2):
+        passage = make(20 + 2 * k)
+        for i in (k, k + 1):
+            at = r.randrange(len(texts[i]))
+            texts[i][at:at] = passage
+    most = [max(longest_common(x, y) for j, y in enumerate(texts) if j != i) for i, x in enumerate(texts)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids = {x.doc_id for x in found}
+    assert {i for i, n in enumerate(most) if n > 50} <= ids and not ids & {i for i, n in enumerate(most) if n < 10}
+    between = [i for i, n in enumerate(most) if 24 <= n <= 50]
+    assert between and sum(i in ids for i in between) >= 0.8 * len(between)
+    for x in found:  # what is reported stands in the first document, too
+        assert rows[x.doc_id][1].encode()[x.start_byte : x.end_byte].strip() in rows[x.first_doc_id][1].encode()
+
+
 def test_passages_that_chunks_cover_in_part_and_without_spaces(spark):
     """A passage of 51 words of which repeated chunks cover 23, and text that has no spaces."""
     passage, line = words(51, 2058), "".join(chr(0x4E00 + i * 37 % 5000) for i in range(60))
@@ -249,6 +297,18 @@ def test_ledger_scans_only_what_it_has_not_seen(spark, docs, tmp_path):
     assert ledger.scanned().count() == 2 * n
 
 
+def test_ledger_keeps_every_version_of_a_path(spark, tmp_path):
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/versions")
+    old, new = "token=abcdefghijklmnop", "nothing here"
+    for rows in ([("a", old), ("b", old), (None, None)], [("a", new), ("b", old)], [("c", old)]):
+        docs = spark.createDataFrame(rows, "path string, text string")
+        ledger.add(docs)
+        ledger.record(docs, "path")
+    assert ledger.scanned().count() == 3 and ledger.versions().count() == 5
+    assert both(ledger.history(), "path") == [("a",), ("b",), ("c",)]
+    assert secret_scan.scan(docs, ledger).first().spans[0].start == 0
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark):
     rows = [(7, words(20, 2)), (70, words(20, 2)), (8, "One TWO"), (9, None), (None, "one"), (10, "...") , (11, words(13, 99)), (11, "a" * 30_000)]
