@@ -1,27 +1,25 @@
-"""Tokens and what follows from them alone, as DataFrame operators: depth, groups, skipped regions, style in force, visible text.
+"""Tokens and what follows from them alone, as DataFrame operators: depth, groups, hidden destinations, visible text, style in force.
 
-All windows are partitioned by document, so one exchange serves them; a document is the unit of work, bounded by the size limit.
+Tokens themselves are one regular expression in the JVM. What needs the order of tokens is a fold over one document where it
+stands: no token is shuffled or sorted, and rows that repeat an id are documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from scrivel.functions.columns import unicode_char, windows_1252
+from scrivel.functions.columns import windows_1252
 from scrivel.limits import Limits
-from scrivel.parser.lexer import PATTERN
-from scrivel.parser.reader import CHANNELS, DROPPED, METADATA, TABLES
+from scrivel.parser import shown
+from scrivel.parser.lexer import PATTERN, InvalidDocument, tokens, validate
 
 JAVA = f"(?s)({PATTERN})"
-
-
-def by_doc():
-    return Window.partitionBy("doc_id").orderBy("pos")
-
-
-def so_far():
-    return by_doc().rowsBetween(Window.unboundedPreceding, 0)
+#: Rows of an Arrow batch that a fold gives out at once.
+ROWS = 20_000
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
@@ -37,97 +35,77 @@ def tokenize(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), kind.alias("kind"), F.nullif(word, F.lit("")).alias("word"), param.alias("param"), text.alias("text"))
 
 
-#: Destinations whose text a reader doesn't show in the body.
-HIDDEN = sorted(METADATA | DROPPED | {*TABLES, *CHANNELS, "bkmkend", "bkmkstart", "footnote", "endnote", "pict", "fldinst"})
+def folded(docs: DataFrame, schema: str, rows_of) -> DataFrame:
+    """A row (doc_id, ...) for each row that rows_of(rtf) gives of each document (doc_id, rtf). A null text has none."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = StructType.fromDDL(f"doc_id {kind}, {schema}")
+    arrow = to_arrow_schema(fields)
+
+    def each(batches):
+        ids, rows = [], []
+
+        def flush():
+            columns = [ids, *zip(*rows, strict=True)]
+            out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            ids.clear(), rows.clear()
+            return out
 
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is None:
+                    continue
+                for row in rows_of(text):
+                    ids.append(i)
+                    rows.append(row)
+                    if len(rows) >= ROWS:
+                        yield flush()
+        if rows:
+            yield flush()
 
-def with_groups(tokens: DataFrame) -> DataFrame:
-    """Adds depth (after the token), level (of the group the token belongs to, its braces included), group (the position of that group's opening) and hides (whether that group is a hidden destination).
+    return docs.select("doc_id", "rtf").mapInArrow(each, fields)
 
-    Only a group's first word, after an optional \\*, makes it a destination; both are seen from the opening, by looking ahead.
+
+def groups(docs: DataFrame) -> DataFrame:
+    """The tokens of (doc_id, rtf) with depth (after the token), level (of the group the token belongs to, its braces included), group (the position of that group's opening) and hidden (whether that group, or one around it, is a hidden destination).
+
+    Only a group's first word, after an optional \\*, makes it a destination.
     """
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    ahead = lambda c, n: F.lead(c, n).over(by_doc())
-    known = ahead(F.when(F.col("word").isin(HIDDEN), True), 1)
-    starred = (ahead("kind", 1) == "symbol") & (ahead("text", 1) == "*") & ~ahead("word", 2).isin("shppict", "nonshppict", "fldrslt")
-    hides = F.when(F.col("kind") == "open", F.coalesce(known, F.lit(False)) | F.coalesce(starred, F.lit(False)))
-    deep = tokens.withColumn("depth", F.sum(step).over(so_far())).withColumn("hides", hides)
-    level = F.col("depth") + F.when(F.col("kind") == "close", 1).otherwise(0)
-    opened = F.when(F.col("kind") == "open", F.struct("pos", "hides"))
-    at_level = Window.partitionBy("doc_id", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    held = deep.withColumn("level", level).withColumn("opened", F.last(opened, ignorenulls=True).over(at_level))
-    return held.withColumn("group", F.col("opened.pos")).withColumn("hides", F.coalesce(F.col("opened.hides"), F.lit(False))).drop("opened")
+    return folded(docs, "pos long, kind string, word string, param int, text string, depth long, level long, group long, hidden boolean", shown.grouped)
 
 
 def errors(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """(doc_id, error_type): the first check that a document fails, in the order of a reader's checks. Documents without a row are sound in their groups."""
     limits = limits or Limits()
-    sized = docs.select("doc_id", "rtf", (F.octet_length("rtf") > limits.max_input_bytes).alias("large"))
-    left = F.regexp_replace("rtf", JAVA + "|[\\n\\r\\t]", "")
-    checked = sized.select("doc_id", "large", (F.length(left) > 0).alias("odd"), F.regexp_replace("rtf", "[\\n\\r\\t]", "").alias("rtf"))
-    groups = with_groups(tokenize(checked.where("NOT large AND NOT odd").select("doc_id", "rtf")))
-    solid = groups.withColumn("solid", ~((F.col("kind") == "text") & (F.trim("text") == "")))
-    nth = F.sum(F.col("solid").cast("int")).over(so_far())
-    per = solid.withColumn("nth", nth).groupBy("doc_id").agg(
-        F.min("depth").alias("low"), F.max("depth").alias("high"), F.max_by("depth", "pos").alias("last"),
-        F.bool_or(F.col("solid") & (F.col("nth") == 1) & (F.col("kind") == "open")).alias("first"), F.bool_or(F.col("solid") & (F.col("nth") == 2) & F.col("word").eqNullSafe("rtf")).alias("second"),
-    )
-    joined = checked.select("doc_id", "large", "odd").join(per, "doc_id", "left")
-    kind = (
-        F.when(F.col("large"), "input_too_large").when(F.col("odd"), "tokenization").when(F.col("low").isNull(), "empty_input").when(F.col("low") < 0, "unmatched_group_end").when(F.col("last") != 0, "unbalanced_groups")
-        .when(~(F.col("first") & F.col("second")), "missing_rtf_header").when(F.col("high") > limits.max_group_depth, "group_depth_exceeded")
-    )
-    return joined.select("doc_id", kind.alias("error_type")).where("error_type IS NOT NULL")
-
-
-def without_hidden(groups: DataFrame) -> DataFrame:
-    """Tokens outside hidden groups. Openings and ends of such groups are counted, which is an anti-join of intervals without a join."""
-    step = F.when(F.col("hides") & (F.col("kind") == "open"), 1).when(F.col("hides") & (F.col("kind") == "close"), -1).otherwise(0)
-    return groups.withColumn("within", F.sum(step).over(so_far())).where((F.col("within") == 0) & ~F.col("hides")).drop("hides", "within")
-
-
-def visible(tokens: DataFrame) -> DataFrame:
-    """(doc_id, pos, chars, ends): the characters that each token shows, and whether it ends a paragraph. After \\uN, one character of the next text is the fallback and not shown (\\uc1)."""
-    is_u = F.col("word") == "u"
-    after_u = F.coalesce(F.lag(is_u & F.col("param").isNotNull()).over(by_doc()), F.lit(False))
-    text = F.when(F.col("kind") == "text", F.when(after_u, F.substring("text", 2, 2**31 - 1)).otherwise(F.col("text")))
-    symbol = F.when(F.col("text").isin("\\", "{", "}"), F.col("text")).when(F.col("text") == "~", " ").when(F.col("text") == "_", "‑")
-    # surrogates of one character stand next to one another: they are joined before they are decoded
-    code = F.pmod("param", F.lit(65536))
-    high, low = is_u & code.between(0xD800, 0xDBFF), is_u & code.between(0xDC00, 0xDFFF)
-    pair = F.when(low & F.lag(high, 2).over(by_doc()) & (F.lag("text", 1).over(by_doc()) == "?"), F.decode(F.unhex(F.concat(F.hex(F.lag(code, 2).over(by_doc())), F.hex(code))), "UTF-16BE"))
-    chars = F.when(is_u, F.coalesce(pair, unicode_char(F.col("param")))).when(F.col("kind") == "symbol", symbol).otherwise(text)
-    return tokens.select("doc_id", "pos", F.coalesce(chars, F.lit("")).alias("chars"), F.coalesce(F.col("word").isin("par", "line"), F.lit(False)).alias("ends"))
+
+    def failed(text: str):
+        try:
+            if len(text.encode()) > limits.max_input_bytes:
+                raise InvalidDocument("input_too_large", "")
+            found = tokens(text)
+            validate(found)
+            depth = 0
+            for kind, _, _ in found:
+                depth += (kind == "open") - (kind == "close")
+                if depth > limits.max_group_depth:
+                    raise InvalidDocument("group_depth_exceeded", "")
+        except InvalidDocument as e:
+            return [(e.kind,)]
+        return []
+
+    return folded(docs.withColumn("rtf", F.coalesce("rtf", F.lit(""))), "error_type string", failed)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, text) of the body's paragraphs, the empty ones too, from tokens alone."""
-    shown = visible(without_hidden(with_groups(tokenize(docs))))
-    number = F.coalesce(F.sum(F.col("ends").cast("int")).over(by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return shown.withColumn("ord", number).groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chars"))), lambda x: x["chars"]), "").alias("text"))
+    return folded(docs, "ord long, text string", lambda rtf: enumerate(shown.shown_text(rtf).split("\n")))
 
 
 def plain_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text): paragraphs joined by line ends."""
-    shown = visible(without_hidden(with_groups(tokenize(docs))))
-    piece = F.concat("chars", F.when(F.col("ends"), "\n").otherwise(""))
-    return shown.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("c")))), lambda x: x["c"]), "").alias("text"))
-
+    return folded(docs, "text string", lambda rtf: [(shown.shown_text(rtf),)])
 
-def style_in_force(groups: DataFrame, words: dict[str, str], reset: str = "plain") -> DataFrame:
-    """Text tokens with the value of each property in `words` (control word: property) at their place: the latest setter before them whose group is still open.
 
-    An as-of join over intervals: equal on the document, and a range on positions. `reset` sets every property to null.
-    """
-    ends = groups.where("kind = 'close'").select("doc_id", "group", F.col("pos").alias("until"))
-    named = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
-    setters = groups.where(F.col("word").isin([*words, reset])).select(
-        "doc_id", "group", F.col("pos").alias("at"),
-        F.explode(F.when(F.col("word") == reset, F.array(*map(F.lit, sorted(set(words.values()))))).otherwise(F.array(named[F.col("word")]))).alias("property"),
-        F.when(F.col("word") != reset, F.coalesce("param", F.lit(1))).alias("value"),
-    ).join(ends, ["doc_id", "group"])
-    text = groups.where("kind = 'text'").select("doc_id", "pos", "text")
-    met = text.join(setters.drop("group"), "doc_id").where((F.col("at") < F.col("pos")) & (F.col("pos") < F.col("until")))
-    latest = met.groupBy("doc_id", "pos", "property").agg(F.max_by("value", "at").alias("value"))
-    wide = latest.groupBy("doc_id", "pos").pivot("property", sorted(set(words.values()))).agg(F.first("value"))
-    return text.join(wide, ["doc_id", "pos"], "left")
+def style_in_force(docs: DataFrame, words: dict[str, str], reset: str = "plain") -> DataFrame:
+    """(doc_id, pos, text, ...): pieces of the body's text with the value of each property in `words` (control word: property), null where nothing set it: the latest setter before them whose group is still open. `reset` sets every property to null."""
+    names = sorted(set(words.values()))
+    return folded(docs, "pos long, text string, " + ", ".join(f"{n} int" for n in names), lambda rtf: shown.styled(rtf, words, reset))

@@ -84,7 +84,7 @@ SELECT p_partkey AS doc_id, CAST(1 + p_size % 9 AS BIGINT) AS max_depth, CAST(1
 """)
 def group_depth_stats(spark, sf_dir):
     docs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(F.concat(F.expr("repeat('{\\\\b ', p_size % 9)"), F.lit("x"), F.expr("repeat('}', p_size % 9)"))).alias("rtf"))
-    g = T.with_groups(T.tokenize(docs))
+    g = T.groups(docs)
     return g.groupBy("doc_id").agg(F.max("depth").alias("max_depth"), F.count_distinct("group").alias("n_groups"))
 
 
@@ -133,22 +133,11 @@ def document_stats(spark, sf_dir):
     return P.stats(P.parse(encoded_documents(spark, sf_dir), want=STATS)).drop("bytes_processed")
 
 
-@query("""
-SELECT doc_id, length(text) AS shown FROM documents WHERE text NOT LIKE '%' || chr(10) || '%'
-""")
-def destination_skip(spark, sf_dir):
-    return shown_lengths(read(spark, sf_dir, "documents").where(~F.col("text").contains("\n")))
-
-
 @query("""
 SELECT doc_id, length(text) AS shown FROM documents
 """)
-def destination_skip_lines(spark, sf_dir):
-    """The same over all documents, line breaks included."""
-    return shown_lengths(read(spark, sf_dir, "documents"))
-
-
-def shown_lengths(docs):
+def destination_skip(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
     hidden = F.concat(F.lit("{\\info{\\title "), escaped("text"), F.lit("}}{\\*\\nosuchword "), escaped("text"), F.lit("}{\\header "), escaped("lang"), F.lit("}"))
     rtf = docs.select("doc_id", document(F.concat(hidden, escaped("text"))).alias("rtf"))
     return T.plain_text(rtf).select("doc_id", F.length("text").cast("long").alias("shown"))
@@ -172,17 +161,13 @@ def styled_run_chars(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id AS doc_id, role = 'user' AS bold, role = 'assistant' AS italic, CAST(sum(1 + length(regexp_replace(text, '[^\\x20-\\x7e]', '', 'g'))) AS BIGINT) AS chars FROM conversations GROUP BY ALL
+SELECT conv_id AS doc_id, role = 'user' AS bold, role = 'assistant' AS italic, CAST(sum(1 + length(replace(text, chr(10), ''))) AS BIGINT) AS chars FROM conversations GROUP BY ALL
 """)
 def style_in_force(spark, sf_dir):
-    """The same from tokens by an as-of join; characters of \\u escapes are words, not text, and aren't counted."""
-    groups = T.without_hidden(T.with_groups(T.tokenize(styled_turns(spark, sf_dir))))
-    marked = T.style_in_force(groups, {"b": "bold", "i": "italic"})
-    # the text after an escape begins with its fallback
-    after = groups.select("doc_id", (F.col("pos") + 1).alias("pos"), (F.col("word") == "u").alias("fallback"))
-    shown = marked.join(after, ["doc_id", "pos"], "left").withColumn("n", F.length("text") - F.coalesce(F.col("fallback").cast("int"), F.lit(0)))
+    """The same from tokens alone."""
+    marked = T.style_in_force(styled_turns(spark, sf_dir), {"b": "bold", "i": "italic"})
     on = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
-    return shown.groupBy("doc_id", on("bold").alias("bold"), on("italic").alias("italic")).agg(F.sum("n").alias("chars"))
+    return marked.groupBy("doc_id", on("bold").alias("bold"), on("italic").alias("italic")).agg(F.sum(F.length("text")).alias("chars"))
 
 
 @query("""
@@ -203,8 +188,7 @@ SELECT p_partkey AS doc_id, 1 AS color_idx, p_size AS r, p_size * 3 AS g, 255 AS
 def color_resolution(spark, sf_dir):
     size = F.col("p_size").cast("string")
     body = F.concat(F.lit("{\\colortbl;\\red"), size, F.lit("\\green"), (F.col("p_size") * 3).cast("string"), F.lit("\\blue900;;\\green7;\\red9}x"))
-    t = T.tokenize(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(body).alias("rtf")))
-    g = T.with_groups(t).where("level = 2")
+    g = T.groups(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(body).alias("rtf"))).where("level = 2")
     # a token of text may hold several semicolons: one row for each, between the words around it
     split = g.select("doc_id", (F.col("pos") * 100).alias("pos"), "word", "param", F.lit(False).alias("semicolon")).where("word IS NOT NULL").unionByName(
         g.where("kind = 'text'").select("doc_id", "pos", F.posexplode(F.regexp_extract_all("text", F.lit("(;)"), F.lit(1))).alias("k", "s")).select("doc_id", (F.col("pos") * 100 + F.col("k")).alias("pos"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("param"), F.lit(True).alias("semicolon"))

@@ -7,8 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from scrivel.operators import analytics as A
 from scrivel.operators import parse as P
 from scrivel.operators import tokens as T
+from scrivel.parser.shown import shown_text
 from scrivel.plans import queries as Q
 from scrivel.sources import rtf as S
 
@@ -41,7 +43,21 @@ def test_query(spark, sf_dir, duck, name):
 def test_hidden_destinations_of_every_document(spark, sf_dir):
     docs = Q.read(spark, sf_dir, "documents")
     assert docs.where(F.col("text").contains("\n")).count() > 0
-    assert Q.QUERIES["destination_skip_lines"](spark, sf_dir).count() == docs.count()
+    assert Q.QUERIES["destination_skip"](spark, sf_dir).count() == docs.count()
+
+
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "{\\rtf1 a\\par b}"), (1, "{\\rtf1 c{\\b d}}"), (None, "{\\rtf1 e}"), (2, None)], "doc_id long, rtf string")
+    assert sorted((r.doc_id or 0, r.text) for r in T.plain_text(docs).collect()) == [(0, "e"), (1, "a\nb"), (1, "cd")]
+    assert sorted((r.doc_id or 0, r.ord, r.text) for r in T.paragraphs(docs).collect()) == [(0, 0, "e"), (1, 0, "a"), (1, 0, "cd"), (1, 1, "b")]
+    assert sorted((r.text, r.bold) for r in T.style_in_force(docs.where("doc_id = 1"), {"b": "bold"}).collect() if r.text != "ab") == [("c", None), ("d", 1)]
+    stats = A.text_stats(spark.createDataFrame([(1, "a b"), (1, "c d e c"), (None, "x\n"), (3, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.lines, r.words, r.unique_words, r.most_common_word) for r in stats) == [(0, 1, 1, 1, "x"), (1, 1, 2, 2, "a"), (1, 1, 4, 3, "c"), (3, 0, 0, 0, None)]
+
+
+def test_visible_text_of_odd_documents():
+    for rtf, text in ((r"{\rtf1 \u8364 ?\u-10179?\u-9063?x\u233 \'e9y}", "€💙xéy"), (r"{\rtf1 {\info{\title t}}{\*\odd x{y}}{\*\shppict z}\~\_\{\line w}", "z\u00a0\u2011{\nw"), ("", ""), ("{{\\fonttbl f;}a}}b", "ab")):
+        assert shown_text(rtf).replace("\u00a0", " ") == text.replace("\u00a0", " "), rtf
 
 
 def test_tokens_and_reader_agree(spark, sf_dir):
