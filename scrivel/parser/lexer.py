@@ -23,30 +23,42 @@ class InvalidDocument(Exception):
         self.kind = kind
 
 
+OPEN, CLOSE = ("open", None, None), ("close", None, None)
+
+
+def other(t: str) -> tuple:
+    """A token that begins with a backslash."""
+    if (w := WORD.fullmatch(t)) is not None:
+        n = int(w[2]) if w[2] else None
+        return "word", w[1], n if n is None or -(2**31) <= n < 2**31 else None
+    return ("text", windows_1252(int(t[2:], 16)), None) if t[1] == "'" and len(t) == 4 else ("symbol", t[1], None)
+
+
+class Known(dict):
+    """Tokens that were met; control words are few, so it stays small, and is begun anew where they aren't."""
+
+    def __missing__(self, t: str) -> tuple:
+        if len(self) > 50_000:
+            self.clear()
+        self[t] = found = OPEN if t == "{" else CLOSE if t == "}" else other(t)
+        return found
+
+
+KNOWN = Known()
+
+
 def tokens(text: str) -> list[tuple]:
     """(kind, value, parameter); kinds are open, close, word, symbol and text. A byte in hexadecimal is text."""
-    found, at = [], 0
-    for m in TOKEN.finditer(text):
-        if text[at : m.start()].strip(BLANK):
-            raise InvalidDocument("tokenization", f"unexpected character at {at}")
-        at = m.end()
-        t = m[0]
-        if t == "{":
-            found.append(("open", None, None))
-        elif t == "}":
-            found.append(("close", None, None))
-        elif t[0] != "\\":
-            found.append(("text", t, None))
-        elif (w := WORD.fullmatch(t)) is not None:
-            n = int(w[2]) if w[2] else None
-            found.append(("word", w[1], n if n is None or -(2**31) <= n < 2**31 else None))
-        elif t[1] == "'" and len(t) == 4:
-            found.append(("text", windows_1252(int(t[2:], 16)), None))
-        else:
-            found.append(("symbol", t[1], None))
-    if text[at:].strip(BLANK):
+    found = TOKEN.findall(text)
+    if sum(map(len, found)) != len(text) and TOKEN.sub("", text).strip(BLANK):
+        at = 0
+        for m in TOKEN.finditer(text):
+            if text[at : m.start()].strip(BLANK):
+                break
+            at = m.end()
         raise InvalidDocument("tokenization", f"unexpected character at {at}")
-    return found
+    known = KNOWN
+    return [known[t] if t[0] in "\\{}" else ("text", t, None) for t in found]
 
 
 def validate(found: list[tuple]) -> None:

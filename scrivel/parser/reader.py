@@ -151,23 +151,36 @@ class Reader:
             raise InvalidDocument("input_too_large", f"{size} bytes, at most {self.limits.max_input_bytes}")
         found = tokens(text)
         validate(found)
-        i = 0
-        while i < len(found):
+        i, end, groups = 0, len(found), self.groups
+        while i < end:
             kind, value, n = found[i]
             i += 1
-            if kind == "open":
-                if len(self.groups) + 1 > self.limits.max_group_depth:
-                    raise InvalidDocument("group_depth_exceeded", f"depth {len(self.groups) + 1}, at most {self.limits.max_group_depth}")
-                self.groups.append(Group(self.style))
+            if kind == "text":
+                if groups:
+                    groups[-1].fresh = False
+                # most text: of the style of the text before it, and of the body
+                if self.text and self.style is self.run_style and self.field is None and self.picture is None and self.bookmark is None:
+                    if self.skip:
+                        cut = min(self.skip, len(value))
+                        self.skip -= cut
+                        value = value[cut:]
+                    self.text += value
+                else:
+                    self.take_text(value)
+            elif kind == "word":
+                if value == "u" and n is not None and groups and not groups[-1].fresh and self.field is None:
+                    self.starred = False
+                    self.escape(n)
+                else:
+                    i = self.take_word(value, n, found, i)
+            elif kind == "open":
+                if len(groups) + 1 > self.limits.max_group_depth:
+                    raise InvalidDocument("group_depth_exceeded", f"depth {len(groups) + 1}, at most {self.limits.max_group_depth}")
+                groups.append(Group(self.style))
             elif kind == "close":
                 self.close_group()
-            elif kind == "text":
-                self.groups[-1:] and setattr(self.groups[-1], "fresh", False)
-                self.take_text(value)
-            elif kind == "symbol":
-                self.take_symbol(value)
             else:
-                i = self.take_word(value, n, found, i)
+                self.take_symbol(value)
         self.end_paragraph()
         while self.tables:
             self.end_table()
@@ -353,6 +366,12 @@ class Reader:
         elif symbol in "~_":
             self.take_text(" " if symbol == "~" else "‑")
 
+    def escape(self, n: int) -> None:
+        code = n % 65536 if n < 0 else n
+        if code < 0xD800 or 0xDFFF < code < 0x110000:
+            self.text += chr(code)
+        self.skip = self.uc
+
     def take_word(self, word: str, n: int | None, found: list, i: int) -> int:
         if word in ("par", "line"):
             self.end_paragraph()
@@ -440,10 +459,7 @@ class Reader:
             self.intbl = False
         elif word == "u":
             if n is not None:
-                code = n % 65536 if n < 0 else n
-                if code < 0xD800 or 0xDFFF < code < 0x110000:
-                    self.text += chr(code)
-                self.skip = self.uc
+                self.escape(n)
         elif word == "uc":
             self.uc = n if n is not None and n >= 0 else 1
         elif word in ("f", "fs", "cf"):

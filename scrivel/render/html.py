@@ -9,14 +9,13 @@ from scrivel.parser.fields import supported_url
 from scrivel.render import styles
 from scrivel.render.grid import borders, fill, hex_color, rowspans
 
-ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})
 WRAPS = (("bold", "<strong>", "</strong>"), ("italic", "<em>", "</em>"), ("underline", '<span class="rtf-u">', "</span>"), ("strikethrough", '<span class="rtf-s">', "</span>"), ("small_caps", '<span class="rtf-sc">', "</span>"), ("all_caps", '<span class="rtf-ac">', "</span>"))
 LINES = {"single": "solid", "double": "double", "dotted": "dotted", "dashed": "dashed"}
 VALIGN = {"top": "top", "center": "middle", "bottom": "bottom"}
 
 
 def escape(text: str) -> str:
-    return text.translate(ESCAPES)
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#39;")
 
 
 def css_string(text: str) -> str:
