@@ -195,7 +195,7 @@ def strict_failures(warnings: DataFrame) -> DataFrame:
 
 
 def within_budget(images: DataFrame, limit: int) -> DataFrame:
-    """(doc_id) of the documents whose images (doc_id, pos, size) stay within a total of bytes."""
+    """(doc_id, total, failed_at) of each document with images (doc_id, pos, size): their bytes, and the position of the image that takes them beyond the limit, null within it."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     running = images.withColumn("total", F.sum("size").over(w))
     return running.groupBy("doc_id").agg(F.max("total").alias("total"), F.min(F.when(F.col("total") > limit, F.col("pos"))).alias("failed_at"))

@@ -102,18 +102,24 @@ def flatten(document: dict) -> tuple[list[dict], list[dict]]:
     return nodes, inlines
 
 
+EMPTY = {"nodes": [], "inlines": [], "warnings": [], "sections": [], "generated": []}
+
+
+def failed(kind: str, message: str) -> dict:
+    return {**EMPTY, "error_type": kind, "error": message}
+
+
 def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None) -> dict:
     """A row of parse(), with the columns in `want` (all of them if None). A null text is empty input."""
-    empty = {"nodes": [], "inlines": [], "warnings": [], "sections": [], "generated": []}
     try:
         found = Reader(limits).read(rtf or "")
     except InvalidDocument as e:
-        return {**empty, "error_type": e.kind, "error": str(e)}
+        return failed(e.kind, str(e))
     except RecursionError:
-        return {**empty, "error_type": "group_depth_exceeded", "error": "too deep"}
+        return failed("group_depth_exceeded", "too deep")
     document = found["document"]
     managed = document.get("page_management", {})
-    row = {**empty, **found["stats"]}
+    row = {**EMPTY, **found["stats"]}
     wanted = lambda *names: want is None or not want.isdisjoint(names)
     if wanted("ir"):
         row["ir"] = json.dumps(document, ensure_ascii=False)
@@ -127,7 +133,10 @@ def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None) ->
 
 
 def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] | None = None, rows_at_once: int = 64) -> DataFrame:
-    """(doc_id, ...) of (doc_id, rtf): all columns, or those in `want` and error_type. No shuffle; a task holds `rows_at_once` documents' results at a time."""
+    """(doc_id, ...) of (doc_id, rtf): all columns, or those in `want` and error_type. No shuffle; a task holds `rows_at_once` documents' results at a time.
+
+    A row whose read_error, if there is such a column, isn't null fails with that error.
+    """
     limits = limits or Limits()
     kind = docs.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -142,11 +151,12 @@ def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] |
     def each(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
-                ids, texts = (batch.column(i).slice(at, rows_at_once).to_pylist() for i in (0, 1))
-                rows = [{"doc_id": i, **read_one(t, limits, chosen)} for i, t in zip(ids, texts, strict=True)]
+                ids, texts, unread = (batch.column(i).slice(at, rows_at_once).to_pylist() for i in (0, 1, 2))
+                rows = [{"doc_id": i, **(failed(e, "the file could not be read") if e else read_one(t, limits, chosen))} for i, t, e in zip(ids, texts, unread, strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return docs.select("doc_id", "rtf").mapInArrow(each, schema)
+    unread = F.col("read_error") if "read_error" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", "rtf", unread.alias("read_error")).mapInArrow(each, schema)
 
 
 def table(parsed: DataFrame, name: str) -> DataFrame:
@@ -163,8 +173,8 @@ def failures(parsed: DataFrame) -> DataFrame:
 
 
 def status(parsed: DataFrame, strict: bool = False) -> DataFrame:
-    """(doc_id, status): 0, 2 for a document that can't be read, 4 in strict mode if content was dropped."""
+    """(doc_id, status): 0, 2 for a document that can't be read, 3 for a file that isn't text, 4 in strict mode if content was dropped."""
     dropped = F.exists("warnings", lambda w: w["type"] == "dropped_content")
-    return parsed.select("doc_id", F.when(F.col("error_type").isNotNull(), 2).when(F.lit(strict) & dropped, 4).otherwise(0).alias("status"))
+    return parsed.select("doc_id", F.when(F.col("error_type") == "invalid_utf8", 3).when(F.col("error_type").isNotNull(), 2).when(F.lit(strict) & dropped, 4).otherwise(0).alias("status"))
 
 

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str, limit_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """(doc_id, rtf, read_error) of each file; doc_id is its path. Bytes that aren't UTF-8, and files beyond the limit, have an error and no text."""
-    files = spark.read.format("binaryFile").load(path)
+    """(doc_id, rtf, read_error) of each file; doc_id is its path. Bytes that aren't UTF-8, and files beyond the limit, have an error and no text; parse() passes the error on."""
+    return from_files(spark.read.format("binaryFile").load(path), limit_bytes)
+
+
+def from_files(files: DataFrame, limit_bytes: int = 10 * 1024 * 1024) -> DataFrame:
+    """The same of rows of the binaryFile source."""
     # try_validate keeps what is valid; null means it isn't
     text = F.try_validate_utf8(F.col("content").cast("string"))
     big = F.col("length") > limit_bytes

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scrivel.limits import Limits
 from scrivel.operators.parse import parse
+from scrivel.sources.rtf import from_files
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def parse_stream(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema(SCHEMA).load(path)
-    return parse(files.select(F.col("path").alias("doc_id"), F.try_validate_utf8(F.col("content").cast("string")).alias("rtf")), limits)
+    limits = limits or Limits()
+    return parse(from_files(files, limits.max_input_bytes), limits)

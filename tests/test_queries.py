@@ -72,6 +72,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.rtf").write_bytes(b"{\\rtf1 \xff\xfe}")
     rows = {r.doc_id.rsplit("/", 1)[1]: r for r in S.read_files(spark, str(tmp_path)).collect()}
     assert rows["a.rtf"].rtf == "{\\rtf1 hello}" and rows["b.rtf"].read_error == "invalid_utf8" and rows["b.rtf"].rtf is None
+    (tmp_path / "c.rtf").write_text("{\\rtf1 " + "x" * 100 + "}")
+    parsed = P.parse(S.read_files(spark, str(tmp_path), limit_bytes=50))
+    assert {r.doc_id.rsplit("/", 1)[1]: r.error_type for r in P.failures(parsed).collect()} == {"b.rtf": "invalid_utf8", "c.rtf": "input_too_large"}
+    assert sorted(r.status for r in P.status(parsed).collect()) == [0, 2, 3]
 
 
 def test_failed_documents_have_no_rows(spark):
