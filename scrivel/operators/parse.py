@@ -22,6 +22,16 @@ INLINE = f"channel string, path array<int>, ord int, part int, inline_type strin
 WARNING = "seq int, type string, severity string, reason string, word string, target string"
 SECTION = "index int, restart boolean, start_page int, number_format string"
 GENERATED = "insertion_index int, kind string, explicit boolean"
+#: What the words say before it is resolved; only if it is asked for.
+RAW = {
+    "cells": "table int, row int, col int, right int, n_right int, merge string, cell_fill int, row_fill int, table_fill int, percent int, top int, left int, bottom int, right_border int, row_top int, row_left int, row_bottom int, row_right int, row_h int, row_v int, text string",
+    "marks": "ord int, ls bigint, level int, text string",
+    "uses": "paragraph int, font_idx bigint, color_idx bigint, length int",
+    "fonts": "font_idx bigint, pos int, family string",
+    "default_font": "font_idx bigint",
+    "overrides": "ls bigint, list_id bigint",
+    "list_levels": "list_id bigint, level int, kind string",
+}
 PARSED = f"ir string, nodes array<struct<{NODE}>>, inlines array<struct<{INLINE}>>, warnings array<struct<{WARNING}>>, sections array<struct<{SECTION}>>, generated array<struct<{GENERATED}>>, paragraph_count bigint, run_count bigint, bytes_processed bigint, duration_ms bigint, error_type string, error string"
 
 
@@ -102,7 +112,7 @@ def flatten(document: dict) -> tuple[list[dict], list[dict]]:
     return nodes, inlines
 
 
-EMPTY = {"nodes": [], "inlines": [], "warnings": [], "sections": [], "generated": []}
+EMPTY = {"nodes": [], "inlines": [], "warnings": [], "sections": [], "generated": [], **{name: [] for name in RAW}}
 
 
 def failed(kind: str, message: str) -> dict:
@@ -112,7 +122,8 @@ def failed(kind: str, message: str) -> dict:
 def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None) -> dict:
     """A row of parse(), with the columns in `want` (all of them if None). A null text is empty input."""
     try:
-        found = Reader(limits).read(rtf or "")
+        reader = Reader(limits, want is not None and not want.isdisjoint(RAW))
+        found = reader.read(rtf or "")
     except InvalidDocument as e:
         return failed(e.kind, str(e))
     except RecursionError:
@@ -120,6 +131,11 @@ def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None) ->
     document = found["document"]
     managed = document.get("page_management", {})
     row = {**EMPTY, **found["stats"]}
+    if reader.raw is not None:
+        row |= reader.raw
+        row["default_font"] = [] if reader.default_font is None else [{"font_idx": reader.default_font}]
+        row["overrides"] = [{"ls": ls, "list_id": i} for ls, i in reader.overrides.items()]
+        row["list_levels"] = [{"list_id": i, "level": n, "kind": k} for i, levels in reader.lists.items() for n, k in enumerate(levels)]
     wanted = lambda *names: want is None or not want.isdisjoint(names)
     if wanted("ir"):
         row["ir"] = json.dumps(document, ensure_ascii=False)
@@ -142,7 +158,7 @@ def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] |
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(f"doc_id {kind}, {PARSED}")
+    schema = StructType.fromDDL(f"doc_id {kind}, {PARSED}" + "".join(f", {name} array<struct<{fields}>>" for name, fields in RAW.items() if want and name in want))
     if want is not None:
         schema = StructType([f for f in schema.fields if f.name in ("doc_id", "error_type", *want)])
     arrow = to_arrow_schema(schema)
@@ -160,7 +176,7 @@ def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] |
 
 
 def table(parsed: DataFrame, name: str) -> DataFrame:
-    """One of nodes, inlines, warnings, sections and generated, a row for each element."""
+    """One of nodes, inlines, warnings, sections, generated and the names in RAW, a row for each element."""
     return parsed.select("doc_id", F.explode(name).alias("x")).select("doc_id", "x.*")
 
 

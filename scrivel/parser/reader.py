@@ -93,13 +93,17 @@ class RowDef:
 
 
 class Table:
-    def __init__(self):
+    def __init__(self, number: int = 0):
+        self.number = number
         self.rows, self.row, self.cell, self.define, self.pending = [], None, None, RowDef(), {}
 
 
 class Reader:
-    def __init__(self, limits: Limits | None = None):
+    def __init__(self, limits: Limits | None = None, raw: bool = False):
+        """raw: keep what the words say of cells, paragraphs, runs and resources, before it is resolved."""
         self.limits = limits or Limits()
+        self.raw: dict[str, list] | None = {"cells": [], "marks": [], "uses": [], "fonts": []} if raw else None
+        self.table_count = 0
         self.warnings: list[dict] = []
         self.dropped_kept = False
         self.blocks: list[dict] = []
@@ -273,6 +277,8 @@ class Reader:
     def flush(self) -> None:
         """Text so far becomes a run, of the paragraph or of the field result that is being read."""
         if self.text:
+            if self.raw is not None:
+                self.raw["uses"].append({"paragraph": self.paragraphs, "font_idx": self.run_style.font, "color_idx": self.run_style.color, "length": len(self.text)})
             inside = self.field is not None and "fldrslt" in (self.field.reading, *self.field.nested)
             (self.field.results if inside else self.inlines).append({"type": "run", **self.run(self.text)})
             self.text = ""
@@ -311,6 +317,8 @@ class Reader:
             block = {"type": "paragraph", "alignment": self.alignment, "inlines": self.inlines}
             if shading := self.shaded(self.style.cbpat, self.style.cfpat, self.style.shading):
                 block["shading"] = shading
+            if self.raw is not None:
+                self.raw["marks"].append({"ord": self.paragraphs, "ls": self.ls, "level": self.level or 0, "text": "".join(map(shown, self.inlines))})
             self.paragraphs += 1
             self.runs += sum(1 if x["type"] == "run" else len(x["runs"]) if x["type"] == "hyperlink" else 0 for x in self.inlines)
             into = self.cell()["blocks"] if in_row else self.sinks[-1][1]
@@ -527,6 +535,8 @@ class Reader:
             elif kind == "close" and depth == 2:
                 name = entry.get("name", "").strip().removesuffix(";").strip()
                 if "index" in entry and name:
+                    if self.raw is not None:
+                        self.raw["fonts"].append({"font_idx": entry["index"], "pos": len(self.raw["fonts"]), "family": name})
                     self.fonts[entry["index"]] = name
                 entry.clear()
 
@@ -813,16 +823,20 @@ class Reader:
                 break
             self.end_paragraph()
             self.cell()
-            self.tables.append(Table())
+            self.begin_table()
         if self.tables and self.tables[-1].row is not None:
             self.auto_close_cell("Unclosed table cell at row boundary")
             self.warn("unclosed_table_row")
             self.drop("Unclosed table row at new row definition")
             self.end_row()
         if not self.tables:  # text that waits goes to the first cell
-            self.tables.append(Table())
+            self.begin_table()
         self.tables[-1].define, self.tables[-1].row, self.tables[-1].cell = RowDef(), [], None
 
+    def begin_table(self) -> None:
+        self.tables.append(Table(self.table_count))
+        self.table_count += 1
+
     def auto_close_cell(self, reason: str) -> None:
         if self.text or self.inlines or self.tables[-1].cell is not None:
             self.warn("unclosed_table_cell")
@@ -880,6 +894,8 @@ class Reader:
         own, row = padding(said), padding(d.row)
         if own or row:
             cell["padding"] = {s: own.get(s, row.get(s)) for s in ("top", "right", "bottom", "left") if s in own or s in row}
+        if self.raw is not None:
+            self.raw["cells"].append(raw_cell(t, i, said, cell))
         t.row.append(cell)
 
     def borders(self, said: dict) -> dict | None:
@@ -1018,6 +1034,19 @@ class Reader:
                         self.warn("unresolved_cross_reference", target=target)
 
 
+def raw_cell(t: Table, i: int, said: dict, cell: dict) -> dict:
+    """What the words say of a cell, its row and its table, unresolved; widths of borders alone, 1 where none is given."""
+    d = t.define
+    width = lambda owner, side: None if (b := owner.get("borders", {}).get(side)) is None else 1 if b["width"] is None else b["width"]
+    merge = said.get("merge")
+    sides = ("top", "left", "bottom", "right")
+    return {
+        "table": t.number, "row": len(t.rows), "col": i, "right": d.right[i] if i < len(d.right) else None, "n_right": len(d.right), "merge": "horizontal_start" if isinstance(merge, dict) else merge, "cell_fill": said.get("cbpat"), "row_fill": d.row.get("cbpat"),
+        "table_fill": t.pending.get("cbpat"), "percent": said.get("shading"), **{s: width(said, s) for s in sides[:3]}, "right_border": width(said, "right"), **{f"row_{s}": width(d.row, s) for s in sides}, "row_h": width(d.row, "inside_h"), "row_v": width(d.row, "inside_v"),
+        "text": "\n".join("".join(map(shown, b["inlines"])) for b in cell.get("blocks", []) if b["type"] == "paragraph"),
+    }
+
+
 def padding(said: dict) -> dict:
     return {side: n for side, n in said.get("pad", {}).items() if n is not None and said.get("fmt", {}).get(side) in (None, 3)}
 

@@ -46,6 +46,27 @@ def joined(body: F.Column, order: F.Column) -> F.Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), body.alias("b")))), lambda x: x["b"]), "")
 
 
+def edged(words: F.Column, col: F.Column) -> F.Column:
+    """A cell's words and its boundary."""
+    return F.concat(words, F.lit("\\cellx"), ((col + 1) * 900).cast("string"))
+
+
+def table_documents(cells: DataFrame) -> DataFrame:
+    """A document with one table for each doc_id, of cells (doc_id, row, col, words, text) and, if there are any, words of their rows."""
+    of_row = F.first("row_words") if "row_words" in cells.columns else F.lit("")
+    body = F.concat(F.lit("\\pard\\intbl "), F.col("text"), F.lit("\\cell "))
+    rows = cells.groupBy("doc_id", "row").agg(F.concat(F.lit("\\trowd"), of_row, joined(F.col("words"), F.col("col")), F.lit(" "), joined(body, F.col("col")), F.lit("\\row ")).alias("r"))
+    return rows.groupBy("doc_id").agg(document(joined(F.col("r"), F.col("row"))).alias("rtf"))
+
+
+def marked_lists(rows: DataFrame, doc: str, order: str, ls: F.Column, level: F.Column, head: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Marks, overrides and levels read from documents with an item for each row."""
+    item = F.concat(F.lit("\\pard\\ls"), ls.cast("string"), F.lit("\\ilvl"), level.cast("string"), F.lit(" x\\par "))
+    docs = rows.groupBy(F.col(doc).alias("doc_id")).agg(document(joined(item, F.col(order)), head).alias("rtf"))
+    parsed = P.parse(docs, want=("marks", "overrides", "list_levels"))
+    return P.table(parsed, "marks"), P.table(parsed, "overrides"), P.table(parsed, "list_levels")
+
+
 # ---- tokens and text
 
 
@@ -174,12 +195,11 @@ def style_in_force(spark, sf_dir):
 SELECT CASE WHEN event_id % 7 < 5 THEN 'Font ' || (event_id % 7) ELSE 'Font 2' END AS family, count(*) AS n FROM events GROUP BY ALL
 """)
 def font_resolution(spark, sf_dir):
-    events = read(spark, sf_dir, "events")
-    uses = events.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("font_idx"))
-    users = events.select(F.col("user_id").alias("doc_id")).distinct()
-    defined = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("font_idx"), F.lit(p).alias("pos"), F.lit(name).alias("family")) for p, (i, name) in enumerate([(1, "Overwritten"), *((i, f"Font {i}") for i in range(5))]))))
-    fonts = users.select("doc_id", defined.alias("f")).select("doc_id", "f.*")
-    return A.resolve_fonts(uses, fonts, users.withColumn("font_idx", F.lit(2).cast("long"))).groupBy("family").agg(F.count("*").alias("n"))
+    run = F.concat(F.lit("{\\f"), (F.col("event_id") % 7).cast("string"), F.lit(" x}"))
+    head = "{\\fonttbl{\\f1 Overwritten;}" + "".join(f"{{\\f{i} Font {i};}}" for i in range(5)) + "}\\deff2 "
+    docs = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(document(joined(run, F.col("event_id")), head).alias("rtf"))
+    parsed = P.parse(docs, want=("uses", "fonts", "default_font"))
+    return A.resolve_fonts(*(P.table(parsed, name) for name in ("uses", "fonts", "default_font"))).groupBy("family").agg(F.sum("length").alias("n"))
 
 
 @query("""
@@ -221,9 +241,14 @@ def shading_nearest_pattern(spark, sf_dir):
 SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'cell' WHEN p_size % 3 = 0 THEN 'row' WHEN p_size % 5 = 0 THEN 'table' END AS fill, CAST((200 * (100 - p_size % 100) + 17 * (p_size % 100) + 50) // 100 AS INTEGER) AS blended FROM part
 """)
 def shading_fallback(spark, sf_dir):
-    own = lambda m, name: F.when(F.col("p_size") % m == 0, name)
-    cells = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size", own(2, "cell").alias("cell_fill"), own(3, "row").alias("row_fill"), own(5, "table").alias("table_fill"), F.lit(0).alias("percent"))
-    return A.shading(cells).select("doc_id", "fill", C.blend(F.lit(200), F.lit(17), F.col("p_size") % 100).alias("blended"))
+    """The table's fill is what its first row says; the second row's cell falls back to its row, then to the table."""
+    own = lambda m, said: F.when(F.col("p_size") % m == 0, said).otherwise("")
+    percent = (F.col("p_size") % 100 * 100).cast("string")
+    body = F.concat(F.lit("\\trowd"), own(5, "\\trcbpat3"), F.lit("\\cellx900 \\pard\\intbl a\\cell\\row\\trowd"), own(3, "\\trcbpat2"), own(2, "\\clcbpat1"), F.lit("\\clshdng"), percent, F.lit("\\cellx900 \\pard\\intbl b\\cell\\row "))
+    parsed = P.parse(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(body).alias("rtf")), want=("cells",))
+    names = F.create_map(*(F.lit(x) for x in (1, "cell", 2, "row", 3, "table")))
+    cells = A.shading(P.table(parsed, "cells").where("row = 1"))
+    return cells.select("doc_id", names[F.col("fill")].alias("fill"), C.blend(F.lit(200), F.lit(17), (F.col("percent") / 100).cast("int")).alias("blended"))
 
 
 # ---- tables
@@ -241,17 +266,22 @@ def cell_values_agg(spark, sf_dir):
 
 @query("SELECT o_custkey AS doc_id, o_orderkey AS col, o_orderkey % 1000 + 1 AS width FROM orders")
 def cell_widths(spark, sf_dir):
-    w = F.sum(F.col("o_orderkey") % 1000 + 1).over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0))
-    edges = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("row"), F.col("o_orderkey").alias("col"), w.alias("right"))
-    return A.cell_widths(edges).select("doc_id", "col", "width")
+    k = F.col("o_orderkey")
+    right = F.sum(k % 1000 + 1).over(Window.partitionBy("o_custkey").orderBy(k).rowsBetween(Window.unboundedPreceding, 0))
+    cells = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("row"), k.alias("col"), F.concat(F.lit("\\cellx"), right.cast("string")).alias("words"), k.cast("string").alias("text"))
+    parsed = P.parse(table_documents(cells), want=("cells",))
+    return A.cell_widths(P.table(parsed, "cells")).select("doc_id", F.col("text").cast("long").alias("col"), F.col("width").cast("long").alias("width"))
 
 
 @query("""
 SELECT l_orderkey AS doc_id, 0 AS row, count(*) AS n_cells, count(*) FILTER (l_linenumber <= 3) AS n_boundaries FROM lineitem GROUP BY l_orderkey HAVING count(*) <> count(*) FILTER (l_linenumber <= 3) AND count(*) FILTER (l_linenumber <= 3) > 0
 """)
 def row_cell_mismatch(spark, sf_dir):
-    cells = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("row"), F.col("l_linenumber").alias("col"))
-    return A.count_mismatches(cells, cells.where("col <= 3"))
+    n = F.col("l_linenumber")
+    edge = F.when(n <= 3, F.concat(F.lit("\\cellx"), (n * 500).cast("string"))).otherwise("")
+    cells = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("row"), n.alias("col"), edge.alias("words"), F.lit("x").alias("text"))
+    cells = P.table(P.parse(table_documents(cells), want=("cells",)), "cells")
+    return A.count_mismatches(cells, cells.where("right IS NOT NULL"))
 
 
 @query("""
@@ -261,9 +291,11 @@ n AS (SELECT *, (SELECT min(d.col) FROM c d WHERE d.doc_id = c.doc_id AND d.col
 SELECT doc_id, row, col, merge, CASE WHEN merge = 'start' AND coalesce(stop, ends) - col > 1 THEN coalesce(stop, ends) - col END AS span, coalesce(merge = 'continue' AND coalesce(led, 'none') <> 'start', false) AS orphan FROM n
 """)
 def hmerge_spans(spark, sf_dir):
-    merge = F.when(F.col("p_size") % 4 == 0, "start").when(F.col("p_size") % 4 != 3, "continue")
-    cells = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), F.lit(0).alias("row"), (F.col("p_partkey") % 10).alias("col"), merge.alias("merge"))
-    return A.horizontal_spans(cells).withColumn("orphan", F.coalesce("orphan", F.lit(False)))
+    k, merge = F.col("p_partkey"), F.when(F.col("p_size") % 4 == 0, "\\clmgf").when(F.col("p_size") % 4 != 3, "\\clmrg").otherwise("")
+    cells = read(spark, sf_dir, "part").select(F.floor(k / 10).alias("doc_id"), F.lit(0).alias("row"), (k % 10).alias("col"), edged(merge, k % 10).alias("words"), F.lit("x").alias("text"))
+    parsed = P.table(P.parse(table_documents(cells), want=("cells",)), "cells")
+    merges = F.when(F.col("merge") == "horizontal_start", "start").when(F.col("merge") == "horizontal_continue", "continue")
+    return A.horizontal_spans(parsed.select("doc_id", "row", "col", merges.alias("merge"))).withColumn("orphan", F.coalesce("orphan", F.lit(False)))
 
 
 @query("""
@@ -272,14 +304,16 @@ n AS (SELECT *, (SELECT min(d.row) FROM c d WHERE d.doc_id = c.doc_id AND d.col
 SELECT doc_id, row, col, merge, CASE WHEN merge = 'vstart' THEN coalesce(stop, ends) - row END AS rowspan FROM n
 """)
 def vmerge_rowspans(spark, sf_dir):
-    merge = F.when(F.col("p_size") % 3 == 0, "vstart").when(F.col("p_size") % 3 == 1, "vcontinue")
-    k = F.col("p_partkey")
-    return A.vertical_spans(read(spark, sf_dir, "part").select(F.floor(k / 50).alias("doc_id"), F.floor((k % 50) / 5).alias("row"), (k % 5).alias("col"), merge.alias("merge")))
+    k, merge = F.col("p_partkey"), F.when(F.col("p_size") % 3 == 0, "\\clvmgf").when(F.col("p_size") % 3 == 1, "\\clvmrg").otherwise("")
+    cells = read(spark, sf_dir, "part").select(F.floor(k / 50).alias("doc_id"), F.floor(k % 50 / 5).alias("row"), (k % 5).alias("col"), edged(merge, k % 5).alias("words"), F.lit("x").alias("text"))
+    parsed = P.table(P.parse(table_documents(cells), want=("cells",)), "cells")
+    merges = F.when(F.col("merge") == "vertical_start", "vstart").when(F.col("merge") == "vertical_continue", "vcontinue")
+    return A.vertical_spans(parsed.select("doc_id", "row", "col", merges.alias("merge")))
 
 
 @query("""
-WITH c AS (SELECT p_partkey // 20 AS d, (p_partkey % 20) // 4 AS r, p_partkey % 4 AS c, CASE WHEN p_size % 2 = 0 THEN p_size END AS t, CASE WHEN p_size % 3 = 0 THEN p_size + 1 END AS l, CASE WHEN p_size % 5 = 0 THEN p_size + 2 END AS b,
-  CASE WHEN p_size % 7 = 0 THEN p_size + 3 END AS g, CASE WHEN (p_partkey % 20) // 4 % 2 = 0 THEN 100 END AS h, CASE WHEN (p_partkey % 20) // 4 % 3 = 0 THEN 200 END AS v FROM part)
+WITH c AS (SELECT k // 20 AS d, (k % 20) // 4 AS r, k % 4 AS c, CASE WHEN p_size % 2 = 0 THEN p_size END AS t, CASE WHEN p_size % 3 = 0 THEN p_size + 1 END AS l, CASE WHEN p_size % 5 = 0 THEN p_size + 2 END AS b,
+  CASE WHEN p_size % 7 = 0 THEN p_size + 3 END AS g, CASE WHEN (k % 20) // 4 % 2 = 0 THEN 100 END AS h, CASE WHEN (k % 20) // 4 % 3 = 0 THEN 200 END AS v FROM (SELECT *, p_partkey AS k FROM part))
 SELECT c.d AS doc_id, c.r AS row, c.c AS col,
   CAST(coalesce(CASE WHEN u.d IS NULL THEN coalesce(c.t, 7) WHEN c.t IS NOT NULL OR u.b IS NOT NULL THEN CASE WHEN u.b IS NULL THEN c.t END WHEN u.h IS NULL THEN c.h END, -1) AS BIGINT) AS draw_top,
   CAST(coalesce(CASE WHEN w.d IS NULL THEN coalesce(c.l, 8) WHEN c.l IS NOT NULL OR w.g IS NOT NULL THEN CASE WHEN w.g IS NULL THEN c.l END WHEN w.v IS NULL THEN c.v END, -1) AS BIGINT) AS draw_left,
@@ -289,13 +323,13 @@ FROM c LEFT JOIN c u ON u.d = c.d AND u.c = c.c AND u.r = c.r - 1 LEFT JOIN c w
 """)
 def effective_borders(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
-    row, none = F.floor((k % 20) / 4), F.lit(None).cast("int")
-    own = lambda m, add: F.when(s % m == 0, s + add)
-    cells = read(spark, sf_dir, "part").select(
-        F.floor(k / 20).alias("doc_id"), row.alias("row"), (k % 4).alias("col"), own(2, 0).alias("top"), own(3, 1).alias("left"), own(5, 2).alias("bottom"), own(7, 3).alias("right"),
-        F.lit(7).alias("row_top"), F.lit(8).alias("row_left"), none.alias("row_bottom"), none.alias("row_right"), F.when(row % 2 == 0, 100).alias("row_h"), F.when(row % 3 == 0, 200).alias("row_v"),
-    )
-    return A.effective_borders(cells).select("doc_id", "row", "col", *(F.coalesce(F.col(f"draw_{side}"), F.lit(-1)).cast("long").alias(f"draw_{side}") for side in ("top", "left", "bottom", "right")))
+    row = F.floor(k % 20 / 4)
+    own = lambda m, side, add: F.when(s % m == 0, F.concat(F.lit(f"\\clbrdr{side}\\brdrs\\brdrw"), (s + add).cast("string"))).otherwise("")
+    words = edged(F.concat(own(2, "t", 0), own(3, "l", 1), own(5, "b", 2), own(7, "r", 3)), k % 4)
+    of_row = F.concat(F.lit("\\trbrdrt\\brdrs\\brdrw7\\trbrdrl\\brdrs\\brdrw8"), F.when(row % 2 == 0, "\\trbrdrh\\brdrs\\brdrw100").otherwise(""), F.when(row % 3 == 0, "\\trbrdrv\\brdrs\\brdrw200").otherwise(""))
+    cells = read(spark, sf_dir, "part").select(F.floor(k / 20).alias("doc_id"), row.alias("row"), (k % 4).alias("col"), words.alias("words"), of_row.alias("row_words"), F.lit("x").alias("text"))
+    parsed = P.table(P.parse(table_documents(cells), want=("cells",)), "cells").drop("right").withColumnRenamed("right_border", "right")
+    return A.effective_borders(parsed).select("doc_id", "row", "col", *(F.coalesce(F.col(f"draw_{side}"), F.lit(-1)).cast("long").alias(f"draw_{side}") for side in ("top", "left", "bottom", "right")))
 
 
 # ---- lists
@@ -322,12 +356,10 @@ def list_items_by_level(spark, sf_dir):
 SELECT unresolved, kind, count(*) AS n FROM (SELECT c_custkey % 5 NOT IN (1, 2, 3) AS unresolved, CASE WHEN c_custkey % 5 = 1 THEN 'ordered_decimal' WHEN c_custkey % 5 IN (2, 3) THEN 'bullet' END AS kind FROM customer) GROUP BY ALL
 """)
 def unresolved_lists(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    paragraphs = c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 5).alias("ls"), F.lit(0).alias("level"))
-    docs = paragraphs.select("doc_id").distinct()
-    overrides = docs.select("doc_id", F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)))).alias("ls")).withColumn("list_id", F.col("ls") * 10)
-    lists = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(10).cast("long").alias("list_id"), F.lit("ordered_decimal").alias("kind")), F.struct(F.lit(20).cast("long").alias("list_id"), F.lit("bullet").alias("kind")))).alias("x")).select("doc_id", "x.*", F.lit(0).alias("level"))
-    return A.resolve_lists(paragraphs, overrides, lists).groupBy("unresolved", "kind").agg(F.count("*").alias("n"))
+    """List 30 isn't in the table of lists: its items are bullets. Override 4 and 0 aren't defined."""
+    head = "{\\*\\listtable{\\list{\\listlevel\\levelnfc0}\\listid10}{\\list{\\listlevel\\levelnfc23}\\listid20}}{\\*\\listoverridetable{\\listoverride\\listid10\\ls1}{\\listoverride\\listid20\\ls2}{\\listoverride\\listid30\\ls3}}"
+    marks, overrides, levels = marked_lists(read(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", F.col("c_custkey") % 5, F.lit(0), head)
+    return A.resolve_lists(marks, overrides, levels).groupBy("unresolved", "kind").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -336,8 +368,12 @@ c AS (SELECT *, CASE WHEN list_id = lag(list_id) OVER w AND kind = lag(kind) OVE
 SELECT doc_id, CAST(sum(b) AS BIGINT) AS n_blocks, count(*) AS n_items FROM c GROUP BY doc_id
 """)
 def list_grouping(spark, sf_dir):
-    items = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), (F.floor(F.col("o_orderkey") / 2) % 2).alias("list_id"), F.col("o_orderstatus").alias("kind"))
-    return A.list_blocks(items).groupBy("doc_id").agg(F.count_distinct("block").alias("n_blocks"), F.count("*").alias("n_items"))
+    """A list for each of the two numbers and each status."""
+    lists = "".join(f"{{\\list{{\\listlevel\\levelnfc{0 if i % 3 else 23}}}\\listid{i}}}" for i in range(1, 7))
+    head = f"{{\\*\\listtable{lists}}}{{\\*\\listoverridetable{''.join(f'{{\\listoverride\\listid{i}\\ls{i}}}' for i in range(1, 7))}}}"
+    status = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    found = marked_lists(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.floor(F.col("o_orderkey") / 2) % 2 * 3 + status, F.lit(0), head)
+    return A.list_blocks(A.resolve_lists(*found)).groupBy("doc_id").agg(F.count_distinct("block").alias("n_blocks"), F.count("*").alias("n_items"))
 
 
 @query("""
@@ -346,8 +382,9 @@ c AS (SELECT doc_id, n, level, level AS shown FROM i WHERE n = 1 UNION ALL SELEC
 SELECT doc_id, CAST(sum(shown) AS BIGINT) AS depth_sum, count(*) FILTER (shown < level) AS n_clamped FROM c GROUP BY doc_id
 """)
 def list_levels_clamped(spark, sf_dir):
-    items = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("block"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") * 7 % 9).cast("int").alias("level"))
-    return A.clamped_levels(items).groupBy("doc_id").agg(F.sum("shown").cast("long").alias("depth_sum"), F.count_if(F.col("shown") < F.col("level")).alias("n_clamped"))
+    head = "{\\*\\listtable{\\list" + "{\\listlevel\\levelnfc0}" * 9 + "\\listid7}}{\\*\\listoverridetable{\\listoverride\\listid7\\ls1}}"
+    marks, _, _ = marked_lists(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.lit(1), F.col("o_orderkey") * 7 % 9, head)
+    return A.clamped_levels(marks.withColumn("block", F.lit(0))).groupBy("doc_id").agg(F.sum("shown").cast("long").alias("depth_sum"), F.count_if(F.col("shown") < F.col("level")).alias("n_clamped"))
 
 
 @query("""
@@ -356,8 +393,11 @@ d AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, levels) AS dp, row_number()
 SELECT doc_id, list_id, n + 1 AS num_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY dp) AS abstract_id FROM d
 """)
 def numbering_ids(spark, sf_dir):
+    lists = "".join("{\\list" + "{\\listlevel\\levelnfc23}" * 2 + f"\\listid{i}}}" for i in range(4))
+    head = f"{{\\*\\listtable{lists}}}{{\\*\\listoverridetable{''.join(f'{{\\listoverride\\listid{i}\\ls{i + 1}}}' for i in range(4))}}}"
     key = F.col("o_orderkey")
-    uses = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), key.alias("pos"), (key % 4).alias("list_id"), F.lit("bullet").alias("kind"), (key % 3 % 2).alias("level"))
+    found = marked_lists(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", key % 4 + 1, key % 3 % 2, head)
+    uses = A.resolve_lists(*found).withColumnRenamed("ord", "pos")
     return A.numbering_ids(uses).select("doc_id", "list_id", F.col("num_id").cast("long").alias("num_id"), F.col("abstract_id").cast("long").alias("abstract_id"))
 
 
@@ -427,11 +467,11 @@ SELECT o_custkey AS doc_id, CAST(0 AS BIGINT) AS ord, 'table_of_contents' AS wha
 UNION ALL SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 + CASE WHEN count(*) FILTER (o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey) >= 3 THEN 1 ELSE 0 END, o_orderpriority FROM orders
 """)
 def generated_blocks(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    blocks = o.select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(w) - 1).alias("ord"), F.col("o_orderpriority").alias("what"))
-    toc = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count_if(F.col("o_orderkey") % 2 == 0).alias("h")).where("h >= 3").select("doc_id", F.lit(0).alias("insertion_index"), F.lit("table_of_contents").alias("kind"))
-    return A.with_generated(blocks, toc).withColumn("ord", F.col("ord").cast("long"))
+    line = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "{\\b\\fs28 ").otherwise("{"), escaped("o_orderpriority"), F.lit("}\\par "))
+    docs = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(document(joined(line, F.col("o_orderkey"))).alias("rtf"))
+    parsed = P.parse(docs, want=("nodes", "generated"))
+    blocks = P.table(parsed, "nodes").where("node_type = 'paragraph'").select("doc_id", F.get("path", F.lit(0)).alias("ord"), F.col("text").alias("what"))
+    return A.with_generated(blocks, P.table(parsed, "generated")).withColumn("ord", F.col("ord").cast("long"))
 
 
 # ---- warnings, sections, notes, images
@@ -460,14 +500,30 @@ def strict_status(spark, sf_dir):
     return P.status(warned(spark, sf_dir), strict=True)
 
 
+def warned_events(spark, sf_dir, limits=None):
+    said = F.when(F.col("event_id") % 11 == 0, "{\\obj x}").otherwise(F.concat(F.lit("\\odd"), F.col("event_type"), F.lit(" ")))
+    docs = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(document(joined(said, F.col("event_id"))).alias("rtf"))
+    w = P.table(P.parse(docs, limits, want=("warnings",)), "warnings")
+    return w.select("doc_id", "seq", F.when(F.col("type") == "dropped_content", F.col("type")).otherwise(F.substr("word", F.lit(4))).alias("type"))
+
+
 @query("""
-WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM (SELECT user_id, event_id, CASE WHEN event_id % 11 = 0 THEN 'dropped_content' ELSE event_type END AS event_type FROM events)),
+WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM (SELECT user_id, event_id, CASE WHEN event_id % 11 = 0 THEN 'dropped_content' ELSE event_type END AS event_type FROM events)),
 d AS (SELECT user_id, min(n) AS dn FROM e WHERE event_type = 'dropped_content' GROUP BY user_id)
-SELECT user_id AS doc_id, event_id AS seq, event_type AS type FROM e LEFT JOIN d USING (user_id) WHERE CASE WHEN dn > 5 THEN n < 5 OR n = dn ELSE n <= 5 END
+SELECT user_id AS doc_id, CAST(n - 1 AS INTEGER) AS seq, event_type AS type FROM e LEFT JOIN d USING (user_id) WHERE CASE WHEN dn > 5 THEN n < 5 OR n = dn ELSE n <= 5 END
 """)
 def warning_cap(spark, sf_dir):
-    w = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 == 0, "dropped_content").otherwise(F.col("event_type")).alias("type"))
-    return A.capped_warnings(w, 5)
+    return A.capped_warnings(warned_events(spark, sf_dir, Limits(max_warnings=2**31)), 5)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM (SELECT user_id, event_id, CASE WHEN event_id % 11 = 0 THEN 'dropped_content' ELSE event_type END AS event_type FROM events)),
+d AS (SELECT user_id, min(n) AS dn FROM e WHERE event_type = 'dropped_content' GROUP BY user_id)
+SELECT user_id AS doc_id, CAST(least(n, 5) - 1 AS INTEGER) AS seq, event_type AS type FROM e LEFT JOIN d USING (user_id) WHERE CASE WHEN dn > 5 THEN n < 5 OR n = dn ELSE n <= 5 END
+""")
+def reader_warning_cap(spark, sf_dir):
+    """The same by the reader, which stops taking warnings."""
+    return warned_events(spark, sf_dir, Limits(max_warnings=5))
 
 
 @query("""
@@ -476,9 +532,13 @@ WITH s AS (SELECT o_custkey, o_orderkey, sum(CASE WHEN o_orderstatus = 'F' THEN
 SELECT f AS number_format, CAST(section AS BIGINT) AS section, count(*) AS n FROM s GROUP BY ALL
 """)
 def sections_numbering(spark, sf_dir):
+    """Sections and formats in force at each word of text, from tokens."""
     k = F.col("o_orderkey")
-    breaks = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("pos"), (F.col("o_orderstatus") == "F").alias("is_break"), F.when(k % 5 == 0, "roman_lower").when(k % 7 == 0, "arabic").alias("format"))
-    return A.sections(breaks).groupBy("number_format", "section").agg(F.count("*").alias("n"))
+    line = F.concat(F.when(F.col("o_orderstatus") == "F", "\\sect").otherwise(""), F.when(k % 5 == 0, "\\pgnlcrm").when(k % 7 == 0, "\\pgndec").otherwise(""), F.lit("{x}\\par "))
+    docs = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(document(joined(line, k)).alias("rtf"))
+    formats = F.when(F.col("word") == "pgnlcrm", "roman_lower").when(F.col("word") == "pgnucrm", "roman_upper").when(F.col("word") == "pgndec", "arabic")
+    tokens = T.groups(docs).select("doc_id", "pos", "kind", F.col("word").eqNullSafe("sect").alias("is_break"), formats.alias("format")).where("is_break OR format IS NOT NULL OR kind = 'text'")
+    return A.sections(tokens).where("kind = 'text'").groupBy("number_format", "section").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -494,12 +554,14 @@ def notes_join(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT p_brand, p_partkey, sum(p_size * 1000) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS total FROM part)
-SELECT p_brand AS doc_id, CAST(max(total) AS BIGINT) AS total, min(p_partkey) FILTER (total > 500000) AS failed_at FROM t GROUP BY p_brand
+WITH t AS (SELECT p_brand, row_number() OVER w - 1 AS pos, sum(p_size * 10) OVER w AS total FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))
+SELECT p_brand AS doc_id, CAST(max(total) AS BIGINT) AS total, CAST(min(pos) FILTER (total > 5000) AS BIGINT) AS failed_at FROM t GROUP BY p_brand
 """)
 def image_budget(spark, sf_dir):
-    images = read(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("pos"), (F.col("p_size").cast("long") * 1000).alias("size"))
-    return A.within_budget(images, 500_000)
+    picture = F.concat(F.lit("{\\pict\\pngblip "), F.expr("repeat('0a', p_size * 10)"), F.lit("}"))
+    docs = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(document(joined(picture, F.col("p_partkey"))).alias("rtf"))
+    images = P.table(P.parse(docs, want=("nodes",)), "nodes").where("node_type = 'image'")
+    return A.within_budget(images.select("doc_id", F.get("path", F.lit(0)).cast("long").alias("pos"), F.col("image_bytes").cast("long").alias("size")), 5000)
 
 
 @query("""
