@@ -21,10 +21,30 @@ class ParseError(ScrivelError):
         self.kind = kind
 
 
+class ReportError(ScrivelError):
+    pass
+
+
 class WriterError(ScrivelError):
     pass
 
 
+class HtmlWriterError(WriterError):
+    pass
+
+
+class DocxWriterError(WriterError):
+    pass
+
+
+class TypstWriterError(WriterError):
+    pass
+
+
+class PdfRenderError(WriterError):
+    pass
+
+
 @dataclass
 class Document:
     """What was read: the model, warnings and counts."""
@@ -70,7 +90,18 @@ def parse(rtf: str, limits: Limits | None = None) -> Document:
 
 
 def report_json(d: Document) -> str:
-    return json.dumps({"warnings": d.warnings, "stats": d.stats}, indent=2, ensure_ascii=False)
+    try:
+        return json.dumps({"warnings": d.warnings, "stats": d.stats}, indent=2, ensure_ascii=False)
+    except (TypeError, ValueError) as e:
+        raise ReportError(str(e)) from e
+
+
+def with_mapping_warnings(d: Document, warnings: list[tuple[str, str]]) -> Document:
+    """The document with a writer's warnings after the reader's."""
+    from scrivel.render.typst import kind_of
+
+    more = [{"type": kind_of(code), "reason": code, "detail": reason, "severity": "warning"} for code, reason in warnings]
+    return Document(d.model, d.warnings + more, d.stats)
 
 
 def report_text(d: Document) -> str:
@@ -88,32 +119,49 @@ def to_html_with_warnings(d: Document, **options) -> tuple[str, list[str]]:
     try:
         return html(d.model, **options)
     except ValueError as e:
-        raise WriterError(str(e)) from e
+        raise HtmlWriterError(str(e)) from e
 
 
-def to_docx_bytes(d: Document) -> bytes:
+def to_docx_bytes(d: Document, profile: str | None = None) -> bytes:
+    return to_docx_with_warnings(d, profile)[0]
+
+
+def to_docx_with_warnings(d: Document, profile: str | None = None) -> tuple[bytes, list[str]]:
     from scrivel.render.docx import docx
 
-    return docx(d.model)[0]
+    try:
+        return docx(d.model, profile)
+    except ValueError as e:
+        raise DocxWriterError(str(e)) from e
+
 
+def to_docx_file(d: Document, path: str, profile: str | None = None) -> None:
+    Path(path).write_bytes(to_docx_bytes(d, profile))
 
-def to_docx_file(d: Document, path: str) -> None:
-    Path(path).write_bytes(to_docx_bytes(d))
 
+def to_typst(d: Document, profile: str = "report", **options) -> str:
+    return to_typst_with_warnings(d, profile, **options)[0]
 
-def to_typst(d: Document, profile: str = "report") -> str:
-    from scrivel.render.typst import typst
 
-    return typst(d.model, profile)[0]
+def to_typst_with_warnings(d: Document, profile: str = "report", **options) -> tuple[str, list[tuple[str, str]]]:
+    """options: size (a name, or width and height in millimeters) and numbering (auto, always, never)."""
+    from scrivel.render.typst import typst_with_warnings
 
+    try:
+        return typst_with_warnings(d.model, profile, **options)
+    except ValueError as e:
+        raise TypstWriterError(str(e)) from e
 
-def to_pdf(d: Document, size: str = "a4") -> bytes:
-    return to_pdf_with_warnings(d, size)[0]
 
+def to_pdf(d: Document, size: str | tuple[float, float] = "a4", **options) -> bytes:
+    return to_pdf_with_warnings(d, size, **options)[0]
 
-def to_pdf_with_warnings(d: Document, size: str = "a4") -> tuple[bytes, list[str]]:
-    from scrivel.render.pdf import SIZES, pdf
 
-    if size.lower() not in SIZES:
-        raise WriterError(f"no page size {size!r}: {', '.join(SIZES)}")
-    return pdf(d.model, size)
+def to_pdf_with_warnings(d: Document, size: str | tuple[float, float] = "a4", **options) -> tuple[bytes, list[tuple[str, str]]]:
+    """options: profile, numbering, title and stamp, the only date in the file."""
+    from scrivel.render.pdf import pdf_with_warnings
+
+    try:
+        return pdf_with_warnings(d.model, size, **options)
+    except ValueError as e:
+        raise PdfRenderError(str(e)) from e

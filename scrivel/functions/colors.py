@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Base colors of the theme, by index.
@@ -43,3 +45,9 @@ def pattern(percent: int) -> str:
 
 def blend(background: int, foreground: int, percent: int) -> int:
     return (background * (100 - percent) + foreground * percent + 50) // 100
+
+
+def hex_digits(said) -> str | None:
+    """The six digits of #rrggbb; None for anything else."""
+    text = str(said)
+    return text[1:] if re.fullmatch("#[0-9A-Fa-f]{6}", text) else None

@@ -34,7 +34,22 @@ def test_exit_codes(tmp_path, capsys):
     assert run(doc, "-o", out, "--to", "pdf") == 2 and run(doc, "--profile", "nosuch") == 2 and run(bad) == 2 and run(tmp_path / "none.rtf") == 3
     assert run(dropped) == 0 and run(dropped, "--strict", "--emit-ir", tmp_path / "c.json") == 4 and (tmp_path / "c.json").exists()
     for name in ("a.docx", "a.pdf", "a.typ"):
-        assert run(doc, "-o", tmp_path / name) == 0
+        assert run(doc, "-o", tmp_path / name, "--page-size", "100x200", "--docx-profile", "--page-numbers", "always") == 0
+    assert b"/MediaBox [0 0 283.46 566.93]" in (tmp_path / "a.pdf").read_bytes()
+    assert run(doc, "-o", tmp_path / "none" / "a.pdf") == 3 and run(doc, "-o", tmp_path, "--to", "pdf") == 3 and run(doc, "-o", tmp_path / "b.pdf", "--page-size", "a9") == 2
+    picture = tmp_path / "p.rtf"
+    picture.write_text("{\\rtf1 {\\pict\\jpegblip 00}x}")
+    assert run(picture, "-o", tmp_path / "p.pdf", "--strict") == 4 and run(picture, "-o", tmp_path / "p.docx", "--strict") == 4 and run(picture, "-o", tmp_path / "p.odd", "--to", "pdf", "--verbose") == 0
+
+
+def test_errors_and_warnings_of_writers():
+    d = scrivel.parse("{\\rtf1 {\\pict\\jpegblip 00}{\\endnote n}x}")
+    for error, write in ((api.HtmlWriterError, lambda: api.to_html(d, profile="x")), (api.DocxWriterError, lambda: api.to_docx_bytes(d, "x")), (api.PdfRenderError, lambda: api.to_pdf(d, (0, 1))), (api.TypstWriterError, lambda: api.to_typst(d, numbering="x")), (api.ReportError, lambda: api.report_json(api.Document({}, [{"type": {1}}])))):
+        with pytest.raises(error):
+            write()
+        assert issubclass(error, api.ScrivelError)
+    more = api.with_mapping_warnings(d, api.to_pdf_with_warnings(d)[1])
+    assert [(w["type"], w["reason"]) for w in more.warnings[len(d.warnings) :]] == [("dropped_content", "Dropped malformed JPEG image payload"), ("partial_support", "partial_support_endnote_ref")]
 
 
 def test_sinks(spark, tmp_path):
