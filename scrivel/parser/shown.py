@@ -15,7 +15,7 @@ from scrivel.parser.reader import CHANNELS, DROPPED, METADATA, TABLES
 HIDDEN = frozenset(METADATA | DROPPED | {*TABLES, *CHANNELS, "bkmkend", "bkmkstart", "footnote", "endnote", "pict", "fldinst"})
 #: Destinations that a reader knows, though a \* stands before them.
 KNOWN = frozenset(("shppict", "nonshppict", "fldrslt"))
-SYMBOLS = {"\\": "\\", "{": "{", "}": "}", "~": " ", "_": "‑"}
+SYMBOLS = {"\\": "\\", "{": "{", "}": "}", "~": "\xa0", "_": "\u2011"}
 #: A run of escapes, each with a question mark in place of its character, is met as one.
 PIECE = re.compile(rf"(?:\\u-?[0-9]+ ?\?)+|{PATTERN}", re.S)
 ESCAPE = re.compile(r"-?[0-9]+")

@@ -15,7 +15,7 @@ from scrivel.limits import Limits
 from scrivel.operators import analytics as A
 from scrivel.operators import parse as P
 from scrivel.operators import tokens as T
-from scrivel.operators.render import convert_to_html, to_typst
+from scrivel.operators.render import all_warnings, convert_to_docx, convert_to_html, convert_to_pdf, convert_to_typst, docx_elements, docx_paragraphs, mapping_warnings, pdf_pages
 from scrivel.sources.rtf import document, encode_rows, encode_text, escaped
 
 STATS = ("paragraph_count", "run_count", "bytes_processed", "duration_ms")
@@ -611,21 +611,346 @@ def ir_json_blocks(spark, sf_dir):
     return parsed.select("doc_id", F.size(F.from_json("ir", "blocks array<struct<type string>>")["blocks"]).cast("long").alias("n_blocks"))
 
 
-@query()
+@query(r"""
+SELECT doc_id, md5(coalesce(string_agg(regexp_replace(p, '([\[\]*_@#\\$~])', '\\\1', 'g'), chr(10) || chr(10) ORDER BY i) FILTER (p <> ''), '')) AS digest
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id
+""")
 def typst_render(spark, sf_dir):
-    return to_typst(P.parse(encoded_documents(spark, sf_dir), want=("ir",))).select("doc_id", F.length("typst").alias("n_chars"))
+    """The body's source, after the preamble."""
+    out = convert_to_typst(encoded_documents(spark, sf_dir))
+    return out.select("doc_id", F.md5(F.expr("substr(typst, instr(typst, '\\n\\n') + 2, length(typst) - instr(typst, '\\n\\n') - 2)").cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, true AS is_pdf, true AS has_end FROM documents")
+@query(r"""
+SELECT doc_id, md5(regexp_replace(replace(replace(text, chr(10), ''), ' ', ''), '[^\x00-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '?', 'g')) AS digest, true AS has_end FROM documents
+""")
 def pdf_render(spark, sf_dir):
-    from scrivel.operators.render import to_pdf
-
-    out = to_pdf(P.parse(encoded_documents(spark, sf_dir), want=("ir",)))
-    return out.select("doc_id", (F.substring("pdf", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"), (F.substring("pdf", -6, 5) == F.lit(b"%%EOF")).alias("has_end"))
+    """The letters of all pages, in the order in which they are drawn; spaces are distances."""
+    out = convert_to_pdf(encoded_documents(spark, sf_dir), numbering="never")
+    pages = pdf_pages(out).groupBy("doc_id").agg(joined(F.array_join("pieces", ""), F.col("page")).alias("letters"))
+    ends = out.select("doc_id", (F.substring("pdf", -6, 5) == F.lit(b"%%EOF")).alias("has_end"))
+    return ends.join(pages, "doc_id").select("doc_id", F.md5(F.col("letters").cast("binary")).alias("digest"), "has_end")
 
 
-@query("SELECT doc_id, true AS is_zip FROM documents")
+@query("""
+SELECT doc_id, count(p) FILTER (p <> '') AS n_paragraphs, md5(coalesce(string_agg(p, chr(10) ORDER BY i) FILTER (p <> ''), '')) AS digest
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id HAVING count(p) FILTER (p <> '') > 0
+""")
 def docx_render(spark, sf_dir):
-    from scrivel.operators.render import to_docx
+    """The paragraphs of the package's document part, read back."""
+    p = docx_paragraphs(convert_to_docx(encoded_documents(spark, sf_dir))).where("part = 'document'")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    return p.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.md5(text.cast("binary")).alias("digest"))
+
+
+def sized_tables(spark, sf_dir):
+    """A table for every ten parts: a row for each, with a cell of two columns and one of its own, borders, heights and widths."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    row = said("\\trowd\\trqc\\trleft", s, "\\trgaph30\\trrh", F.when(k % 2 == 0, s * 10).otherwise(-s * 10), "\\trftswidth3\\trwwidth5000\\clmgf\\clbrdrt\\brdrdb\\brdrw", s, "\\clcbpat1\\cellx", s * 100, "\\clmrg\\cellx", s * 200, "\\clvertalb\\clpadl", s * 20, "\\clpadfl3\\cellx", s * 300, " \\pard\\intbl x\\cell\\cell y\\cell\\row ")
+    return read(spark, sf_dir, "part").groupBy(F.floor(k / 10).alias("doc_id")).agg(document(joined(row, k), "{\\colortbl;\\red17\\green34\\blue51;}").alias("rtf"))
+
+
+@query("""
+SELECT p_partkey // 10 AS doc_id, count(*) AS n_rows, CAST(sum(p_size * 10) AS BIGINT) AS heights, count(*) FILTER (p_partkey % 2 = 1) AS exact, count(*) * 2 AS spans, CAST(sum(p_size * 4) AS BIGINT) AS borders, count(*) AS fills,
+  CAST(sum(p_size * 20) AS BIGINT) AS padding, CAST(min_by(p_size, p_partkey) AS BIGINT) AS indent, CAST(5000 AS BIGINT) AS width, CAST(30 AS BIGINT) AS gap FROM part GROUP BY 1
+""")
+def docx_tables(spark, sf_dir):
+    """Properties of tables, rows and cells as they stand in the package."""
+    x = docx_elements(convert_to_docx(sized_tables(spark, sf_dir)), ["trHeight", "gridSpan", "top", "shd", "left", "tblInd", "tblW", "tblCellSpacing"]).where("part = 'document'")
+    of = lambda name, key: F.when(F.col("element") == name, F.col("attributes")[key])
+    total = lambda c: F.sum(c.cast("long"))
+    return x.groupBy("doc_id").agg(
+        F.count_if(F.col("element") == "trHeight").alias("n_rows"), total(of("trHeight", "val")).alias("heights"), F.count_if(of("trHeight", "hRule") == "exact").alias("exact"), total(of("gridSpan", "val")).alias("spans"), total(of("top", "sz")).alias("borders"),
+        F.count_if(of("shd", "fill") == "112233").alias("fills"), total(of("left", "w")).alias("padding"), F.max(of("tblInd", "w")).cast("long").alias("indent"), F.max(of("tblW", "w")).cast("long").alias("width"), F.max(of("tblCellSpacing", "w")).cast("long").alias("gap"),
+    )
 
-    return to_docx(P.parse(encoded_documents(spark, sf_dir), want=("ir",))).select("doc_id", (F.substring("docx", 1, 2) == F.lit(b"PK")).alias("is_zip"))
+
+@query("""
+SELECT p_partkey // 10 AS doc_id, count(*) * 2 AS colspans, count(*) AS fills, count(*) FILTER (p_partkey % 2 = 1) AS exact, round(sum(p_size / 2.0), 1) AS borders, round(sum(p_size / 1.0), 1) AS padding FROM part GROUP BY 1
+""")
+def html_tables(spark, sf_dir):
+    out = convert_to_html(sized_tables(spark, sf_dir), wrapper=False)
+    every = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+    total = lambda pattern: F.round(F.aggregate(every(pattern), F.lit(0.0), lambda a, x: a + x.cast("double")), 1)
+    return out.select("doc_id", total('colspan="([0-9]+)"').cast("long").alias("colspans"), F.size(every("(background-color: #112233)")).cast("long").alias("fills"), F.size(every("(max-height)")).cast("long").alias("exact"), total("border-top: ([0-9.]+)pt double").alias("borders"), total("padding-left: ([0-9.]+)pt").alias("padding"))
+
+
+@query("""
+SELECT p_partkey // 10 AS doc_id, count(*) AS colspans, count(*) AS fills, count(*) AS strokes, 3 AS n_columns, CASE WHEN count(*) FILTER (p_partkey % 2 = 1) > 0 THEN 3 ELSE 2 END AS n_codes FROM part GROUP BY 1
+""")
+def typst_tables(spark, sf_dir):
+    out = convert_to_typst(sized_tables(spark, sf_dir))
+    many = lambda said: F.size(F.regexp_extract_all("typst", F.lit(f"({said})"), F.lit(1))).cast("long")
+    return out.select("doc_id", many("colspan: 2").alias("colspans"), many(r"fill: rgb\(17, 34, 51\)").alias("fills"), many(r"table\.cell\([^\[]*stroke: \(top").alias("strokes"), F.size(F.split(F.regexp_extract("typst", r"columns: \(([^)]*)\)", 1), ", ")).alias("n_columns"), F.size(F.array_distinct("reasons")).alias("n_codes"))
+
+
+# ---- the rest of the reader, one feature each
+
+
+def of_parts(spark, sf_dir, body: F.Column, head: str = "") -> DataFrame:
+    """A document for each part."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(body, head).alias("rtf"))
+
+
+def one_of(*forms: str) -> F.Column:
+    """Of so many forms, the one that a part's key names."""
+    return F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % len(forms)).cast("int"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, k AS ord, CASE WHEN k = 0 THEN ['left', 'center', 'right', 'justify'][p_partkey % 4 + 1] ELSE 'left' END AS alignment, k = 0 AS bold FROM part, (SELECT unnest([0, 1]) AS k)
+""")
+def alignments_and_resets(spark, sf_dir):
+    """\\pard takes back the alignment, \\plain the weight."""
+    docs = of_parts(spark, sf_dir, F.concat(one_of("\\ql", "\\qc", "\\qr", "\\qj"), F.lit("\\b a\\par\\pard\\plain b\\par ")))
+    parsed = P.parse(docs, want=("nodes", "inlines"))
+    lines = P.table(parsed, "nodes").select("doc_id", F.get("path", F.lit(0)).alias("ord"), "alignment")
+    return lines.join(P.table(parsed, "inlines").select("doc_id", F.get("path", F.lit(0)).alias("ord"), "bold"), ["doc_id", "ord"])
+
+
+@query(ORACLES["shading_nearest_pattern"].replace("SELECT p_partkey AS doc_id, CASE", "SELECT p_partkey AS doc_id, '#112233' AS fill, CASE"))
+def paragraph_shading(spark, sf_dir):
+    percent = (F.col("p_partkey") * 37 % 11000 - 400).cast("string")
+    docs = of_parts(spark, sf_dir, F.concat(F.lit("\\cbpat1\\shading"), percent, F.lit(" x\\par ")), "{\\colortbl;\\red17\\green34\\blue51;}")
+    return P.table(P.parse(docs, want=("nodes",)), "nodes").select("doc_id", "fill", "pattern")
+
+
+@query("""
+SELECT italic, underline, strikethrough, small_caps, all_caps, size, count(*) AS n FROM (SELECT p_partkey % 2 = 1 AS italic, p_partkey % 3 = 1 AS underline, p_partkey % 5 = 1 AS strikethrough, p_partkey % 7 = 1 AS small_caps, p_partkey % 11 = 1 AS all_caps, (p_size + 1) / 2.0 AS size FROM part) GROUP BY ALL
+""")
+def run_flags(spark, sf_dir):
+    on = lambda m, word: F.when(F.col("p_partkey") % m == 1, f"\\{word}").otherwise(f"\\{word}\\{word}0")
+    body = F.concat(on(2, "i"), on(3, "ul"), on(5, "strike"), on(7, "scaps"), on(11, "caps"), F.lit("\\fs"), (F.col("p_size") + 1).cast("string"), F.lit(" x"))
+    runs = P.table(P.parse(of_parts(spark, sf_dir, body), want=("inlines",)), "inlines")
+    return runs.groupBy("italic", "underline", "strikethrough", "small_caps", "all_caps", F.col("font_size").cast("double").alias("size")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, ['#010203', '#040506', NULL][p_partkey % 3 + 1] AS background, CASE WHEN p_partkey % 3 = 0 THEN '#040506' END AS color FROM part
+""")
+def run_colors(spark, sf_dir):
+    """A highlight goes before a background."""
+    body = F.concat(one_of("\\highlight1\\cb2\\cf2", "\\cb2", "\\highlight0\\cb9\\cf0"), F.lit(" x"))
+    docs = of_parts(spark, sf_dir, body, "{\\colortbl;\\red1\\green2\\blue3;\\red4\\green5\\blue6;}")
+    return P.table(P.parse(docs, want=("inlines",)), "inlines").select("doc_id", "background", "color")
+
+
+@query("""
+SELECT p_partkey AS doc_id, ['é?x', '\u00e9x', '€\u201cz', '\u00a0\u2011{}\\', 'a\u20acb', ''][p_partkey % 6 + 1] AS text FROM part WHERE p_partkey % 6 < 5
+""")
+def characters(spark, sf_dir):
+    """Escapes and how many letters stand in for them, bytes of Windows-1252, symbols, negative numbers; a document without any."""
+    forms = ("\\u233??x", "\\uc2\\u233 ??x", "\\'80\\'93z", "\\~\\_\\{\\}\\\\", "{\\uc0 a\\u8364}\\uc1 b", "")
+    return P.table(P.parse(of_parts(spark, sf_dir, one_of(*forms)), want=("nodes",)), "nodes").select("doc_id", "text")
+
+
+@query("""
+SELECT p_partkey AS doc_id, channel, CASE channel WHEN 'body' THEN 'text' ELSE channel || p_size END AS text FROM part, (SELECT unnest(['body', 'header_default', 'header_first', 'header_even', 'footer_default', 'footer_first', 'footer_even']) AS channel)
+""")
+def running_channels(spark, sf_dir):
+    words = {"headerr": "header_default", "headerf": "header_first", "headerl": "header_even", "footer": "footer_default", "footerf": "footer_first", "footerl": "footer_even"}
+    body = F.concat(*(x for w, c in words.items() for x in (F.lit(f"{{\\{w} {c}"), F.col("p_size").cast("string"), F.lit("}"))), F.lit("text"))
+    return P.table(P.parse(of_parts(spark, sf_dir, body), want=("nodes",)), "nodes").select("doc_id", "channel", "text")
+
+
+@query("""
+SELECT p_partkey AS doc_id, t AS tables, c AS cells, r AS rows, x AS warned FROM part JOIN (SELECT * FROM (VALUES (0, 2, 2, 2, 0), (1, 1, 2, 1, 0), (2, 1, 1, 1, 4), (3, 1, 2, 2, 4), (4, 0, 0, 0, 4)) v(k, t, c, r, x)) ON p_partkey % 5 = k
+""")
+def table_shapes(spark, sf_dir):
+    """A table within a cell; two cells; a row and a cell that aren't ended, at the document's end and at the next row; words of a table outside of one."""
+    row = "\\trowd\\cellx900 "
+    forms = ("\\trowd\\cellx900\\cellx1800 \\intbl a\\cell\\itap2 b\\nestcell{\\*\\nesttableprops\\trowd\\cellx400\\nestrow}\\itap1\\cell\\row ", "\\trowd\\cellx900\\cellx1800 \\intbl a\\cell b\\cell\\row ", row + "\\intbl a", row + "\\intbl a" + row + "\\intbl b\\cell\\row ", "x\\cell y\\row ")
+    nested = row + "\\intbl a\\itap2" + row + "b\\nestcell\\nestrow\\itap1 c\\cell\\row "
+    parsed = P.parse(of_parts(spark, sf_dir, one_of(nested, *forms[1:])), want=("nodes", "warnings"))
+    many = lambda kind: F.size(F.filter("nodes", lambda n: n["node_type"] == kind))
+    return parsed.select("doc_id", many("table").alias("tables"), many("cell").alias("cells"), many("row").alias("rows"), F.size("warnings").alias("warned"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, ['invalid_structure', 'invalid_structure', 'invalid_structure', 'invalid_structure', 'image_bytes_exceeded', 'input_too_large', NULL][p_partkey % 7 + 1] AS error_type FROM part WHERE p_partkey % 7 < 6
+""")
+def every_limit(spark, sf_dir):
+    """Rows of a table, cells of a row, nested tables, columns of a merge, bytes of images and of the input; at last a document within all of them."""
+    row = "\\trowd\\cellx900 \\intbl a\\cell\\row "
+    nested = "\\trowd\\cellx900 \\intbl " + "".join(f"\\itap{n}\\trowd\\cellx900 x" for n in (2, 3, 4))
+    forms = (row * 4, "\\trowd" + "".join(f"\\cellx{n}00" for n in range(1, 7)) + " " + "a\\cell " * 6 + "\\row ", nested, "\\trowd\\clmgf\\cellx100" + "".join(f"\\clmrg\\cellx{n}00" for n in range(2, 5)) + " " + "a\\cell " * 4 + "\\row ", "{\\pict\\pngblip " + "00" * 50 + "}", "x" * 500, row)
+    limits = Limits(max_rows_per_table=3, max_cells_per_row=5, max_table_nesting_depth=2, max_merge_span=3, max_image_bytes_total=40, max_input_bytes=400)
+    return P.failures(P.parse(of_parts(spark, sf_dir, one_of(*forms)), limits, want=("error",))).select("doc_id", "error_type")
+
+
+@query("""
+SELECT type, count(*) AS n FROM (SELECT unnest([['unsupported_list_control', 'dropped_content'], ['unsupported_nesting_level', 'unresolved_list_override', 'dropped_content'], ['section_numbering_fallback'], ['unresolved_cross_reference'], ['unsupported_field'], ['unsupported_toc_switch'],
+  ['unsupported_table_control'], ['merge_conflict', 'dropped_content'], ['unknown_destination', 'dropped_content'], ['unsupported_control_word'], ['dropped_content'], ['malformed_table_structure']][p_partkey % 12 + 1]) AS type FROM part) GROUP BY type
+""")
+def warning_catalogue(spark, sf_dir):
+    """A document for each kind of warning."""
+    forms = (
+        "\\pnlvl1 x", "\\ls9\\ilvl11 x\\par ", "\\sect\\pgnstarts0 x", "{\\field{\\*\\fldinst REF gone}{\\fldrslt x}}", "{\\field{\\*\\fldinst MERGEFIELD n}{\\fldrslt x}}", "{\\field{\\*\\fldinst TOC \\\\o \"1-2\" \\\\z}{\\fldrslt x}}",
+        "\\trowd\\trftswidth9\\cellx900 \\intbl a\\cell\\row ", "\\trowd\\clmrg\\cellx900 \\intbl a\\cell\\row ", "{\\*\\nosuch x}y", "\\nosuch x", "{\\pict 00}x", "\\trowd\\cellx900\\cellx900 \\intbl a\\cell b\\cell\\row ",
+    )
+    return P.table(P.parse(of_parts(spark, sf_dir, one_of(*forms)), want=("warnings",)), "warnings").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, ['auto', 'auto', 'percent', 'twips'][p_partkey % 4 + 1] AS kind, CAST([NULL, NULL, p_size * 50, p_size * 50][p_partkey % 4 + 1] AS BIGINT) AS value, CAST(p_size AS BIGINT) AS top, CAST(CASE WHEN p_partkey % 2 = 0 THEN 7 ELSE p_size END AS BIGINT) AS left_pad, CAST(60 AS BIGINT) AS gap, 'right' AS alignment, 'at_least' AS height_rule FROM part
+""")
+def table_properties(spark, sf_dir):
+    """Widths, padding of a cell over that of its row, gap, place and height, from the model."""
+    s = F.col("p_size").cast("string")
+    own = F.when(F.col("p_partkey") % 2 == 0, "\\clpadl7\\clpadfl3").otherwise("")
+    body = F.concat(F.lit("\\trowd\\trqr\\trgaph30\\trrh200\\trpaddt"), s, F.lit("\\trpaddl"), s, F.lit("\\clftswidth"), (F.col("p_partkey") % 4).cast("string"), F.lit("\\clwwidth"), (F.col("p_size") * 50).cast("string"), own, F.lit("\\cellx900 \\intbl a\\cell\\row "))
+    cell = "preferred_width struct<type string, value bigint>, padding struct<top bigint, left bigint>"
+    row = "alignment string, cell_gap_twips bigint, height_rule string"
+    model = F.from_json("ir", f"blocks array<struct<rows array<struct<cells array<struct<{cell.replace(' struct', ': struct').replace('type string', 'type: string').replace('value bigint', 'value: bigint').replace('top bigint', 'top: bigint').replace('left bigint', 'left: bigint')}>>, row_props: struct<{row.replace('t s', 't: s').replace('s b', 's: b').replace('e s', 'e: s')}>>>>>")
+    first = P.parse(of_parts(spark, sf_dir, body), want=("ir",)).select("doc_id", model["blocks"][0]["rows"][0].alias("r")).select("doc_id", F.col("r.cells")[0].alias("c"), "r.row_props")
+    return first.select("doc_id", F.col("c.preferred_width.type").alias("kind"), F.col("c.preferred_width.value").alias("value"), F.col("c.padding.top").alias("top"), F.col("c.padding.left").alias("left_pad"), F.col("row_props.cell_gap_twips").alias("gap"), F.col("row_props.alignment").alias("alignment"), F.col("row_props.height_rule").alias("height_rule"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, v AS v_align, v IS NOT NULL AS aligned FROM (SELECT p_partkey, ['top', 'center', 'bottom', NULL][p_partkey % 4 + 1] AS v FROM part)
+""")
+def cell_alignment(spark, sf_dir):
+    body = F.concat(F.lit("\\trowd"), one_of("\\clvertalt", "\\clvertalc", "\\clvertalb", ""), F.lit("\\cellx900 \\intbl a\\cell\\row "))
+    cells = P.table(P.parse(of_parts(spark, sf_dir, body), want=("nodes",)), "nodes").where("node_type = 'cell'")
+    return cells.select("doc_id", "v_align", F.col("v_align").isNotNull().alias("aligned"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE 1 END AS images, CASE WHEN p_partkey % 3 = 1 THEN 2 WHEN p_partkey % 3 = 0 THEN 1 ELSE 1 END AS warned, p_partkey % 3 < 2 AS has_format FROM part
+""")
+def picture_choices(spark, sf_dir):
+    """The better picture of two, a broken one beside it, and one of no known kind."""
+    forms = ("{{\\*\\shppict{\\pict\\pngblip 0a}}{\\nonshppict{\\pict\\jpegblip 0b}}}", "{\\pict\\jpegblip 0b}{\\pict\\pngblip 0}{\\pict\\pngblip 0g}", "{\\pict\\wmetafile8 0b}")
+    parsed = P.parse(of_parts(spark, sf_dir, one_of(*forms)), want=("nodes", "warnings"))
+    images = F.filter("nodes", lambda n: n["node_type"] == "image")
+    drops = F.filter("warnings", lambda w: w["type"] == "dropped_content")
+    return parsed.select("doc_id", F.size(images).alias("images"), F.size(drops).alias("warned"), F.exists(images, lambda n: n["image_format"].isNotNull()).alias("has_format"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, 1 + p_size AS n_bytes_over, 1 AS n_runs FROM part
+""")
+def input_bytes(spark, sf_dir):
+    """Bytes of the input beyond those of the frame, counted as UTF-8."""
+    body = F.concat(F.lit("é").substr(1, 0), F.expr("repeat('x', p_size)"), F.lit("y"))
+    parsed = P.parse(of_parts(spark, sf_dir, body), want=("bytes_processed", "run_count"))
+    return parsed.select("doc_id", (F.col("bytes_processed") - len("{\\rtf1\\ansi }")).cast("int").alias("n_bytes_over"), F.col("run_count").cast("int").alias("n_runs"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, k AS section, CASE WHEN k = 0 THEN 'arabic' ELSE ['roman_lower', 'roman_upper', 'arabic'][p_partkey % 3 + 1] END AS number_format, k = 1 AS restart, CASE WHEN k = 1 THEN p_size END AS start_page FROM part, (SELECT unnest([0, 1, 2]) AS k)
+""")
+def page_management(spark, sf_dir):
+    """Sections inherit a format, but neither a restart nor a first page."""
+    body = F.concat(F.lit("a\\sect"), one_of("\\pgnlcrm", "\\pgnucrm", "\\pgndec"), F.lit("\\pgnrestart\\pgnstarts"), F.col("p_size").cast("string"), F.lit(" b\\sect c"))
+    s = P.table(P.parse(of_parts(spark, sf_dir, body), want=("sections",)), "sections")
+    return s.select("doc_id", F.col("index").alias("section"), "number_format", "restart", "start_page")
+
+
+@query("""
+SELECT p_partkey AS doc_id, f AS kind, t AS target, x AS text FROM part JOIN (SELECT * FROM (VALUES (0, 'current_page', NULL, '1'), (1, 'total_pages', NULL, '1'), (2, 'page_ref', 'mark', '12'), (3, 'page_ref', 'mark', 'mark'), (4, 'ref', 'mark', 'seen'), (5, 'sequence', 'Figure', 'Figure'), (6, 'doc_property', 'Company', 'ACME'), (7, 'note_ref', 'mark', 'seen')) v(k, f, t, x)) ON p_partkey % 8 = k
+""")
+def field_texts(spark, sf_dir):
+    """Targets of fields, and what is shown of them: their result, else what they name."""
+    field = lambda said, result: "{\\field{\\*\\fldinst " + said + "}{\\fldrslt " + result + "}}"
+    forms = (field("PAGE", "7"), field("NUMPAGES \\\\* ROMAN", "7"), field("PAGEREF mark \\\\h", "12"), field("PAGEREF mark", ""), field("REF mark \\\\h", "seen"), field("SEQ Figure \\\\* ARABIC", ""), field("DOCPROPERTY Company", "ACME"), field("NOTEREF mark", "seen"))
+    body = F.concat(F.lit("{\\*\\bkmkstart mark}x{\\*\\bkmkend mark}"), one_of(*forms))
+    return P.table(P.parse(of_parts(spark, sf_dir, body), want=("inlines",)), "inlines").where("kind IS NOT NULL").select("doc_id", "kind", "target", "text")
+
+
+@query("""
+SELECT p_partkey AS doc_id, p_partkey % 3 < 2 AS generated, p_partkey % 3 = 0 AS explicit, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS insertion_index FROM part
+""")
+def contents_places(spark, sf_dir):
+    """A table of contents where a field asks for it, before everything where three headings do, or none."""
+    heads = "{\\b\\fs28 1 A}\\par {\\b\\fs28 2 B}\\par {\\b\\fs28 3 C}\\par "
+    forms = ("x\\par {\\field{\\*\\fldinst TOC \\\\o \"1-2\" \\\\h}{\\fldrslt }}\\par " + heads, heads, "{\\b\\fs28 1 A}\\par {\\b\\fs28 2 B}\\par x")
+    parsed = P.parse(of_parts(spark, sf_dir, one_of(*forms)), want=("generated",))
+    first = F.get("generated", F.lit(0))
+    return parsed.select("doc_id", (F.size("generated") > 0).alias("generated"), F.coalesce(first["explicit"], F.lit(False)).alias("explicit"), first["insertion_index"].alias("insertion_index"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'footnote' ELSE 'endnote' END AS kind, 'note' || p_size AS body, 1 AS n_sections, 1 AS n_refs FROM part
+""")
+def html_notes(spark, sf_dir):
+    """A note's reference and body in the page."""
+    body = F.concat(F.lit("a{"), one_of("\\footnote note", "\\endnote note"), F.col("p_size").cast("string"), F.lit("}"))
+    out = convert_to_html(of_parts(spark, sf_dir, body), wrapper=False)
+    found = lambda pattern: F.regexp_extract("html", pattern, 1)
+    many = lambda said: F.size(F.regexp_extract_all("html", F.lit(f"({said})"), F.lit(1)))
+    return out.select("doc_id", found('id="note-1" class="rtf-note rtf-(\\w+)"').alias("kind"), found('(?s)class="rtf-note .*?<p class="rtf-p">([^<]*)</p>').alias("body"), many('<section class="rtf-notes">').alias("n_sections"), many('<a href="#note-1"').alias("n_refs"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, ['http', 'mailto', 'bookmark', 'none'][p_partkey % 4 + 1] AS kind, ['', 'rtf-align-center', 'rtf-align-right', 'rtf-align-justify'][p_partkey % 4 + 1] AS align FROM part
+""")
+def html_links(spark, sf_dir):
+    """Links of known schemes and to bookmarks are links, others plain; paragraphs have a class for their alignment."""
+    link = lambda said: "{\\field{\\*\\fldinst HYPERLINK " + said + "}{\\fldrslt x}}"
+    forms = ("\\ql " + link('"http://a.b/c"'), "\\qc " + link('"mailto:a@b"'), "\\qr " + link("\\\\l mark"), "\\qj " + link('"ftp://a"'))
+    out = convert_to_html(of_parts(spark, sf_dir, F.concat(one_of(*forms), F.lit("\\par "))), wrapper=False)
+    href = F.regexp_extract("html", 'href="([^":]*)', 1)
+    return out.select("doc_id", F.when(href == "", "none").when(F.startswith(href, F.lit("#")), "bookmark").otherwise(href).alias("kind"), F.regexp_extract("html", '<p class="rtf-p ?([^"]*)"', 1).alias("align"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, 'data:image/png;base64,' || base64(unhex(repeat('0a', CAST(p_size AS INTEGER)))) AS source, CAST(p_size * 20 // 15 AS BIGINT) AS wide FROM part
+""")
+def html_images(spark, sf_dir):
+    body = F.concat(F.lit("{\\pict\\pngblip\\picwgoal"), (F.col("p_size") * 20).cast("string"), F.lit(" "), F.expr("repeat('0a', p_size)"), F.lit("}"))
+    out = convert_to_html(of_parts(spark, sf_dir, body), wrapper=False)
+    return out.select("doc_id", F.regexp_extract("html", 'src="([^"]*)"', 1).alias("source"), F.regexp_extract("html", 'width="([0-9]+)"', 1).cast("long").alias("wide"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 17 END AS r, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '-', 'g') AS label, p_size / 20.0 AS points, p_size * 635 AS emu FROM part
+""")
+def scalar_columns(spark, sf_dir):
+    """Colors from digits, labels, and twips in other units, on columns."""
+    k = F.col("p_partkey")
+    said = F.when(k % 4 == 0, "#112233").when(k % 4 == 2, "112233").when(k % 4 == 1, "#11223").otherwise("red")
+    return read(spark, sf_dir, "part").select(k.alias("doc_id"), C.from_hex(said)["r"].alias("r"), C.typst_label("p_name").alias("label"), C.twips_to_points("p_size").cast("double").alias("points"), C.twips_to_emu("p_size").cast("long").alias("emu"))
+
+
+@query("""
+SELECT kind, code, count(*) AS n FROM (SELECT unnest([['partial_support_endnote_ref'], ['Dropped malformed JPEG image payload'], ['unresolved_page_reference_gone'], ['list_level_skip_0_to_2'], ['partial_support_header_first_even'], ['partial_support_mergefield']][p_partkey % 6 + 1]) AS code FROM part),
+  (SELECT 1), LATERAL (SELECT CASE WHEN code LIKE 'Dropped%' THEN 'dropped_content' ELSE 'partial_support' END AS kind) GROUP BY ALL
+""")
+def writer_warnings(spark, sf_dir):
+    """What a writer can't say as it is, by code."""
+    head = "{\\*\\listtable{\\list{\\listlevel\\levelnfc0}{\\listlevel\\levelnfc0}{\\listlevel\\levelnfc0}\\listid7}}{\\*\\listoverridetable{\\listoverride\\listid7\\ls1}}"
+    forms = ("a{\\endnote n}", "{\\pict\\jpegblip 00}", "{\\field{\\*\\fldinst PAGEREF gone}{\\fldrslt 7}}", "\\ls1 a\\par\\ls1\\ilvl2 b\\par ", "{\\headerf h}x", "{\\field{\\*\\fldinst MERGEFIELD n}{\\fldrslt 1}}")
+    return mapping_warnings(convert_to_typst(of_parts(spark, sf_dir, one_of(*forms), head))).groupBy("kind", "code").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT doc_id, seq, type FROM (SELECT p_partkey AS doc_id, 0 AS seq, 'unsupported_control_word' AS type FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, CAST(1 - p_partkey % 2 AS INTEGER), 'partial_support' FROM part)
+""")
+def report_with_writer_warnings(spark, sf_dir):
+    """The writer's warnings stand after the reader's."""
+    docs = of_parts(spark, sf_dir, F.concat(one_of("\\nosuch ", ""), F.lit("a{\\endnote n}")))
+    parsed = P.parse(docs, want=("warnings",))
+    return all_warnings(parsed, convert_to_pdf(docs)).select("doc_id", "seq", "type")
+
+
+@query("""
+SELECT p_partkey AS doc_id, part, text FROM part, (SELECT unnest(['document', 'footnotes', 'header_first', 'footer_default']) AS part), LATERAL (SELECT CASE part WHEN 'document' THEN 'body' WHEN 'footnotes' THEN 'note' || p_size ELSE part || p_size END AS text)
+""")
+def docx_parts(spark, sf_dir):
+    """Running heads and notes have parts of their own in the package."""
+    s = F.col("p_size").cast("string")
+    body = F.concat(F.lit("{\\headerf header_first"), s, F.lit("}{\\footer footer_default"), s, F.lit("}body{\\footnote note"), s, F.lit("}"))
+    return docx_paragraphs(convert_to_docx(of_parts(spark, sf_dir, body))).where("text <> ''").select("doc_id", "part", "text")
+
+
+@query("""
+SELECT p_partkey AS doc_id, page, CASE WHEN page = 0 THEN 'first' WHEN page % 2 = 1 THEN 'even' ELSE 'odd' END AS head, '3' AS total FROM part, (SELECT unnest([0, 1, 2]) AS page)
+""")
+def pdf_running_heads(spark, sf_dir):
+    """Headers of first, even and other pages, and the number of pages, which is known at the end."""
+    lines = "x\\par " * 60
+    body = F.concat(F.lit("{\\headerf first}{\\headerl even}{\\headerr odd}{\\footer {\\field{\\*\\fldinst NUMPAGES}{\\fldrslt 1}}}" + lines), F.col("p_size").cast("string"))
+    pages = pdf_pages(convert_to_pdf(of_parts(spark, sf_dir, body)))
+    return pages.select("doc_id", "page", F.element_at("pieces", -2).alias("head"), F.element_at("pieces", -1).alias("total"))
