@@ -123,6 +123,20 @@ def texts(array: pa.Array) -> list[str]:
     return [x or "" for x in array.to_pylist()]
 
 
+#: Bits of a filter in one row of it.
+ROW_BITS = 1 << 15
+
+
+def filtered(rows: DataFrame, key: str, names: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """rows with `may`: whether their key may be among names (one column), by a filter of so many bits, which is broadcast: two MiB, whatever the names are. False is certain, so what it rules out needs no shuffle."""
+    bit = F.pmod(F.xxhash64(names.columns[0]), F.lit(bits))
+    held = names.select(F.shiftright(bit, 15).alias("filter_row"), bit.bitwiseAND(F.lit(ROW_BITS - 1)).alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
+    byte = F.conv(F.hex(F.substring("filter_bits", (F.shiftright(bit.bitwiseAND(F.lit(ROW_BITS - 1)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.call_function("getbit", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("filter_row", F.shiftright(bit, 15)).join(F.broadcast(held), "filter_row", "left").withColumn("may", may).drop("filter_row", "filter_bits")
+
+
 def replaced(text: Column, spans: Column, mark: str) -> Column:
     """The text with `mark` for each span; spans that overlap are one. spans: an array of structs with start and end, sorted by start, in code points, ends exclusive.
 

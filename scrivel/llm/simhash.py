@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scrivel.llm.common import only, scratch, slices, utf8, written
+from scrivel.llm.common import filtered, only, scratch, slices, utf8, written
 
 #: Shingles hashed at once.
 BLOCK = 1 << 16
@@ -81,7 +81,9 @@ def links(nodes: DataFrame, distance: int = 2, blocks: int = 5) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
     keyed = nodes.select("fp", "rep", F.explode(keys).alias("k")).select("fp", "rep", "k.block", "k.key")
     sizes = written(keyed.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = written(keyed.join(sizes, ["block", "key"]), "shared")
+    name = F.xxhash64("block", "key")
+    likely = filtered(keyed.withColumn("bucket", name), "bucket", sizes.select(name.alias("bucket"))).where("may").drop("may", "bucket")  # buckets of one fingerprint aren't shuffled
+    shared = written(likely.join(sizes, ["block", "key"]), "shared")
 
     differ = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     few = shared.where(F.col("n") <= SMALL).select("block", "key", "fp", "rep")
