@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import replaced, scratch, written
+from scrivel.llm.common import filtered, replaced, scratch, written
 
 
 @dataclass(frozen=True)
@@ -71,19 +71,17 @@ class Ledger:
             new = written(blobs.select("blob").distinct().join(seen, "blob", "left_anti"), "new")
             if new.isEmpty():
                 return
-            # the filter lets few known blobs through; what it lets through is joined exactly, each text once
-            likely = filtered(blobs, "blob", new.select("blob")).where("may").drop("may")
-            unseen = likely.groupBy("blob").agg(F.first("text").alias("text")).join(new, "blob", "left_semi")
-            self.search(unseen, rules, version).write.mode("append").parquet(f"{self.path}/found")
+            # the filter lets few known blobs through; of the others only texts that some rule matches are shuffled, to be joined exactly and taken apart once each
+            flags = [f"has_{i}" for i in range(len(rules))]
+            likely = filtered(blobs, "blob", new.select("blob")).where("may").select("blob", "text", *(F.col("text").rlike(r.pattern).alias(f) for r, f in zip(rules, flags, strict=True)))
+            hit = likely.where(" OR ".join(flags)).groupBy("blob").agg(*(F.first(c).alias(c) for c in ("text", *flags)))
+            self.taken_apart(hit.join(new, "blob", "left_semi"), rules, version).write.mode("append").parquet(f"{self.path}/found")
             new.select("blob", F.lit(version).alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
 
-    def search(self, blobs: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFrame:
-        """Rows of found, for each of the blobs (blob, text)."""
-        may_hold = [F.col("text").rlike(r.pattern).alias(f"has_{i}") for i, r in enumerate(rules)]
-        # one pass tells which rules match at all; only those few texts are taken apart
-        marked = blobs.select("blob", "text", *may_hold)
+    def taken_apart(self, blobs: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFrame:
+        """Rows of found, for each of the blobs (blob, text, and has_i for each rule)."""
         parts = F.array(*(F.when(F.col(f"has_{i}"), pieces(r, i)) for i, r in enumerate(rules)))
-        hit = marked.where(" OR ".join(f"has_{i}" for i in range(len(rules)))).select("blob", F.explode(F.flatten(F.filter(parts, lambda x: x.isNotNull()))).alias("m")).select("blob", "m.*")
+        hit = blobs.select("blob", F.explode(F.flatten(F.filter(parts, lambda x: x.isNotNull()))).alias("m")).select("blob", "m.*")
         before = Window.partitionBy("blob", "kind").orderBy("i")
         end = F.sum(F.col("gap") + F.col("size")).over(before.rowsBetween(Window.unboundedPreceding, 0))
         return hit.withColumn("end", end).where("kept").select("blob", F.lit(version).alias("rules"), "kind", (F.col("end") - F.col("size")).alias("start"), "end")
@@ -117,27 +115,6 @@ def pieces(rule: Rule, kind: int) -> Column:
     return F.transform(zipped, one)
 
 
-#: Bits of the filter over blobs with findings, in rows of 32,768: two MiB at most, whatever the ledger holds.
-FILTER_BITS = 1 << 24
-ROW_BITS = 1 << 15
-
-
-def place(blob: Column) -> tuple[Column, Column]:
-    """The filter's row and bit of a blob."""
-    bit = F.pmod(F.xxhash64(blob), F.lit(FILTER_BITS))
-    return F.shiftright(bit, 15), bit.bitwiseAND(F.lit(ROW_BITS - 1))
-
-
-def filtered(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
-    """rows with `may`: whether their key may be among names (one column), by a bit filter of fixed size, which is broadcast. False is certain."""
-    row, bit = place(F.col(names.columns[0]))
-    bits = names.select(row.alias("filter_row"), bit.alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
-    row, bit = place(F.col(key))
-    byte = F.conv(F.hex(F.substring("filter_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit.bitwiseAND(F.lit(7))).cast("int")) != 0, F.lit(False))
-    return rows.withColumn("filter_row", row).join(F.broadcast(bits), "filter_row", "left").withColumn("may", may).drop("filter_row", "filter_bits")
-
-
 def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, version: str = "1", text_col: str = "text") -> DataFrame:
     """docs with `spans`, the findings of each row's text (empty if there are none): an array of (start, kind, end) in code points, the end exclusive; kind is the rule's number. A column `spans` of docs is replaced.
 
