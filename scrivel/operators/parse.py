@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from scrivel.limits import Limits
 from scrivel.parser.lexer import InvalidDocument
@@ -148,28 +151,46 @@ def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None) ->
     return row
 
 
+def asked(field: StructField, want: tuple[str, ...]) -> StructField:
+    """A column, or of an array of structs the fields that are asked for."""
+    some = [w.split(".")[1] for w in want if w.startswith(field.name + ".")]
+    if not some or field.name in want:
+        return field
+    element = StructType([f for f in field.dataType.elementType.fields if f.name in some])
+    return StructField(field.name, ArrayType(element), field.nullable)
+
+
+def column(rows: list[dict], field: pa.Field) -> pa.Array:
+    """A column of rows; an array of structs field by field."""
+    if not (pa.types.is_list(field.type) and pa.types.is_struct(field.type.value_type)):
+        return pa.array([r.get(field.name) for r in rows], field.type)
+    lists = [r.get(field.name) or [] for r in rows]
+    flat = [x for one in lists for x in one]
+    struct = field.type.value_type
+    parts = [pa.array([x.get(struct[i].name) for x in flat], struct[i].type) for i in range(struct.num_fields)]
+    offsets = np.concatenate(([0], np.cumsum([len(one) for one in lists]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, fields=list(struct)), type=field.type)
+
+
 def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] | None = None, rows_at_once: int = 64) -> DataFrame:
-    """(doc_id, ...) of (doc_id, rtf): all columns, or those in `want` and error_type. No shuffle; a task holds `rows_at_once` documents' results at a time.
+    """(doc_id, ...) of (doc_id, rtf): all columns, or those in `want` and error_type; a name like nodes.text asks for a field of an array's elements. No shuffle; a task holds `rows_at_once` documents' results at a time.
 
     A row whose read_error, if there is such a column, isn't null fails with that error.
     """
     limits = limits or Limits()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromDDL(f"doc_id {kind}, {PARSED}" + "".join(f", {name} array<struct<{fields}>>" for name, fields in RAW.items() if want and name in want))
     if want is not None:
-        schema = StructType([f for f in schema.fields if f.name in ("doc_id", "error_type", *want)])
+        schema = StructType([asked(f, want) for f in schema.fields if f.name in ("doc_id", "error_type", *(w.split(".")[0] for w in want))])
     arrow = to_arrow_schema(schema)
-    chosen = None if want is None else frozenset(want)
+    chosen = None if want is None else frozenset(w.split(".")[0] for w in want)
 
     def each(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
                 ids, texts, unread = (batch.column(i).slice(at, rows_at_once).to_pylist() for i in (0, 1, 2))
                 rows = [{"doc_id": i, **(failed(e, "the file could not be read") if e else read_one(t, limits, chosen))} for i, t, e in zip(ids, texts, unread, strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                yield pa.record_batch([column(rows, f) for f in arrow], schema=arrow)
 
     unread = F.col("read_error") if "read_error" in docs.columns else F.lit(None).cast("string")
     return docs.select("doc_id", "rtf", unread.alias("read_error")).mapInArrow(each, schema)

@@ -259,8 +259,10 @@ SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity) AS quantity, count(D
 """)
 def cell_values_agg(spark, sf_dir):
     docs = encode_rows(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity", "l_returnflag"])
-    cells = P.table(P.parse(docs, want=("nodes",)), "nodes").where("node_type = 'cell'").select("doc_id", "row", "col", "text")
-    rows = cells.groupBy("doc_id", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).cast("double").alias("q"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("flag"))
+    parsed = P.parse(docs, want=("nodes.node_type", "nodes.col", "nodes.text"))
+    of = lambda i: F.filter("nodes", lambda n: (n["node_type"] == "cell") & (n["col"] == i))
+    # the cells of a row stand in one array: no shuffle puts them together
+    rows = parsed.select("doc_id", F.explode(F.arrays_zip(of(0).alias("q"), of(1).alias("flag"))).alias("r")).select("doc_id", F.col("r.q.text").cast("double").alias("q"), F.col("r.flag.text").alias("flag"))
     return rows.groupBy("flag").agg(F.count("*").alias("n"), F.sum("q").alias("quantity"), F.count_distinct("doc_id").alias("tables"))
 
 

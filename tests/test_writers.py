@@ -56,7 +56,7 @@ def test_typst_and_pdf():
     assert "\\[x\\]\\*\\_\\$" in out and "#set page(width: 210mm, height: 297mm" in out
     data, reasons = pdf(document(), "letter")
     assert data.startswith(b"%PDF-") and reasons == ["Dropped malformed PNG image payload"] and b"/MediaBox [0 0 612.00 792.00]" in data
-    assert pdf_text(data) == [["1", "Head", "a", "1", "l<k", "p", "q", "s", "1 ", "n", "top"]]
+    assert pdf_text(data) == [["1", "Head", "a", "1", "l<k", "p", "q", "s", "1", "n", "top"]]
 
 
 def test_profiles():
