@@ -70,7 +70,7 @@ def flat_inline(x: dict) -> list[dict]:
     return [{"target": x["name"]}] if kind == "bookmark_anchor" else [{"kind": x["kind"]["type"]}]
 
 
-def flatten(document: dict) -> tuple[list[dict], list[dict]]:
+def flatten(document: dict, with_inlines: bool = True, with_headings: bool = True) -> tuple[list[dict], list[dict]]:
     nodes, inlines = [], []
 
     def shading(b):
@@ -81,8 +81,8 @@ def flatten(document: dict) -> tuple[list[dict], list[dict]]:
         for i, b in enumerate(blocks):
             here = {"channel": channel, "path": [*path, i]}
             if b["type"] == "paragraph":
-                nodes.append({**here, "node_type": "paragraph", "alignment": b["alignment"], "text": "".join(map(shown, b["inlines"])), "is_heading": heading(b), **shading(b)})
-                for k, x in enumerate(b["inlines"]):
+                nodes.append({**here, "node_type": "paragraph", "alignment": b["alignment"], "text": "".join(map(shown, b["inlines"])), "is_heading": heading(b) if with_headings else None, **shading(b)})
+                for k, x in enumerate(b["inlines"] if with_inlines else ()):
                     for part, y in enumerate(flat_inline(x)):
                         inlines.append({**here, "ord": k, "part": part, "inline_type": x["type"], **y})
             elif b["type"] == "imageblock":
@@ -122,8 +122,8 @@ def failed(kind: str, message: str) -> dict:
     return {**EMPTY, "error_type": kind, "error": message}
 
 
-def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None) -> dict:
-    """A row of parse(), with the columns in `want` (all of them if None). A null text is empty input."""
+def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None, fields: tuple[str, ...] | None = None) -> dict:
+    """A row of parse(), with the columns in `want` (all of them if None); fields: the same with the fields of their elements. A null text is empty input."""
     try:
         reader = Reader(limits, want is not None and not want.isdisjoint(RAW))
         found = reader.read(rtf or "")
@@ -143,7 +143,7 @@ def read_one(rtf: str | None, limits: Limits, want: frozenset | None = None) ->
     if wanted("ir"):
         row["ir"] = json.dumps(document, ensure_ascii=False)
     if wanted("nodes", "inlines"):
-        row["nodes"], row["inlines"] = flatten(document)
+        row["nodes"], row["inlines"] = flatten(document, wanted("inlines"), wanted("is_heading", "nodes") if fields is None else "nodes.is_heading" in fields or "nodes" in fields)
     if wanted("warnings"):
         row["warnings"] = [{"seq": i, "type": w["type"], "severity": w["severity"], "reason": w.get("reason"), "word": w.get("word") or w.get("control_word") or w.get("destination"), "target": w.get("target") or (str(w["ls_id"]) if "ls_id" in w else None)} for i, w in enumerate(found["warnings"])]
     row["sections"] = [{"index": s["index"], "restart": s["restart_page_numbering"], "start_page": s.get("start_page"), "number_format": s["number_format"]} for s in managed.get("sections", [])]
@@ -189,7 +189,7 @@ def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] |
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
                 ids, texts, unread = (batch.column(i).slice(at, rows_at_once).to_pylist() for i in (0, 1, 2))
-                rows = [{"doc_id": i, **(failed(e, "the file could not be read") if e else read_one(t, limits, chosen))} for i, t, e in zip(ids, texts, unread, strict=True)]
+                rows = [{"doc_id": i, **(failed(e, "the file could not be read") if e else read_one(t, limits, chosen, want))} for i, t, e in zip(ids, texts, unread, strict=True)]
                 yield pa.record_batch([column(rows, f) for f in arrow], schema=arrow)
 
     unread = F.col("read_error") if "read_error" in docs.columns else F.lit(None).cast("string")

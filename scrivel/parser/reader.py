@@ -104,6 +104,7 @@ class Reader:
         self.limits = limits or Limits()
         self.raw: dict[str, list] | None = {"cells": [], "marks": [], "uses": [], "fonts": []} if raw else None
         self.table_count = 0
+        self.refers = False  # whether there is a field or a bookmark at all
         self.warnings: list[dict] = []
         self.dropped_kept = False
         self.blocks: list[dict] = []
@@ -628,6 +629,7 @@ class Reader:
         self.groups[-1].at_end.append(back)
 
     def end_bookmark(self) -> None:
+        self.refers = True
         name, self.bookmark = (self.bookmark or "").strip(), None
         if name:
             self.start_paragraph()
@@ -694,6 +696,7 @@ class Reader:
         f = self.field
         if f is None:
             return
+        self.refers = True
         self.flush()
         self.field = None
         said, results = f.instruction.strip(), f.results
@@ -1014,9 +1017,11 @@ class Reader:
                 **{f"{part}s": {k.split("_")[1]: v for k, v in channels.items() if k.startswith(part)} for part in ("header", "footer")},
                 **({"notes": self.notes} if self.notes else {}),
             }
-        everything = [blocks, *channels.values(), *(n["blocks"] for n in self.notes)]
-        self.resolve(everything)
-        paged = any(x["type"] == "page_field" for part in everything for x in all_inlines(part))
+        paged = False
+        if self.refers:
+            everything = [blocks, *channels.values(), *(n["blocks"] for n in self.notes)]
+            self.resolve(everything)
+            paged = any(x["type"] == "page_field" for part in everything for x in all_inlines(part))
         if paged or generated or len(self.sections) > 1 or channels:
             out["page_management"] = {"sections": self.sections, "running_content": {f"{p}_{s}": f"{p}_{s}" in channels for p in ("header", "footer") for s in ("default", "first", "even")}, **({"generated_blocks": generated} if generated else {})}
         return out
