@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import written
+from scrivel.llm.common import mapped, only, written
 
 WORDS = 16
 RESULT = "query_id long, vec_id long, score double"
@@ -132,12 +132,13 @@ def build(rows: DataFrame, sample: int, most: int) -> tuple[DataFrame, Quantiser
     sent = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def each(batches):
+        only("ann")
         for batch in batches:
             if batch.num_rows:
                 codes = sent.value.packed(unit(matrix(batch.column("v"))))
                 yield pa.record_batch([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "codes"])
 
-    return written(distinct(rows, most).mapInArrow(each, "v array<double>, ids array<long>, codes binary"), "index"), quantiser
+    return written(mapped(distinct(rows, most), each, "v array<double>, ids array<long>, codes binary"), "index"), quantiser
 
 
 class Nearest:
@@ -229,6 +230,7 @@ def scanned(index: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np
     sent = index.sparkSession.sparkContext.broadcast((quantiser, ids, queries))
 
     def each(batches):
+        only("ann")
         quantiser, ids, queries = sent.value
         found = Nearest(ids, nearest)
         for whole in batches:
@@ -239,7 +241,7 @@ def scanned(index: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np
         held = found.id != NONE
         yield pa.record_batch([pa.array(np.repeat(ids, held.sum(axis=1))), pa.array(found.id[held]), pa.array(found.score[held])], ["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(each, RESULT)
+    return mapped(index, each, RESULT)
 
 
 def search(vectors: DataFrame, asks, nearest: int = 5, rerank: int = 100, sample: int = 20_000, block_bytes: int = 16 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

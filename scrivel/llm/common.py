@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that an Arrow function works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Bytes that Spark hands over at once.
+BATCH_BYTES = 8 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -95,6 +97,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, each, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, as texts may be long. A bound that the session sets itself is kept."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(each, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """The batch in slices of at most `limit` bytes of text, one row at least."""
     off, _ = utf8(batch.column(column))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import only, slices, utf8, written
+from scrivel.llm.common import mapped, only, slices, utf8, written
 from scrivel.llm.fm_index import FMIndex
 
 #: Fixed value: a word, once A-Z are lower case.
@@ -250,7 +250,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, at_leas
 
         found = "hit array<int>, items array<string>"
         schema = ", ".join(x for x in passed.split(", ") if not x.startswith("text ")) if last else passed
-        return rows.mapInArrow(each, f"{schema}, n_words long, {found}, spans {SPANS}" if last else f"{schema}, {found}")
+        return mapped(rows, each, f"{schema}, n_words long, {found}, spans {SPANS}" if last else f"{schema}, {found}")
 
     none = [F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items")]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), *none)

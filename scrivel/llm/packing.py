@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Bounded, only, slices, texts
+from scrivel.llm.common import Bounded, mapped, only, slices, texts
 
 #: Fixed value: pretokens of the vocabulary, within ASCII and lower case.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -182,4 +182,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
         if rows:
             yield flush()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, f"doc_id {kind.simpleString()}, {SCHEMA}")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), each, f"doc_id {kind.simpleString()}, {SCHEMA}")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scrivel.llm.common import filtered, only, scratch, slices, utf8, written
+from scrivel.llm.common import filtered, mapped, only, scratch, slices, utf8, written
 
 #: Shingles hashed at once.
 BLOCK = 1 << 16
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
                 yield pa.record_batch([part.column("id"), pa.array(fp, pa.int64())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(each, StructType([StructField("id", kind), StructField("fp", LongType())]))
+    return mapped(rows, each, StructType([StructField("id", kind), StructField("fp", LongType())]))
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import only, slices, utf8, written
+from scrivel.llm.common import mapped, only, slices, utf8, written
 
 WINDOW = 10
 #: Bytes that the gear hash looks back on.
@@ -112,7 +112,7 @@ def chunks(docs: DataFrame, min_bytes: int = 64, id_col: str = "doc_id", text_co
                     yield pa.record_batch([ids[s.start : s.stop], pa.array(version[s]), pa.array(half[s, 0]), pa.array(half[s, 1]), *ints], ["doc_id", "version", "hi", "lo", "w0", "w1", "b0", "b1"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(each, f"doc_id {kind.simpleString()}, version int, hi long, lo long, w0 int, w1 int, b0 int, b1 int")
+    return mapped(rows, each, f"doc_id {kind.simpleString()}, version int, hi long, lo long, w0 int, w1 int, b0 int, b1 int")
 
 
 def bit_filter(digests: DataFrame):

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Bounded, only, slices, texts, utf8
+from scrivel.llm.common import Bounded, mapped, only, slices, texts, utf8
 
 #: White space as the vocabulary's splitting pattern understands it.
 WS = "\t-\r \x85\xa0  -     　"
@@ -123,4 +123,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
                 yield pa.record_batch([part.column("doc_id"), np.diff(utf8(part.column("text"))[0]), n, n > limit], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(each, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(rows, each, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import only, scratch, slices, texts, written
+from scrivel.llm.common import mapped, only, scratch, slices, texts, written
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Bytes after which a window ends with the next space.
@@ -176,5 +176,5 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch([*(part.column(c) for c in names), found, (found >= 0.5).astype(np.int32)], [*names, "score", "predicted"])
 
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep))]
-    scored = docs.select(*columns).mapInArrow(each, ", ".join([f"doc_id {kind.simpleString()}", *extra, "score double, predicted int"]))
+    scored = mapped(docs.select(*columns), each, ", ".join([f"doc_id {kind.simpleString()}", *extra, "score double, predicted int"]))
     return scored.select("doc_id", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), "score", "predicted")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import only, written
+from scrivel.llm.common import mapped, only, written
 
 #: Verdict, host and path of each rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -128,7 +128,7 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
 
     names = names.select("name").distinct()
     opening = words.select(F.left("word", F.lit(PIECE)).alias("piece"), "word", "n")
-    found = names.mapInArrow(pieces, "name string, at int, piece string").join(opening, "piece").groupBy("name").agg(F.collect_list(F.struct("at", "word", "n")).alias("found"))
+    found = mapped(names, pieces, "name string, at int, piece string").join(opening, "piece").groupBy("name").agg(F.collect_list(F.struct("at", "word", "n")).alias("found"))
     key = F.when(F.length("name") > 64, F.sha2("name", 256)).otherwise(F.col("name"))
     whole = names.select(key.alias("key"), "name").join(found.withColumnRenamed("name", "key"), "key", "left").select("name", "found")
 
@@ -138,7 +138,7 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
             cut = [split(name, [(x["at"], x["word"], x["n"]) for x in found or () if name.startswith(x["word"], x["at"])], total) for name, found in listed]
             yield pa.record_batch([batch.column("name"), pa.array(cut, pa.list_(pa.string()))], ["name", "words"])
 
-    return whole.mapInArrow(each, "name string, words array<string>")
+    return mapped(whole, each, "name string, words array<string>")
 
 
 def with_words(rows: DataFrame, words: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def train(rows: DataFrame) -> Bayes:
             held = np.flatnonzero(seen[label])
             yield pa.record_batch([pa.array(np.full(len(held) + 1, label, np.int32)), pa.array(np.append(held, -1).astype(np.int32)), pa.array(np.append(seen[label][held], urls[label]))], ["label", "place", "n"])
 
-    partial = rows.where("decided IS NOT NULL").select("host_words", "path", "decided").mapInArrow(each, "label int, place int, n long")
+    partial = mapped(rows.where("decided IS NOT NULL").select("host_words", "path", "decided"), each, "label int, place int, n long")
     found, urls = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
     for r in partial.groupBy("label", "place").agg(F.sum("n").alias("n")).collect():
         if r.place < 0:
@@ -209,4 +209,4 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
             verdict = [d or ("block" if o > 0 else "allow") for d, o in zip(decided, odds, strict=True)]
             yield pa.record_batch([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(odds, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "log_odds"])
 
-    return rows.mapInArrow(each, f"page_id {kind}, {URL}, log_odds double")
+    return mapped(rows, each, f"page_id {kind}, {URL}, log_odds double")
