@@ -1,9 +1,10 @@
 """Toxicity by compression distance: separate zstandard dictionaries of toxic and of ordinary text, window by window.
 
-Both dictionaries end with the same common words, so what differs between a window's two compressed lengths comes from
-their heads: words that mark toxic training text in one, rarer ordinary words in the other. How many windows of a text
-are shorter under the toxic one, and by how much, is weighed by a logistic regression on training texts that neither
-dictionary has seen. The dictionaries are word lists chosen by log odds, not trained by zstandard.
+Both dictionaries are made by zstandard's trainer. The ordinary one is of windows of ordinary training text; the toxic one
+holds that, too, as toxic text is mostly ordinary, and before it a head of what ordinary words leave over of toxic training
+text and recurs there. So what differs between a window's two compressed lengths comes from the head. How many windows of
+a text are shorter under the toxic dictionary, by so many bytes or more for each of some thresholds, is weighed by a logistic
+regression, calibrated on training texts that neither dictionary has seen.
 
 Defined cases: a null or empty text is one empty window; ids may be null or repeated, each row is scored for itself; labels
 that are null are not learned from, of repeated labels of one document the larger counts; without two labels of both kinds
@@ -13,6 +14,7 @@ there is nothing to learn and each score is 0; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import random
 import re
 import warnings
 import zlib
@@ -28,11 +30,12 @@ from scrivel.llm.common import mapped, only, scratch, slices, texts, written
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Bytes after which a window ends with the next space.
 WINDOW = 64
-#: A toxic and an ordinary head of so many bytes, then common words.
-HEAD, COMMON = 24_000, 400_000
+#: Bytes at most: of the toxic head, of the ordinary dictionary, and of the windows that it is made from.
+HEAD, COMMON, SAMPLES = 24_000, 400_000, 8 << 20
+#: Toxic texts in which a word stands that recurs.
+RECURS = 5
+#: Thresholds: bytes by which a window is shorter.
 STEPS = (1, 2, 3, 4, 5, 6, 8)
-#: Toxic texts in which a word of the toxic head stands at least.
-LEAST = 4
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -90,23 +93,47 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40
     return mean, spread, w
 
 
+def left_over(texts: list[list[bytes]], held: set[bytes]) -> list[bytes]:
+    """Of each text, the windows that recurring ordinary words leave over: runs of other words that stand in RECURS texts or more."""
+    seen = Counter(w for words in texts for w in set(words))
+    out = []
+    for words in texts:
+        run: list[bytes] = []
+        for w in [*words, b""]:
+            if len(w) > 2 and w not in held and seen[w] >= RECURS:
+                run.append(w)
+            elif run:
+                out.append(b" " + b" ".join(run) + b" ")
+                run = []
+    return out
+
+
+def trained(samples: list[bytes], size: int, share: float, segment: int, string: int = 8) -> bytes:
+    """The content of a dictionary that zstandard's trainer makes: of at most `size` bytes, and of that share of the samples. Where the trainer refuses, as it does with few samples, they are the dictionary themselves."""
+    import zstandard
+
+    whole = b"".join(samples)
+    try:
+        return zstandard.train_dictionary(min(size, max(1000, int(len(whole) * share))), samples, k=segment, d=string, steps=4).as_bytes()[8:]
+    except (zstandard.ZstdError, ValueError):
+        return whole[-size:]
+
+
 def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary of training texts, the most telling words last, where they cost least."""
-    seen = [Counter(), Counter()]
-    for text, label in rows:
-        seen[label].update(set(WORD.findall(text.lower().encode())))
-    of = [sum(label == k for _, label in rows) for k in (0, 1)]
-    lift = lambda w: math.log((seen[1][w] + 0.5) / (of[1] + 1)) - math.log((seen[0][w] + 0.5) / (of[0] + 1))
-    telling = sorted((w for w in seen[1] if len(w) > 2 and seen[1][w] >= LEAST and lift(w) > 3), key=lambda w: (seen[1][w], w))
-    common = sorted((w for w in seen[0] if len(w) > 2 and seen[0][w] >= 2 and lift(w) < 1), key=lambda w: (seen[0][w], w))
-    all_common = b" " + b" ".join(common) + b" "
-    head, tail = (b" " + b" ".join(telling) + b" ")[-HEAD:], all_common[-COMMON:]
-    rare = all_common[:-COMMON][-len(head) :].rjust(len(head))
-    return head + tail, rare + tail
+    """The toxic and the ordinary dictionary of training texts, as long as one another: ordinary text in both, and before it, in the toxic one, what recurs in toxic text beside."""
+    lowered = [(text.lower().encode(), label) for text, label in rows]
+    some = [w for text, label in lowered if not label for w in windows(text)]
+    random.Random(1).shuffle(some)  # a sample of all texts, in no order of theirs
+    most = int(np.searchsorted(np.cumsum([len(w) for w in some]), SAMPLES))
+    ordinary = trained(some[: most + 1], COMMON, 0.25, 32)
+    words = [[WORD.findall(text) for text, label in lowered if label == k] for k in (0, 1)]
+    seen = Counter(w for x in words[0] for w in set(x))
+    head = trained(left_over(words[1], {w for w, n in seen.items() if n > 1}), HEAD, 0.9, 20)
+    return head + ordinary, b" " * len(head) + ordinary
 
 
 class Model:
-    """Learned from (text, label) rows: two in three for the dictionaries, the others for the weights."""
+    """Learned from (text, label) rows: two in three for the dictionaries, the others to calibrate."""
 
     def __init__(self, rows: list[tuple[str, int]]):
         parts = [[r for r in rows if (zlib.crc32(r[0].encode()) % 3 == 0) == k] for k in (False, True)]

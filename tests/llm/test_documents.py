@@ -408,6 +408,36 @@ def test_toxicity(spark, docs):
     assert toxicity.toxicity(docs, nothing).where("score <> 0").count() == 0
 
 
+def test_score_by_hand(spark):
+    """A score again from the two dictionaries: compressed lengths of windows, what they give, and the weights."""
+    import math
+
+    import zstandard
+
+    texts, labels = labelled(spark)
+    model = toxicity.train(texts, labels)
+    mean, spread, weights = model.weights
+    ways = []
+    for strategy, least in ((zstandard.STRATEGY_BTOPT, 3), (zstandard.STRATEGY_DFAST, 7)):
+        rules = zstandard.ZstdCompressionParameters.from_level(3, strategy=strategy, min_match=least, window_log=20, write_content_size=0, write_checksum=0, write_dict_id=0)
+        ways.append([zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=rules) for d in (model.toxic, model.ordinary)])
+    for r in toxicity.toxicity(texts.limit(20), model, keep=("text",)).collect():
+        data, windows = r.text.lower().encode(), []
+        while data:
+            cut = data.find(b" ", 64, 256)
+            cut = cut if cut >= 0 else 256
+            windows.append(data[:cut])
+            data = data[cut + (data[cut : cut + 1] == b" ") :]
+        gains = [[len(o.compress(w)) - len(t.compress(w)) for w in windows] for t, o in ways]
+        gains.append([min(a, b) for a, b in zip(*gains)])
+        n, x = len(windows), [math.log(len(windows))]
+        for g in gains:
+            over = [sum(v >= q for v in g) for q in (1, 2, 3, 4, 5, 6, 8)]
+            x += [sum(g) / n, max(g), sum(v <= -2 for v in g) / n, *(v / n for v in over), *(math.log1p(v) for v in over)]
+        z = sum((v - m) / s * w for v, m, s, w in zip(x, mean, spread, weights)) + weights[-1]
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
 def test_one_text_beyond_the_byte_bound_does_not_end_the_sample(spark):
     texts, labels = labelled(spark)
     first = spark.range(10_000, 20_000).where(~toxicity.held_out("id")).orderBy(F.xxhash64("id")).first().id
