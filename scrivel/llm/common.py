@@ -191,8 +191,12 @@ class Bounded(dict):
         if value is None:
             value = self.compute(key)
         if len(key) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
+            self.turn()
             self[key] = value
         return value
+
+    def turn(self) -> None:
+        """Begins anew, if it is full."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()

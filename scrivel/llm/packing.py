@@ -8,6 +8,7 @@ no rows. Each task packs its own rows, with ids of sequences that hold the task'
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -54,20 +55,32 @@ class Encoder:
         return self.inner(piece) if piece else b""
 
     def learn(self, cut: list[list[str]]) -> None:
-        """Has the library encode many new words at once: each ends with an id of a word's end, which tells them apart."""
-        known, old = self.pieces, self.pieces.old
-        odd = {p for x in cut for p in x if p not in known}
-        new = [p for p in {p.rstrip(".,").lower() for p in odd} if p not in known and p not in old and p.isalpha() and "\u03c2" not in p and len(p) <= 64]
+        """Brings what stands between spaces into the cache, all at once: the library encodes many new words in one text, where each ends with an id of a word's end, which tells them apart; the same word with a capital or a sign after it follows."""
+        known = self.pieces
+        known.turn()
+        old = known.old
+        odd = set(itertools.chain.from_iterable(cut)).difference(known)
+        again = odd.intersection(old)
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        odd -= again
+        words = {p: p.rstrip(".,").lower() for p in odd}
+        new = [w for w in set(words.values()).difference(known) if w not in old and w.isalpha() and "\u03c2" not in w and len(w) <= 64]
         lists = [new[i : i + 500] for i in range(0, len(new), 500)]
-        for words, found in zip(lists, self.library.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
+        for some, found in zip(lists, self.library.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             to = np.flatnonzero(self.ends[ids]) + 1
-            if len(to) != len(words):
+            if len(to) != len(some):
                 continue  # then one by one, when they are met
             data, at = ids.tobytes(), 0
-            for word, end in zip(words, (4 * to).tolist(), strict=True):
+            for word, end in zip(some, (4 * to).tolist(), strict=True):
                 known[word] = data[at:end]
                 at = end
+        signs = {sign: known[sign] for sign in ",."}
+        for piece, word in words.items():
+            sign = signs.get(piece[-1:])
+            bare = piece if sign is None else piece[:-1]
+            if len(bare) == len(word) and len(piece) <= 64 and word.isalpha() and bare.isalpha() and "\u03a3" not in bare and (ids := known.get(word)) is not None:
+                known[piece] = ids if sign is None else ids + sign
 
     def many(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
