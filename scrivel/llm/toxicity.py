@@ -34,6 +34,8 @@ WINDOW = 64
 HEAD, COMMON, SAMPLES = 24_000, 400_000, 8 << 20
 #: Toxic texts in which a word stands that recurs.
 RECURS = 5
+#: Pairs of dictionaries that are made, one of which is taken.
+DRAWS = 3
 #: Thresholds: bytes by which a window is shorter.
 STEPS = (1, 2, 3, 4, 5, 6, 8)
 
@@ -119,21 +121,31 @@ def trained(samples: list[bytes], size: int, share: float, segment: int, string:
         return whole[-size:]
 
 
-def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary of training texts, as long as one another: ordinary text in both, and before it, in the toxic one, what recurs in toxic text beside."""
-    lowered = [(text.lower().encode(), label) for text, label in rows]
-    some = [w for text, label in lowered if not label for w in windows(text)]
-    random.Random(1).shuffle(some)  # a sample of all texts, in no order of theirs
-    most = int(np.searchsorted(np.cumsum([len(w) for w in some]), SAMPLES))
-    ordinary = trained(some[: most + 1], COMMON, 0.25, 32)
-    words = [[WORD.findall(text) for text, label in lowered if label == k] for k in (0, 1)]
-    seen = Counter(w for x in words[0] for w in set(x))
-    head = trained(left_over(words[1], {w for w, n in seen.items() if n > 1}), HEAD, 0.9, 20)
-    return head + ordinary, b" " * len(head) + ordinary
+def dictionaries(rows: list[tuple[str, int]], draws: int = 1):
+    """Pairs of a toxic and an ordinary dictionary of training texts, as long as one another: ordinary text in both, and before it, in the toxic one, what recurs in toxic text beside. The trainer heeds the order of its windows, so there is a pair for each draw of them."""
+    of = lambda k: (text.lower().encode() for text, label in rows if label == k)
+    total, head = sum(map(len, of(0))), None
+    once: set[bytes] = set()
+    held: set[bytes] = set()
+    for seed in range(1, draws + 1):
+        draw = random.Random(seed)
+        some: list[bytes] = []
+        for text in of(0):  # one text at a time: what is held is a sample of windows, and each word once
+            some += [w for w in windows(text) if draw.random() * total < SAMPLES]
+            if head is None:
+                words = set(WORD.findall(text))
+                held |= words & once
+                once |= words
+        if head is None:
+            head = trained(left_over([WORD.findall(text) for text in of(1)], held), HEAD, 0.9, 20)
+            once.clear(), held.clear()
+        draw.shuffle(some)
+        ordinary = trained(some, COMMON, 0.25, 32)
+        yield head + ordinary, b" " * len(head) + ordinary
 
 
 class Model:
-    """Learned from (text, label) rows: two in three for the dictionaries, the others to calibrate."""
+    """Learned from (text, label) rows: two in three for the dictionaries, the others to calibrate; of DRAWS pairs the one whose lengths tell the latter best."""
 
     def __init__(self, rows: list[tuple[str, int]]):
         parts = [[r for r in rows if (zlib.crc32(r[0].encode()) % 3 == 0) == k] for k in (False, True)]
@@ -141,9 +153,15 @@ class Model:
         if any({label for _, label in part} != {0, 1} for part in parts):
             warnings.warn("too few labelled rows of both kinds: every score is 0", stacklevel=2)
             return
-        self.toxic, self.ordinary = dictionaries(parts[0])
-        measure = Distance(self.toxic, self.ordinary)
-        self.weights = logistic(np.array([measure.features(t) for t, _ in parts[1]]), np.array([label for _, label in parts[1]]))
+        y, least = np.array([label for _, label in parts[1]]), math.inf
+        for toxic, ordinary in dictionaries(parts[0], DRAWS):
+            measure = Distance(toxic, ordinary)
+            x = np.array([measure.features(t) for t, _ in parts[1]])
+            mean, spread, w = logistic(x, y)
+            p = 1 / (1 + np.exp(-np.clip((x - mean) / spread @ w[:-1] + w[-1], -30, 30)))
+            loss = -float(np.log(np.where(y == 1, p, 1 - p)).sum())
+            if loss < least:
+                least, self.toxic, self.ordinary, self.weights = loss, toxic, ordinary, (mean, spread, w)
 
     def scorer(self):
         if self.weights is None:
