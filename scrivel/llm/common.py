@@ -133,12 +133,13 @@ def texts(array: pa.Array) -> list[str]:
     return [x or "" for x in array.to_pylist()]
 
 
-#: Bits of a filter in one row of it.
-ROW_BITS = 1 << 15
+#: Bits of a filter in one row of it, and of a whole one: from two MiB to 64, however many names there are.
+ROW_BITS, LEAST_BITS, MOST_BITS = 1 << 15, 1 << 24, 1 << 29
 
 
-def filtered(rows: DataFrame, key: str, names: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """rows with `may`: whether their key may be among names (one column), by a filter of so many bits, which is broadcast: two MiB, whatever the names are. False is certain, so what it rules out needs no shuffle."""
+def filtered(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """rows with `may`: whether their key may be among names (one column of a written table), by a bit filter of bounded size, which is broadcast. False is certain, so what it rules out needs no shuffle; names beyond its size let more through, and an exact join decides."""
+    bits = min(max(LEAST_BITS, 1 << (16 * names.count()).bit_length()), MOST_BITS)
     bit = F.pmod(F.xxhash64(names.columns[0]), F.lit(bits))
     held = names.select(F.shiftright(bit, 15).alias("filter_row"), bit.bitwiseAND(F.lit(ROW_BITS - 1)).alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
     bit = F.pmod(F.xxhash64(key), F.lit(bits))

@@ -456,6 +456,28 @@ def test_queries_follow_the_contract(spark, tmp_path):
     assert r.items_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_filters_rule_out_no_name(spark):
+    from scrivel.llm.common import filtered
+
+    rows = spark.range(2000).select(F.concat(F.lit("é"), "id").alias("name"), "id")
+    found = filtered(rows, "name", rows.where("id % 3 = 0").select("name")).collect()
+    assert all(r.may for r in found if r.id % 3 == 0) and sum(r.may for r in found) < 700 and len(found) == 2000
+    assert filtered(rows, "name", rows.limit(0).select("name")).where("may").count() == 0
+
+
+def test_scratch_tables_go(spark):
+    from scrivel.llm.common import scratch, written
+
+    with scratch(spark):
+        inner = written(spark.range(3), "inner")
+        with scratch(spark):
+            kept = written(spark.range(4), "kept", outer=True)
+        assert inner.count() == 3 and kept.count() == 4
+    for df in (inner, kept):
+        with pytest.raises(Exception, match="not exist"):
+            df.count()
+
+
 def test_written_tables_can_be_released(spark):
     from scrivel.llm.common import release, work_dir, written
 
