@@ -181,9 +181,9 @@ def sha256_hex(text: str) -> str:
 
 
 class Bounded(dict):
-    """A cache that computes what is missing. Beyond `most` entries it keeps them aside as the older half and begins anew, so its memory is bounded."""
+    """A cache that computes what is missing. At twice `most` entries it keeps them aside as the older half and begins anew, so its memory is bounded; who fills it in bulk may do so at `most`."""
 
-    def __init__(self, compute, most: int = 400_000):
+    def __init__(self, compute, most: int = 200_000):
         super().__init__()
         self.compute, self.most, self.old = compute, most, {}
 
@@ -192,12 +192,12 @@ class Bounded(dict):
         if value is None:
             value = self.compute(key)
         if len(key) <= 64:
-            self.turn()
+            if len(self) >= 2 * self.most:
+                self.turn()
             self[key] = value
         return value
 
     def turn(self) -> None:
-        """Begins anew, if it is full."""
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+        """What is held becomes the older half."""
+        self.old = dict(self)
+        self.clear()

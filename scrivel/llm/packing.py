@@ -36,7 +36,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces = Bounded(self.piece, 300_000)
+        self.pieces = Bounded(self.piece, 200_000)
         ends = [i for word, i in self.library.get_vocab().items() if word.endswith("</w>")]
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[ends] = True
@@ -57,7 +57,8 @@ class Encoder:
     def learn(self, cut: list[list[str]]) -> None:
         """Brings what stands between spaces into the cache, all at once: the library encodes many new words in one text, where each ends with an id of a word's end, which tells them apart; the same word with a capital or a sign after it follows."""
         known = self.pieces
-        known.turn()
+        if len(known) >= known.most:  # between slices, so that none loses what it needs
+            known.turn()
         old = known.old
         odd = set(itertools.chain.from_iterable(cut)).difference(known)
         again = odd.intersection(old)
@@ -77,9 +78,11 @@ class Encoder:
                 at = end
         signs = {sign: known[sign] for sign in ",."}
         for piece, word in words.items():
+            if piece == word:
+                continue
             sign = signs.get(piece[-1:])
             bare = piece if sign is None else piece[:-1]
-            if len(bare) == len(word) and len(piece) <= 64 and word.isalpha() and bare.isalpha() and "\u03a3" not in bare and (ids := known.get(word)) is not None:
+            if len(bare) == len(word) and bare.isalpha() and word.isalpha() and "\u03a3" not in bare and (ids := known.get(word)) is not None:
                 known[piece] = ids if sign is None else ids + sign
 
     def many(self, texts: list[str]) -> list[bytes]:
