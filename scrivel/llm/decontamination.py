@@ -3,9 +3,9 @@
 A shard is a slice of a partition's texts. Its words become symbols: a number for each word that a test window holds, 0 for
 every other. A window can only lie within a run of such words as long as the shortest window, so only those runs are
 indexed; each window whose words all occur is then searched backward through the wavelet ranks, its occurrences are located
-from sampled positions, and the words they cover are merged into spans to remove. Documents aren't shuffled. The benchmark
-goes to the tasks in blocks of bounded size: one pass for each block, of which driver and tasks hold one at a time; what
-a pass found goes with the documents, in a written table, to the next.
+from sampled positions, and the words they cover are merged into spans to remove. Documents aren't shuffled, and read once.
+The benchmark goes to the tasks in blocks of bounded size, of which the driver and each task hold one at a time: with several
+blocks, a task takes them in turn for every HOLD_BYTES of its texts.
 
 Defined cases: a null or empty text has no words and isn't contaminated; items without words or without an id have no
 windows; item ids that repeat are one item with the windows of all their texts; ids of documents may be null or repeated,
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import mapped, only, slices, utf8, written
+from scrivel.llm.common import mapped, only, slices, utf8
 from scrivel.llm.fm_index import FMIndex
 
 #: Fixed value: a word, once A-Z are lower case.
@@ -35,6 +35,8 @@ PART = 1 << 20
 SPANS = "array<struct<start:int,end:int>>"
 #: Windows of a block of the benchmark, and bytes of their words, at most.
 BLOCK, BLOCK_BYTES = 100_000, 32 << 20
+#: Bytes of text that a task holds at a time, if there are several blocks.
+HOLD_BYTES = 32 << 20
 
 
 def lowered() -> np.ndarray:
@@ -99,9 +101,10 @@ class Benchmark:
             self.patterns[i, : len(x)] = [self.symbol[w.encode()] for w in x]
 
     def ready(self, words: Words) -> None:
-        """Sorted hashes of the vocabulary, for one task. Hashes that several words have are listed apart."""
-        texts = list(self.symbol)
-        data = np.frombuffer(b" ".join(texts), np.uint8)
+        """Sorted hashes of the vocabulary, made once. Hashes that several words have are listed apart."""
+        if hasattr(self, "hashes"):
+            return
+        data = np.frombuffer(b" ".join(self.symbol), np.uint8)
         hashes = words.hashes(*words.ends(data, np.array([0, len(data)])))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.number = hashes[order], order + 1
@@ -216,6 +219,32 @@ def merged(numbers: list[int], text: str) -> list[dict]:
     return spans
 
 
+def joined(a: tuple, b: tuple) -> tuple:
+    """What two blocks of the benchmark give for the same rows."""
+    union = lambda x, y: sorted({*x, *y}) if x and y else x or y
+    return a[0], list(map(union, a[1], b[1])), list(map(union, a[2], b[2]))
+
+
+def held_back(batches, most: int):
+    """Lists of slices: one at a time, or as many as have `most` bytes of text together."""
+    parts, total = [], 0
+    for batch in batches:
+        for part in slices(batch, "text", 4 << 20):
+            parts.append(part)
+            total += part.get_total_buffer_size() if most else 0
+            if total >= most:
+                yield parts
+                parts, total = [], 0
+    if parts:
+        yield parts
+
+
+def forget(sent) -> None:
+    """A broadcast value that can be read from its file again is given up until then."""
+    if getattr(sent, "_path", None):
+        sent.__dict__.pop("_value", None)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, at_least: int = 20, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, spans, contaminated) for each row, and the columns `keep`.
 
@@ -223,44 +252,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, at_leas
     n_hit * at_least >= n_words.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    names = ["id", "text", *(f"keep_{i}" for i in range(len(keep)))]
-    passed = ", ".join([f"id {kind}", f"text {docs.schema[text_col].dataType.simpleString()}", *(f"keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))])
-
-    def one_pass(rows: DataFrame, bench: Benchmark | None, last: bool) -> DataFrame:
-        """Adds what a block finds to the numbers of hit words and to the items. In the last pass words are counted, spans made, and the text goes."""
-        sent = spark.sparkContext.broadcast(bench)
-        out = ([x for x in names if x != "text"] + ["n_words", "hit", "items", "spans"]) if last else [*names, "hit", "items"]
-
-        def each(batches):
-            only("decontamination")
-            words, bench = Words(), sent.value
-            if bench:
+    sent = []
+    for held in windows(benchmark, size, item_col, item_text_col, block):
+        sent.append(spark.sparkContext.broadcast(Benchmark(held)))
+        forget(sent[-1])
+    names = [f"keep_{i}" for i in range(len(keep))]
+    out = ["id", *names, "n_words", "n_hit", "items", "spans"]
+
+    def each(batches):
+        only("decontamination")
+        words = Words()
+        for parts in held_back(batches, HOLD_BYTES if len(sent) > 1 else 0):
+            found = [shard(part, words, None) for part in parts] if not sent else []
+            for b in sent:
+                bench = b.value
                 bench.ready(words)
-            for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
-                    n_words, hit, items = shard(part, words, bench)
-                    for i, (before, names_before) in enumerate(zip(part.column("hit").to_pylist(), part.column("items").to_pylist(), strict=True)):
-                        if before:
-                            hit[i], items[i] = sorted({*before, *hit[i]}), sorted({*names_before, *items[i]})
-                    columns = {x: part.column(x) for x in names} | {"hit": pa.array(hit, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(n_words, pa.int64())}
-                    if last:
-                        spans = [merged(x, part.column("text")[i].as_py()) if x else [] for i, x in enumerate(hit)]
-                        columns["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                    yield pa.record_batch([columns[x] for x in out], out)
-
-        found = "hit array<int>, items array<string>"
-        schema = ", ".join(x for x in passed.split(", ") if not x.startswith("text ")) if last else passed
-        return mapped(rows, each, f"{schema}, n_words long, {found}, spans {SPANS}" if last else f"{schema}, {found}")
-
-    none = [F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items")]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), *none)
-    blocks = windows(benchmark, size, item_col, item_text_col, block)
-    now = next(blocks, None)
-    while (then := next(blocks, None) if now else None) is not None:
-        rows = written(one_pass(rows, Benchmark(now), False), "decontaminated")
-        now = then
-    found = one_pass(rows, Benchmark(now) if now else None, True)
-    n_hit = F.size("hit").cast("long")
-    result = {"doc_id": F.col("id"), "n_words": F.col("n_words"), "n_hit": n_hit, "n_items": F.size("items").cast("long"), "items": F.col("items"), "spans": F.col("spans"), "contaminated": (n_hit > 0) & (n_hit * at_least >= F.col("n_words"))}
-    kept = {c: F.col(f"keep_{i}") for i, c in enumerate(keep)}
+                now = [shard(part, words, bench) for part in parts]
+                found = [joined(x, y) for x, y in zip(found, now, strict=True)] if found else now
+                if len(sent) > 1:
+                    forget(b)
+            for part, (n_words, hit, items) in zip(parts, found, strict=True):
+                spans = [merged(x, part.column("text")[i].as_py()) if x else [] for i, x in enumerate(hit)]
+                results = [pa.array(n_words, pa.int64()), pa.array(list(map(len, hit)), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+                yield pa.record_batch([*(part.column(x) for x in ("id", *names)), *results], out)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(x) for c, x in zip(keep, names, strict=True)))
+    schema = [f"id {kind}", *(f"{x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(keep, names, strict=True)), f"n_words long, n_hit long, items array<string>, spans {SPANS}"]
+    found = mapped(rows, each, ", ".join(schema))
+    hit = F.col("n_hit")
+    result = {"doc_id": F.col("id"), "n_words": F.col("n_words"), "n_hit": hit, "n_items": F.size("items").cast("long"), "items": F.col("items"), "spans": F.col("spans"), "contaminated": (hit > 0) & (hit * at_least >= F.col("n_words"))}
+    kept = {c: F.col(x) for c, x in zip(keep, names, strict=True)}
     return found.select(*(c.alias(x) for x, c in (kept | result).items()))
