@@ -83,6 +83,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivel.llm.clustering import k_means
+
+    return k_means(table(spark, sf_dir, "embeddings"), 40)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivel.llm.sharding import shard
+
+    found = shard(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivel.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label").cast("long") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -130,5 +150,36 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
 
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def rounds_of_k_means(rounds: int = 5) -> str:
+    """Lloyd's rounds, one after another, without trees."""
+    away = "list_dot_product(e.v, e.v) - 2 * list_dot_product(e.v, c.v) + list_dot_product(c.v, c.v)"
+    parts = [
+        f"e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) = 64 AND {FINITE})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM e QUALIFY c < 40)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, first(c.c ORDER BY {away}, c.c) AS c, min({away}) AS d FROM e, c{i} c GROUP BY r)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT c, i, sum(CAST(v[i] AS BIGINT)) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{i} JOIN e USING (r)) GROUP BY c, i)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - (s % n + n) % n) // n AS DOUBLE) ORDER BY i) AS v FROM s{i} GROUP BY c) m USING (c))")
+    last = f"a{rounds} JOIN e USING (r) JOIN c{rounds} c USING (c)"
+    columns = "e.vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256"
+    return f"WITH {', '.join(parts)} SELECT {columns} FROM {last}"
+
+
+OP13 = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {FINITE}),
+s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON len(a.v) = len(b.v) AND a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth FROM s WHERE same QUALIFY nth <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.nth ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (r) WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3)
+SELECT anchor_id, vec_id AS positive_id, CAST(rank AS INTEGER) AS rank, negative_id, score AS positive_score, negative_score FROM n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1, "op3_warc": OP3, "op4_decontamination": OP4}
+    return {"op1_secret_scan": OP1, "op3_warc": OP3, "op4_decontamination": OP4, "op11_clustering": rounds_of_k_means(), "op13_hard_negatives": OP13}
