@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from scrivel.functions.columns import windows_1252
 from scrivel.limits import Limits
+from scrivel.operators.keys import KEY, Keys
 from scrivel.parser import shown
 from scrivel.parser.lexer import PATTERN, InvalidDocument, tokens, validate
 
@@ -35,17 +36,17 @@ def tokenize(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), kind.alias("kind"), F.nullif(word, F.lit("")).alias("word"), param.alias("param"), text.alias("text"))
 
 
-def folded(docs: DataFrame, schema: str, rows_of) -> DataFrame:
-    """A row (doc_id, ...) for each row that rows_of(rtf) gives of each document (doc_id, rtf). A null text has none."""
+def folded(docs: DataFrame, schema: str, rows_of, keyed: bool = False) -> DataFrame:
+    """A row (doc_id, ...) for each row that rows_of(rtf) gives of each document (doc_id, rtf). A null text has none. keyed: with row_key after the id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = StructType.fromDDL(f"doc_id {kind}, {schema}")
+    fields = StructType.fromDDL(f"doc_id {kind}, {f'{KEY} binary, ' if keyed else ''}{schema}")
     arrow = to_arrow_schema(fields)
 
     def each(batches):
-        ids, rows = [], []
+        ids, rows, key = [], [], Keys()
 
         def flush():
-            columns = [ids, *zip(*rows, strict=True)]
+            columns = [*zip(*ids, strict=True), *zip(*rows, strict=True)]
             out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
             ids.clear(), rows.clear()
             return out
@@ -54,8 +55,9 @@ def folded(docs: DataFrame, schema: str, rows_of) -> DataFrame:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None:
                     continue
+                own = (i, key(i, text)) if keyed else (i,)
                 for row in rows_of(text):
-                    ids.append(i)
+                    ids.append(own)
                     rows.append(row)
                     if len(rows) >= ROWS:
                         yield flush()
@@ -66,11 +68,11 @@ def folded(docs: DataFrame, schema: str, rows_of) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """The tokens of (doc_id, rtf) with depth (after the token), level (of the group the token belongs to, its braces included), group (the position of that group's opening) and hidden (whether that group, or one around it, is a hidden destination).
+    """The tokens of (doc_id, rtf) with row_key, depth (after the token), level (of the group the token belongs to, its braces included), group (the position of that group's opening) and hidden (whether that group, or one around it, is a hidden destination).
 
     Only a group's first word, after an optional \\*, makes it a destination.
     """
-    return folded(docs, "pos long, kind string, word string, param int, text string, depth long, level long, group long, hidden boolean", shown.grouped)
+    return folded(docs, "pos long, kind string, word string, param int, text string, depth long, level long, group long, hidden boolean", shown.grouped, keyed=True)
 
 
 def errors(docs: DataFrame, limits: Limits | None = None) -> DataFrame:

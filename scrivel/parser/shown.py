@@ -131,18 +131,22 @@ def styled(text: str, words: dict[str, str], reset: str) -> list[tuple]:
     return out
 
 
-def grouped(text: str) -> list[tuple]:
+def grouped(text: str, around: list[tuple[int, bool]] = (), at: int = 0) -> list[tuple]:
     """(pos, kind, word, param, text, depth, level, group, hidden) of each token.
 
     depth is that after the token, level that of the group it belongs to, its braces included; group is the position of that group's opening; hidden: whether the group, or one around it, is a hidden destination.
+    around: the groups, (position, hides) each, that are open where the text begins, outermost first, if it is a slice; at: the number of tokens before it.
     """
     found = TOKEN.findall(text)
     out, stack = [], []
-    for pos, t in enumerate(found):
+    for pos, hidden in around:
+        stack.append((pos, bool(stack and stack[-1][1]) or hidden))
+    for i, t in enumerate(found):
+        pos = at + i
         first, word, param, said = t[0], None, None, None
         if first == "{":
             kind = "open"
-            stack.append((pos, bool(stack and stack[-1][1]) or hides(found, pos)))
+            stack.append((pos, bool(stack and stack[-1][1]) or hides(found, i)))
         elif first == "}":
             kind = "close"
         elif first != "\\":
