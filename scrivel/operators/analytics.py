@@ -1,6 +1,7 @@
 """Operators over tables of tokens, nodes and properties: joins, windows and aggregates that Catalyst sees.
 
-Every operator takes DataFrames with the named columns, and partitions by document (or by a key that begins with it).
+Every operator takes DataFrames with the named columns, and partitions by document: by row_key where all of its tables have one, so
+that rows that repeat an id, or have none, are documents of their own; else by doc_id. Results keep both.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions import columns as C
+from scrivel.operators.keys import by
 
 # ---- text
 
@@ -55,25 +57,28 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def resolve_fonts(uses: DataFrame, fonts: DataFrame, defaults: DataFrame) -> DataFrame:
     """uses (doc_id, font_idx, ...) with family: of the font itself, else of the document's default font. fonts: (doc_id, font_idx, pos, family), the last definition wins."""
-    last = fonts.groupBy("doc_id", "font_idx").agg(F.max_by("family", "pos").alias("family"))
-    own = uses.join(last, ["doc_id", "font_idx"], "left")
-    fallback = defaults.join(last, ["doc_id", "font_idx"]).select("doc_id", F.col("family").alias("default_family"))
-    return own.join(fallback, "doc_id", "left").withColumn("family", F.coalesce("family", "default_family")).drop("default_family")
+    doc = by(uses, fonts, defaults)
+    last = fonts.groupBy(*doc, "font_idx").agg(F.max_by("family", "pos").alias("family"))
+    own = uses.join(last, [*doc, "font_idx"], "left")
+    fallback = defaults.select(*doc, "font_idx").join(last, [*doc, "font_idx"]).select(*doc, F.col("family").alias("default_family"))
+    return own.join(fallback, doc, "left").withColumn("family", F.coalesce("family", "default_family")).drop("default_family")
 
 
 def color_table(parts: DataFrame) -> DataFrame:
     """(doc_id, color_idx, r, g, b) of a color table's tokens (doc_id, pos, word, param, semicolon): each semicolon ends an entry; an entry's components are those since the one before. Entry 0 and entries without components are automatic."""
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by(parts)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     numbered = parts.withColumn("color_idx", F.coalesce(F.sum(F.col("semicolon").cast("int")).over(before), F.lit(0)))
     one = lambda w: F.max_by(F.when(F.col("word") == w, F.least(F.greatest(F.col("param"), F.lit(0)), F.lit(255))), F.when(F.col("word") == w, F.col("pos")))
-    entries = numbered.groupBy("doc_id", "color_idx").agg(one("red").alias("r"), one("green").alias("g"), one("blue").alias("b"), F.bool_or("semicolon").alias("whole"))
-    return entries.where(F.col("whole") & (F.col("color_idx") > 0) & F.coalesce("r", "g", "b").isNotNull()).select("doc_id", "color_idx", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
+    doc = list(dict.fromkeys(["doc_id", *by(parts)]))
+    entries = numbered.groupBy(*doc, "color_idx").agg(one("red").alias("r"), one("green").alias("g"), one("blue").alias("b"), F.bool_or("semicolon").alias("whole"))
+    return entries.where(F.col("whole") & (F.col("color_idx") > 0) & F.coalesce("r", "g", "b").isNotNull()).select(*doc, "color_idx", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
 
 
 def resolve_lists(paragraphs: DataFrame, overrides: DataFrame, lists: DataFrame) -> DataFrame:
     """paragraphs (doc_id, ord, ls, level) with list_id and kind; unresolved where the override is missing. A level that the list doesn't define is a bullet."""
-    held = paragraphs.join(overrides, ["doc_id", "ls"], "left")
-    kinds = held.join(lists, ["doc_id", "list_id", "level"], "left")
+    doc = by(paragraphs, overrides, lists)
+    held = paragraphs.join(overrides.select(*doc, "ls", "list_id"), [*doc, "ls"], "left")
+    kinds = held.join(lists.select(*doc, "list_id", "level", "kind"), [*doc, "list_id", "level"], "left")
     return kinds.withColumn("unresolved", F.col("ls").isNotNull() & F.col("list_id").isNull()).withColumn("kind", F.when(F.col("list_id").isNotNull(), F.coalesce("kind", F.lit("bullet"))))
 
 
@@ -86,13 +91,13 @@ def islands(rows: DataFrame, by: list[str], order: str, same: Column, name: str
 
 def list_blocks(items: DataFrame) -> DataFrame:
     """items (doc_id, ord, list_id, kind; both null for a plain paragraph): neighbours of one id and kind share a block."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    return islands(items, ["doc_id"], "ord", (F.col("list_id") == F.lag("list_id").over(w)) & (F.col("kind") == F.lag("kind").over(w)), "block")
+    w = Window.partitionBy(*by(items)).orderBy("ord")
+    return islands(items, by(items), "ord", (F.col("list_id") == F.lag("list_id").over(w)) & (F.col("kind") == F.lag("kind").over(w)), "block")
 
 
 def clamped_levels(items: DataFrame) -> DataFrame:
     """Levels that rise by more than one are cut to one more than the level before, as it was cut itself. The level at a row is the smallest of level[j] + (i - j) over earlier rows j, and a level below all of that stands for itself."""
-    w = Window.partitionBy("doc_id", "block").orderBy("ord")
+    w = Window.partitionBy(*by(items), "block").orderBy("ord")
     i = F.row_number().over(w)
     reach = F.min(F.col("level") - F.col("i")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i")
     return items.withColumn("i", i).withColumn("shown", reach).drop("i")
@@ -103,17 +108,18 @@ def clamped_levels(items: DataFrame) -> DataFrame:
 
 def cell_widths(boundaries: DataFrame) -> DataFrame:
     """boundaries (doc_id, row, col, right): width is the distance to the boundary before; null where that isn't positive."""
-    w = Window.partitionBy("doc_id", "row").orderBy("col")
+    w = Window.partitionBy(*by(boundaries), "row").orderBy("col")
     width = F.col("right") - F.lag("right", 1, 0).over(w)
     return boundaries.withColumn("width", F.when(width > 0, width))
 
 
 def horizontal_spans(cells: DataFrame) -> DataFrame:
     """cells (doc_id, row, col, merge: start, continue or null) with span: the length of the chain for a start with continuations, and orphan: a continuation without a start."""
-    w = Window.partitionBy("doc_id", "row").orderBy("col")
+    doc = by(cells)
+    w = Window.partitionBy(*doc, "row").orderBy("col")
     chained = (F.col("merge") == "continue") & F.lag("merge").over(w).isNotNull()
-    runs = islands(cells, ["doc_id", "row"], "col", chained, "chain")
-    chain = Window.partitionBy("doc_id", "row", "chain")
+    runs = islands(cells, [*doc, "row"], "col", chained, "chain")
+    chain = Window.partitionBy(*doc, "row", "chain")
     led = F.first("merge").over(chain.orderBy("col"))
     size = F.count("*").over(chain)
     return runs.withColumn("led", led).withColumn("size", size).select(*cells.columns, F.when((F.col("merge") == "start") & (F.col("size") > 1), F.col("size")).alias("span"), ((F.col("merge") == "continue") & (F.col("led") == "continue")).alias("orphan"))
@@ -121,10 +127,11 @@ def horizontal_spans(cells: DataFrame) -> DataFrame:
 
 def vertical_spans(cells: DataFrame) -> DataFrame:
     """cells (doc_id, row, col, merge: vstart, vcontinue or null) with rowspan: rows of the chain for a start, null for others. Cells of one column follow one another only if their rows do."""
-    w = Window.partitionBy("doc_id", "col").orderBy("row")
+    doc = by(cells)
+    w = Window.partitionBy(*doc, "col").orderBy("row")
     chained = (F.col("merge") == "vcontinue") & (F.lag("row").over(w) == F.col("row") - 1)
-    runs = islands(cells, ["doc_id", "col"], "row", chained, "chain")
-    chain = Window.partitionBy("doc_id", "col", "chain")
+    runs = islands(cells, [*doc, "col"], "row", chained, "chain")
+    chain = Window.partitionBy(*doc, "col", "chain")
     return runs.withColumn("size", F.count("*").over(chain)).select(*cells.columns, F.when(F.col("merge") == "vstart", F.col("size")).alias("rowspan"))
 
 
@@ -133,7 +140,8 @@ def effective_borders(cells: DataFrame) -> DataFrame:
 
     An edge between two cells is drawn once: own borders come before the row's inner ones, and of two the upper or left cell's.
     """
-    across, down = Window.partitionBy("doc_id", "row").orderBy("col"), Window.partitionBy("doc_id", "col").orderBy("row")
+    doc = by(cells)
+    across, down = Window.partitionBy(*doc, "row").orderBy("col"), Window.partitionBy(*doc, "col").orderBy("row")
     out = cells
     for side, other, w, move, inner in (("top", "bottom", down, F.lag, "row_h"), ("left", "right", across, F.lag, "row_v"), ("bottom", "top", down, F.lead, "row_h"), ("right", "left", across, F.lead, "row_v")):
         order, first = ("row" if w is down else "col"), move is F.lead
@@ -149,9 +157,10 @@ def effective_borders(cells: DataFrame) -> DataFrame:
 
 def count_mismatches(cells: DataFrame, boundaries: DataFrame) -> DataFrame:
     """(doc_id, row, n_cells, n_boundaries) of rows whose cells aren't as many as their boundaries; a row without boundaries is no mismatch."""
-    a = cells.groupBy("doc_id", "row").agg(F.count("*").alias("n_cells"))
-    b = boundaries.groupBy("doc_id", "row").agg(F.count("*").alias("n_boundaries"))
-    return b.join(a, ["doc_id", "row"], "left").na.fill(0, ["n_cells"]).where("n_cells <> n_boundaries")
+    doc = by(cells, boundaries)
+    a = cells.groupBy(*doc, "row").agg(F.count("*").alias("n_cells"))
+    b = boundaries.groupBy(*dict.fromkeys(["doc_id", *doc]), "row").agg(F.count("*").alias("n_boundaries"))
+    return b.join(a, [*doc, "row"], "left").na.fill(0, ["n_cells"]).where("n_cells <> n_boundaries")
 
 
 def shading(cells: DataFrame) -> DataFrame:
@@ -164,60 +173,67 @@ def shading(cells: DataFrame) -> DataFrame:
 
 def unresolved(references: DataFrame, anchors: DataFrame) -> DataFrame:
     """References (doc_id, target, ...) to names that no anchor (doc_id, name) of the document has; each target once."""
-    return references.join(anchors.select("doc_id", F.col("name").alias("target")), ["doc_id", "target"], "left_anti").dropDuplicates(["doc_id", "target"])
+    doc = by(references, anchors)
+    return references.join(anchors.select(*doc, F.col("name").alias("target")), [*doc, "target"], "left_anti").dropDuplicates([*doc, "target"])
 
 
 def resolved(references: DataFrame, anchors: DataFrame) -> DataFrame:
-    return references.join(anchors.select("doc_id", F.col("name").alias("target")), ["doc_id", "target"], "left_semi")
+    doc = by(references, anchors)
+    return references.join(anchors.select(*doc, F.col("name").alias("target")), [*doc, "target"], "left_semi")
 
 
 def sections(breaks: DataFrame) -> DataFrame:
     """breaks (doc_id, pos, is_break, format) with section (from 0) and number_format, which sections inherit."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by(breaks)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return breaks.withColumn("section", F.sum(F.col("is_break").cast("int")).over(w)).withColumn("number_format", F.coalesce(F.last("format", ignorenulls=True).over(w), F.lit("arabic")))
 
 
 def note_numbers(notes: DataFrame) -> DataFrame:
-    return notes.withColumn("note_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
+    return notes.withColumn("note_id", F.row_number().over(Window.partitionBy(*by(notes)).orderBy("pos")))
 
 
 def capped_warnings(warnings: DataFrame, most: int) -> DataFrame:
     """The first `most` warnings (doc_id, seq, type, ...); if no dropped_content is among them, the first later one takes the place of the last."""
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    numbered = warnings.withColumn("n", F.row_number().over(w)).withColumn("drop_n", F.min(F.when(F.col("type") == "dropped_content", F.col("n"))).over(Window.partitionBy("doc_id")))
+    w = Window.partitionBy(*by(warnings)).orderBy("seq")
+    numbered = warnings.withColumn("n", F.row_number().over(w)).withColumn("drop_n", F.min(F.when(F.col("type") == "dropped_content", F.col("n"))).over(Window.partitionBy(*by(warnings))))
     late = (F.col("drop_n") > most) & (F.col("n") == F.col("drop_n"))
     kept = (F.col("n") < most) | ((F.col("n") == most) & ~F.coalesce(F.col("drop_n") > most, F.lit(False)))
     return numbered.where(kept | late).drop("n", "drop_n")
 
 
 def strict_failures(warnings: DataFrame) -> DataFrame:
-    return warnings.where("type = 'dropped_content'").select("doc_id").distinct()
+    return warnings.where("type = 'dropped_content'").select(*dict.fromkeys(["doc_id", *by(warnings)])).distinct()
 
 
 def within_budget(images: DataFrame, limit: int) -> DataFrame:
     """(doc_id, total, failed_at) of each document with images (doc_id, pos, size): their bytes, and the position of the image that takes them beyond the limit, null within it."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by(images)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     running = images.withColumn("total", F.sum("size").over(w))
-    return running.groupBy("doc_id").agg(F.max("total").alias("total"), F.min(F.when(F.col("total") > limit, F.col("pos"))).alias("failed_at"))
+    return running.groupBy(*dict.fromkeys(["doc_id", *by(images)])).agg(F.max("total").alias("total"), F.min(F.when(F.col("total") > limit, F.col("pos"))).alias("failed_at"))
 
 
 def fail_closed(table: DataFrame, failures: DataFrame) -> DataFrame:
     """A table without the rows of documents that failed."""
-    return table.join(failures.select("doc_id"), "doc_id", "left_anti")
+    doc = by(table, failures)
+    return table.join(failures.select(*doc), doc, "left_anti")
 
 
 def with_generated(blocks: DataFrame, generated: DataFrame) -> DataFrame:
     """(doc_id, ord, what): generated blocks stand before the block at their index; an index may be one beyond the last block."""
-    a = blocks.select("doc_id", F.col("ord").alias("at"), F.lit(1).alias("after"), F.col("what"))
-    b = generated.select("doc_id", F.col("insertion_index").alias("at"), F.lit(0).alias("after"), F.col("kind").alias("what"))
-    w = Window.partitionBy("doc_id").orderBy("at", "after")
-    return a.unionByName(b).withColumn("ord", F.row_number().over(w) - 1).select("doc_id", "ord", "what")
+    doc = by(blocks, generated)
+    names = list(dict.fromkeys(["doc_id", *doc]))
+    a = blocks.select(*names, F.col("ord").alias("at"), F.lit(1).alias("after"), F.col("what"))
+    b = generated.select(*names, F.col("insertion_index").alias("at"), F.lit(0).alias("after"), F.col("kind").alias("what"))
+    w = Window.partitionBy(*doc).orderBy("at", "after")
+    return a.unionByName(b).withColumn("ord", F.row_number().over(w) - 1).select(*names, "ord", "what")
 
 
 def numbering_ids(lists: DataFrame) -> DataFrame:
     """lists (doc_id, pos, list_id, kind, level): per list, its numbering (from 2, in the order of appearance) and its definition, which lists of one kind and one set of levels share."""
-    per = lists.groupBy("doc_id", "list_id").agg(F.min("pos").alias("pos"), F.min_by("kind", "pos").alias("kind"), F.array_sort(F.collect_set("level")).alias("levels"))
-    first = Window.partitionBy("doc_id", "kind", "levels")
-    by = Window.partitionBy("doc_id").orderBy("pos")
+    doc = by(lists)
+    names = list(dict.fromkeys(["doc_id", *doc]))
+    per = lists.groupBy(*names, "list_id").agg(F.min("pos").alias("pos"), F.min_by("kind", "pos").alias("kind"), F.array_sort(F.collect_set("level")).alias("levels"))
+    first = Window.partitionBy(*doc, "kind", "levels")
+    order = Window.partitionBy(*doc).orderBy("pos")
     defined = per.withColumn("def_pos", F.min("pos").over(first))
-    return defined.select("doc_id", "list_id", "kind", "levels", (F.row_number().over(by) + 1).alias("num_id"), F.dense_rank().over(Window.partitionBy("doc_id").orderBy("def_pos")).alias("abstract_id"))
+    return defined.select(*names, "list_id", "kind", "levels", (F.row_number().over(order) + 1).alias("num_id"), F.dense_rank().over(Window.partitionBy(*doc).orderBy("def_pos")).alias("abstract_id"))

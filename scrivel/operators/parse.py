@@ -10,16 +10,20 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from scrivel.limits import Limits
+from scrivel.operators.keys import KEY, Keys, given
 from scrivel.parser.lexer import InvalidDocument
 from scrivel.parser.reader import FLAGS, Reader, heading, shown
 from scrivel.render.grid import hex_color, rowspans
 
+#: Text of documents whose results a task holds at once, in bytes, and rows at most.
+BYTES, ROWS = 4 << 20, 64
 NODE = "channel string, path array<int>, node_type string, alignment string, fill string, pattern string, list_id bigint, list_kind string, level int, table string, row int, col int, width_twips int, merge string, span int, rowspan int, v_align string, image_format string, image_bytes int, is_heading boolean, text string"
 INLINE = f"channel string, path array<int>, ord int, part int, inline_type string, text string, {', '.join(f'{f} boolean' for f in FLAGS)}, font_family string, font_size float, color string, background string, target_type string, target string, kind string, resolved boolean, note_id bigint"
 WARNING = "seq int, type string, severity string, reason string, word string, target string"
@@ -172,33 +176,47 @@ def column(rows: list[dict], field: pa.Field) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, fields=list(struct)), type=field.type)
 
 
-def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] | None = None, rows_at_once: int = 64) -> DataFrame:
-    """(doc_id, ...) of (doc_id, rtf): all columns, or those in `want` and error_type; a name like nodes.text asks for a field of an array's elements. No shuffle; a task holds `rows_at_once` documents' results at a time.
+def portions(batch: pa.RecordBatch, limit: int):
+    """A batch of documents (its second column holds their texts) in slices of about `limit` bytes of text and ROWS rows at most, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    begin = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and (total + n > limit or i - begin >= ROWS):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
+def parse(docs: DataFrame, limits: Limits | None = None, want: tuple[str, ...] | None = None, bytes_at_once: int = BYTES) -> DataFrame:
+    """(doc_id, row_key, ...) of (doc_id, rtf): all columns, or those in `want` and error_type; a name like nodes.text asks for a field of an array's elements. No shuffle; a task holds the results of about `bytes_at_once` of text at a time, or of one document. row_key tells rows apart that repeat an id or have none.
 
     A row whose read_error, if there is such a column, isn't null fails with that error.
     """
     limits = limits or Limits()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = StructType.fromDDL(f"doc_id {kind}, {PARSED}" + "".join(f", {name} array<struct<{fields}>>" for name, fields in RAW.items() if want and name in want))
+    schema = StructType.fromDDL(f"doc_id {kind}, {KEY} binary, {PARSED}" + "".join(f", {name} array<struct<{fields}>>" for name, fields in RAW.items() if want and name in want))
     if want is not None:
-        schema = StructType([asked(f, want) for f in schema.fields if f.name in ("doc_id", "error_type", *(w.split(".")[0] for w in want))])
+        schema = StructType([asked(f, want) for f in schema.fields if f.name in ("doc_id", KEY, "error_type", *(w.split(".")[0] for w in want))])
     arrow = to_arrow_schema(schema)
     chosen = None if want is None else frozenset(w.split(".")[0] for w in want)
 
     def each(batches):
+        keys = Keys()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                ids, texts, unread = (batch.column(i).slice(at, rows_at_once).to_pylist() for i in (0, 1, 2))
-                rows = [{"doc_id": i, **(failed(e, "the file could not be read") if e else read_one(t, limits, chosen, want))} for i, t, e in zip(ids, texts, unread, strict=True)]
+            for part in portions(batch, bytes_at_once):
+                ids, texts, unread, has = (c.to_pylist() for c in part.columns)
+                rows = [{"doc_id": i, KEY: keys(h, i, t), **(failed(e, "the file could not be read") if e else read_one(t, limits, chosen, want))} for i, t, e, h in zip(ids, texts, unread, has, strict=True)]
                 yield pa.record_batch([column(rows, f) for f in arrow], schema=arrow)
 
     unread = F.col("read_error") if "read_error" in docs.columns else F.lit(None).cast("string")
-    return docs.select("doc_id", "rtf", unread.alias("read_error")).mapInArrow(each, schema)
+    return docs.select("doc_id", "rtf", unread.alias("read_error"), given(docs)).mapInArrow(each, schema)
 
 
 def table(parsed: DataFrame, name: str) -> DataFrame:
     """One of nodes, inlines, warnings, sections, generated and the names in RAW, a row for each element."""
-    return parsed.select("doc_id", F.explode(name).alias("x")).select("doc_id", "x.*")
+    return parsed.select("doc_id", KEY, F.explode(name).alias("x")).select("doc_id", KEY, "x.*")
 
 
 def stats(parsed: DataFrame) -> DataFrame:

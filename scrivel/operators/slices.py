@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scrivel.limits import Limits
-from scrivel.operators.keys import KEY, Keys
+from scrivel.operators.keys import KEY, Keys, given
 from scrivel.operators.tokens import ROWS
 from scrivel.parser import shown
 from scrivel.parser.lexer import BLANK, TOKEN
@@ -36,9 +36,10 @@ def sliced(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def each(batches):
         keys = Keys()
         for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(map(keys, batch.column(0).to_pylist(), batch.column(1).to_pylist()), pa.binary())], ["doc_id", "rtf", KEY])
+            own = map(keys, batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.record_batch([*batch.columns[:2], pa.array(own, pa.binary())], ["doc_id", "rtf", KEY])
 
-    keyed = docs.select("doc_id", "rtf").mapInArrow(each, f"doc_id {kind}, rtf string, {KEY} binary")
+    keyed = docs.select("doc_id", "rtf", given(docs)).mapInArrow(each, f"doc_id {kind}, rtf string, {KEY} binary")
     # never after an opening, a star or a control character: the first words of a group stay with it
     pattern = rf"(?s)(.{{{size}}}.*?[^\\{{*\x00-\x1f\x7f-\x9f](?=[{{}}\\])|.+)"
     cut = keyed.select("doc_id", KEY, F.posexplode_outer(F.regexp_extract_all(F.coalesce("rtf", F.lit("")), F.lit(pattern), F.lit(1))).alias("slice", "rtf"))

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from scrivel.functions.columns import windows_1252
 from scrivel.limits import Limits
-from scrivel.operators.keys import KEY, Keys
+from scrivel.operators.keys import KEY, Keys, given
 from scrivel.parser import shown
 from scrivel.parser.lexer import PATTERN, InvalidDocument, tokens, validate
 
@@ -52,10 +52,10 @@ def folded(docs: DataFrame, schema: str, rows_of, keyed: bool = False) -> DataFr
             return out
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text, has in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if text is None:
                     continue
-                own = (i, key(i, text)) if keyed else (i,)
+                own = (i, key(has, i, text)) if keyed else (i,)
                 for row in rows_of(text):
                     ids.append(own)
                     rows.append(row)
@@ -64,15 +64,21 @@ def folded(docs: DataFrame, schema: str, rows_of, keyed: bool = False) -> DataFr
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "rtf").mapInArrow(each, fields)
+    return docs.select("doc_id", "rtf", given(docs)).mapInArrow(each, fields)
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, pieces: bool = False) -> DataFrame:
     """The tokens of (doc_id, rtf) with row_key, depth (after the token), level (of the group the token belongs to, its braces included), group (the position of that group's opening) and hidden (whether that group, or one around it, is a hidden destination).
 
-    Only a group's first word, after an optional \\*, makes it a destination.
+    Only a group's first word, after an optional \\*, makes it a destination. pieces: with piece, the characters that a token shows.
     """
-    return folded(docs, "pos long, kind string, word string, param int, text string, depth long, level long, group long, hidden boolean", shown.grouped, keyed=True)
+
+    def told(text: str) -> list[tuple]:
+        found = shown.grouped(text)
+        return [(*t, piece) for t, piece in zip(found, shown.pieces(found), strict=True)]
+
+    schema = "pos long, kind string, word string, param int, text string, depth long, level long, group long, hidden boolean"
+    return folded(docs, schema + ", piece string" if pieces else schema, told if pieces else shown.grouped, keyed=True)
 
 
 def errors(docs: DataFrame, limits: Limits | None = None) -> DataFrame:

@@ -391,12 +391,13 @@ class Reader:
         if word in ("row", "nestrow"):
             self.end_row_word()
             return i
-        group = self.groups[-1]
-        if group.fresh:
+        group = self.groups[-1] if self.groups else None  # words may follow the last group
+        if group is not None and group.fresh:
             to = self.destination(word, found, i)
             if to is not None:
                 return to
-        self.starred, group.fresh = False, False
+            group.fresh = False
+        self.starred = False
         f = self.field
         if f and f.reading == "fldinst" and not f.nested and word not in ("field", "fldinst", "fldrslt"):
             gap = " " if f.instruction and not f.instruction[-1].isspace() else ""
@@ -662,6 +663,8 @@ class Reader:
     # ---- fields
 
     def field_word(self, word: str) -> None:
+        if not self.groups:  # after the last group nothing would end it
+            return
         if word == "field":
             self.flush()
             if self.field is None:

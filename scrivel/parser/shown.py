@@ -166,3 +166,32 @@ def grouped(text: str, around: list[tuple[int, bool]] = (), at: int = 0) -> list
             stack.pop()
         out.append((pos, kind, word, param, said, len(stack), level, group, hidden))
     return out
+
+
+def pieces(found: list[tuple]) -> list[str | None]:
+    """What each token of grouped() shows: characters, "\\n" for the end of a paragraph or line, None for nothing. The one character after an escape stands in its place; two surrogates are one character, shown by the second."""
+    out: list[str | None] = []
+    fallback, high = False, None
+    for _, kind, word, param, said, *_ in found:
+        piece = None
+        if kind == "text":
+            piece = said[1:] if fallback else said
+            if not fallback or piece:
+                high = None
+            fallback = False
+        elif kind == "word" and word == "u" and param is not None:
+            code = param & 0xFFFF
+            if 0xDC00 <= code < 0xE000:
+                piece = chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00) if high is not None else None
+            elif not 0xD800 <= code < 0xDC00:
+                piece = chr(code)
+            high = code if 0xD800 <= code < 0xDC00 else None
+            fallback = True
+        else:
+            fallback, high = False, None
+            if kind == "word" and word in ("par", "line"):
+                piece = "\n"
+            elif kind == "symbol":
+                piece = SYMBOLS.get(said)
+        out.append(piece)
+    return out

@@ -219,12 +219,13 @@ def color_resolution(spark, sf_dir):
 @query("""
 SELECT p_partkey AS doc_id, CAST(floor(CAST(100 AS FLOAT) + CAST(155 AS FLOAT) * (CAST(p_size AS FLOAT) / CAST(255 AS FLOAT)) + CAST(0.5 AS FLOAT)) AS INTEGER) AS tinted,
   CAST(floor(CAST(CAST(200 AS FLOAT) * (CAST(1 AS FLOAT) - CAST(p_size AS FLOAT) / CAST(255 AS FLOAT)) AS FLOAT) + CAST(0.5 AS FLOAT)) AS INTEGER) AS shaded,
-  CAST(CASE p_partkey % 12 WHEN 4 THEN 68 WHEN 11 THEN 149 ELSE -1 END AS BIGINT) AS accent_r FROM part
+  ['#FFFFFF', '#000000', '#E7E6E6', '#44546A', '#4472C4', '#ED7D31', '#A5A5A5', '#FFC000', '#5B9BD5', '#70AD47', '#0563C1', '#954F72'][p_partkey % 14 + 1] AS base FROM part
 """)
 def theme_tint_shade(spark, sf_dir):
-    base = C.theme_base((F.col("p_partkey") % 12).cast("int"))["r"]
-    accent = F.when(F.col("p_partkey") % 12 == 4, base).when(F.col("p_partkey") % 12 == 11, base)
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), C.tint(F.lit(100), "p_size").alias("tinted"), C.shade(F.lit(200), "p_size").alias("shaded"), F.coalesce(accent, F.lit(-1)).cast("long").alias("accent_r"))
+    """All twelve entries of the theme, and two indexes beyond it."""
+    base = C.theme_base((F.col("p_partkey") % 14).cast("int"))
+    hexadecimal = F.concat(F.lit("#"), *(F.lpad(F.hex(base[c]), 2, "0") for c in "rgb"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), C.tint(F.lit(100), "p_size").alias("tinted"), C.shade(F.lit(200), "p_size").alias("shaded"), hexadecimal.alias("base"))
 
 
 @query("""
@@ -283,7 +284,7 @@ def row_cell_mismatch(spark, sf_dir):
     edge = F.when(n <= 3, F.concat(F.lit("\\cellx"), (n * 500).cast("string"))).otherwise("")
     cells = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("row"), n.alias("col"), edge.alias("words"), F.lit("x").alias("text"))
     cells = P.table(P.parse(table_documents(cells), want=("cells",)), "cells")
-    return A.count_mismatches(cells, cells.where("right IS NOT NULL"))
+    return A.count_mismatches(cells, cells.where("right IS NOT NULL")).drop("row_key")
 
 
 @query("""
@@ -831,11 +832,11 @@ def picture_choices(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey AS doc_id, 1 + p_size AS n_bytes_over, 1 AS n_runs FROM part
+SELECT p_partkey AS doc_id, 2 + p_size + 4 * (p_size % 3) + 3 * (p_size % 2) AS n_bytes_over, 1 AS n_runs FROM part
 """)
 def input_bytes(spark, sf_dir):
     """Bytes of the input beyond those of the frame, counted as UTF-8."""
-    body = F.concat(F.lit("é").substr(1, 0), F.expr("repeat('x', p_size)"), F.lit("y"))
+    body = F.concat(F.lit("é"), F.expr("repeat('x', p_size)"), F.expr("repeat('💙', p_size % 3)"), F.expr("repeat('€', p_size % 2)"))
     parsed = P.parse(of_parts(spark, sf_dir, body), want=("bytes_processed", "run_count"))
     return parsed.select("doc_id", (F.col("bytes_processed") - len("{\\rtf1\\ansi }")).cast("int").alias("n_bytes_over"), F.col("run_count").cast("int").alias("n_runs"))
 
@@ -956,3 +957,6 @@ def pdf_running_heads(spark, sf_dir):
     body = F.concat(F.lit("{\\headerf first}{\\headerl even}{\\headerr odd}{\\footer {\\field{\\*\\fldinst NUMPAGES}{\\fldrslt 1}}}" + lines), F.col("p_size").cast("string"))
     pages = pdf_pages(convert_to_pdf(of_parts(spark, sf_dir, body)))
     return pages.select("doc_id", "page", F.element_at("pieces", -2).alias("head"), F.element_at("pieces", -1).alias("total"))
+
+
+from scrivel.plans import structure  # noqa: E402, F401  # registers its queries
