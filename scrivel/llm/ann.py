@@ -2,18 +2,20 @@
 
 Vectors are brought to length one, so that the largest inner product is the largest cosine. Pairs of components share a
 codebook of sixteen words, learned so that the part of a residual parallel to its vector, which shifts the scores of those that
-matter, costs more than the part across it. Of each block of rows, the codes are scored by table look-ups, and the best go to an
-exact rerank on the original vectors. So do all others whose score could, by the length of their residual, still reach the
-nearest found so far; what is returned is therefore exact, ties included.
+matter, costs more than the part across it. The codes of a task's rows are scored by table look-ups, block after block, and what
+is among the `rerank` best of the task so far goes to an exact rerank on the original vectors; nothing else is scored exactly. Scores
+are exact, then, and the nearest those of a search that may miss some: README has the recall.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an
-id, or those of another length than the commonest one (of equally common lengths, the largest), as their cosine isn't defined;
-ties go to the smaller id; a repeated id is one candidate with the best score of its vectors, and asks with the smallest of them
-in the order of arrays; with fewer candidates than asked for, all are returned; an empty table gives no rows.
+id; vectors are searched among those of their own length, which has a codebook of its own; ties among what is reranked go to the
+smaller id; a repeated id is one candidate with the best score of its vectors, and asks with the smallest of them in the order
+of arrays, once for each length; with fewer candidates than asked for, all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +27,6 @@ WORDS = 16
 RESULT = "query_id long, vec_id long, score double"
 #: No id.
 NONE = np.iinfo(np.int64).max
-#: What sums of single precision in the tables may be off.
-ROUNDING = 1e-4
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -34,8 +34,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.coalesce(good, F.lit(False))).where(F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return rows.where(F.size("v") == (common["d"] if common else 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero, without a sign
+    return rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero, without a sign
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -169,9 +168,9 @@ class Nearest:
 
 
 class Block:
-    """Some rows of the index: their vectors, ids, codes and how far a score by the tables can be from the true one."""
+    """Some rows of the index: their vectors, ids and codes."""
 
-    def __init__(self, batch: pa.RecordBatch, quantiser: Quantiser):
+    def __init__(self, batch: pa.RecordBatch):
         n = batch.num_rows
         self.x = unit(matrix(batch.column("v")))
         self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(n, -1)
@@ -182,9 +181,7 @@ class Block:
         self.ids[np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(off[:-1], size)] = flat
         order = np.argsort(self.ids[:, 0], kind="stable")  # so that of equal scores the smaller id comes first
         self.x, self.codes, self.ids = self.x[order], self.codes[order], self.ids[order]
-        both = np.stack((self.codes >> 4, self.codes & 15), axis=2).reshape(n, -1)[:, : quantiser.words.shape[0]]
-        rest = quantiser.split(self.x) - quantiser.decoded(both)
-        self.off = (np.sqrt((rest * rest).sum(axis=(1, 2))) + ROUNDING).astype(np.float32)
+        self.starts = np.flatnonzero(np.diff(self.ids[:, 0], prepend=self.ids[0, 0] - 1))
 
     def taken(self, nearest: Nearest, rows: np.ndarray, score: np.ndarray, at: np.ndarray) -> None:
         """Candidates `at` of each of `rows`, with exact scores. First the vectors that matter, then all their ids."""
@@ -200,29 +197,35 @@ class Block:
         wide = np.where(ids == NONE, -np.inf, scores[:, :, None])
         nearest.add(rows, wide.reshape(len(rows), -1), ids.reshape(len(rows), -1))
 
-    def search(self, quantiser: Quantiser, queries: np.ndarray, rows: slice, nearest: Nearest, rerank: int) -> None:
+    def search(self, quantiser: Quantiser, queries: np.ndarray, rows: slice, nearest: Nearest, best: np.ndarray) -> None:
+        """best: for each query the scores by tables of the best rows of the task so far, in no order; what beats the least of them is reranked."""
         q = queries[rows]
         numbers = np.arange(rows.start, rows.start + len(q))
         score = np.zeros((len(q), len(self.x)), np.float32)
         for b, table in enumerate(quantiser.tables(q)):
             score += table[:, self.codes[:, b]]
-        few = min(len(self.x), rerank)
+        rerank, at = best.shape[1], None
+        if len(self.starts) < len(self.x):  # of a repeated id the best vector alone, so that it takes one place
+            at = np.tile(self.starts, (len(q), 1))
+            size = np.diff(self.starts, append=len(self.x))
+            for k in np.flatnonzero(size > 1):
+                at[:, k] += score[:, self.starts[k] : self.starts[k] + size[k]].argmax(axis=1)
+            score = np.take_along_axis(score, at, 1)
+        few = min(score.shape[1], rerank)
         top = np.argpartition(-score, few - 1, axis=1)[:, :few]
+        kept = np.take_along_axis(score, top, 1)
+        good = kept > best[rows].min(axis=1)[:, None]
+        best[rows] = -np.partition(-np.concatenate((best[rows], kept), axis=1), rerank - 1, axis=1)[:, :rerank]
         for a in range(0, len(q), 32):
-            near = top[a : a + 32]
-            self.taken(nearest, numbers[a : a + 32], (self.x[near] * q[a : a + 32, None, :]).sum(axis=2), near)
-        # what the tables can't rule out
-        score += self.off
-        np.put_along_axis(score, top, -np.inf, 1)
-        who, what = np.nonzero(score >= nearest.least(rows)[:, None])
-        for a in range(0, len(who), 1 << 14):
-            w, x = who[a : a + (1 << 14)], what[a : a + (1 << 14)]
-            exact = (self.x[x] * q[w]).sum(axis=1)
-            good = exact >= nearest.least(rows)[w]
-            w, x, exact = w[good], x[good], exact[good]
-            edges = np.flatnonzero(np.diff(w, prepend=-1, append=-1)).tolist()
-            for i, j in zip(edges, edges[1:], strict=False):
-                self.taken(nearest, numbers[w[i : i + 1]], exact[None, i:j], x[None, i:j])
+            near, ok = top[a : a + 32], good[a : a + 32]
+            wide = int(ok.sum(axis=1).max())  # as many columns as the query with most candidates needs
+            if wide:
+                first = np.argsort(~ok, axis=1, kind="stable")[:, :wide]
+                near, ok = np.take_along_axis(near, first, 1), np.take_along_axis(ok, first, 1)
+                if at is not None:
+                    near = np.take_along_axis(at[a : a + 32], near, 1)
+                exact = (self.x[near] * q[a : a + 32, None, :]).sum(axis=2)
+                self.taken(nearest, numbers[a : a + 32], np.where(ok, exact, -np.inf), near)
 
 
 def scanned(index: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, nearest: int, rerank: int) -> DataFrame:
@@ -232,40 +235,37 @@ def scanned(index: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np
     def each(batches):
         only("ann")
         quantiser, ids, queries = sent.value
-        found = Nearest(ids, nearest)
+        found, best = Nearest(ids, nearest), np.full((len(ids), rerank), -np.inf, np.float32)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                block = Block(whole.slice(at, 4096), quantiser)
+                block = Block(whole.slice(at, 4096))
                 for a in range(0, len(ids), 256):
-                    block.search(quantiser, queries, slice(a, a + 256), found, rerank)
+                    block.search(quantiser, queries, slice(a, a + 256), found, best)
         held = found.id != NONE
         yield pa.record_batch([pa.array(np.repeat(ids, held.sum(axis=1))), pa.array(found.id[held]), pa.array(found.score[held])], ["query_id", "vec_id", "score"])
 
     return mapped(index, each, RESULT)
 
 
-def search(vectors: DataFrame, asks, nearest: int = 5, rerank: int = 100, sample: int = 20_000, block_bytes: int = 16 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, asks, nearest: int = 5, rerank: int = 200, sample: int = 20_000, block_bytes: int = 16 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows where `asks` (a condition on vec_id) holds, the nearest other rows by cosine.
 
     Queries go in blocks of about `block_bytes` of their vectors, each against all rows; a block is all that the driver and a task hold of them.
     """
-    rows = usable(vectors, id_col, vector_col)
-    index, quantiser = build(rows, sample, nearest + 1)
-    if quantiser is None:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = written(rows.where(asks).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    blocks = -(-queries.count() * 8 * quantiser.width // block_bytes)
-    parts = None
-    for k in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).orderBy("vec_id").toArrow()
-        if not asked.num_rows:
-            continue
-        found = scanned(index, quantiser, asked.column("vec_id").to_numpy(), unit(matrix(asked.column("v"))), nearest, rerank)
-        if blocks > 1:
-            found = written(found, "nearest")
-        parts = found if parts is None else parts.union(found)
-    if parts is None:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    once = parts.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    spark, rows = vectors.sparkSession, usable(vectors, id_col, vector_col)
+    parts = []
+    for width in sorted(r["width"] for r in rows.select(F.size("v").alias("width")).distinct().collect()):
+        own = rows.where(F.size("v") == width)
+        index, quantiser = build(own, sample, nearest + 1)
+        queries = written(own.where(asks).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+        blocks = -(-queries.count() * 8 * quantiser.width // block_bytes)
+        for k in range(blocks):
+            asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).orderBy("vec_id").toArrow()
+            if asked.num_rows:
+                found = scanned(index, quantiser, asked.column("vec_id").to_numpy(), unit(matrix(asked.column("v"))), nearest, rerank)
+                parts.append(written(found, "nearest") if blocks > 1 else found)
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    once = reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

@@ -149,30 +149,23 @@ def filtered(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
 
 
 def replaced(text: Column, spans: Column, mark: str) -> Column:
-    """The text with `mark` for each span; spans that overlap are one. spans: an array of structs with start and end, sorted by start, in code points, ends exclusive.
+    """The text with `mark` for each span; spans that overlap are one. spans: an array of structs with start and end, in code points, ends exclusive, each of one character at least.
 
-    Linear in text and spans: the text is taken apart into its characters once, and the pieces between spans are slices.
+    Linear in the text and in what spans cover: a start or an end that lies within no span is one of the merged spans, and those
+    lying within are told by a hash of places; the text is taken apart into its characters once, and pieces between spans are slices.
     """
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(zero.alias("reach"), none.alias("merged"), zero.alias("begin"), F.lit(False).alias("open"))
-
-    def grown(held, x):
-        begin, end = x["start"].cast("long"), x["end"].cast("long")
-        inside = held["open"] & (begin < held["reach"])
-        done = F.when(held["open"] & ~inside, F.array_append(held["merged"], F.struct(held["begin"].alias("start"), held["reach"].alias("end")))).otherwise(held["merged"])
-        return F.struct(F.when(inside, F.greatest(held["reach"], end)).otherwise(end).alias("reach"), done.alias("merged"), F.when(inside, held["begin"]).otherwise(begin).alias("begin"), F.lit(True).alias("open"))
-
-    one = F.aggregate(spans, start, grown, lambda held: F.array_append(held["merged"], F.struct(held["begin"].alias("start"), held["reach"].alias("end"))))
+    place = lambda x, end: x[end].cast("int")
+    inner = F.flatten(F.transform(spans, lambda x: F.when(x["end"] - x["start"] > 1, F.sequence(place(x, "start") + 1, place(x, "end") - 1)).otherwise(F.array().cast("array<int>"))))
 
     def pieces(held):
-        chars, merged = held["chars"], held["merged"]
-        upto = lambda i: F.when(i == 0, zero).otherwise(F.get(merged, (i - 1).cast("int"))["end"])
-        piece = F.transform(merged, lambda x, i: F.concat(F.array_join(F.slice(chars, (upto(i) + 1).cast("int"), (x["start"] - upto(i)).cast("int")), ""), F.lit(mark)))
-        last = F.element_at(merged, -1)["end"]
-        return F.concat(F.array_join(piece, ""), F.array_join(F.slice(chars, (last + 1).cast("int"), F.size(chars)), ""))
-
-    # bound by a lambda, so that neither is computed again for each span
-    held = F.array(F.struct(F.split(text, "").alias("chars"), one.alias("merged")))
+        chars, starts, ends = held["chars"], held["starts"], held["ends"]
+        upto = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        piece = F.transform(starts, lambda x, i: F.concat(F.array_join(F.slice(chars, upto(i) + 1, x - upto(i)), ""), F.lit(mark)))
+        return F.concat(F.array_join(piece, ""), F.array_join(F.slice(chars, F.element_at(ends, -1) + 1, F.size(chars)), ""))
+
+    outer = lambda end: F.array_sort(F.array_except(F.transform(spans, lambda x: place(x, end)), inner))
+    # bound by a lambda, so that none is computed again for each span
+    held = F.array(F.struct(F.split(text, "").alias("chars"), outer("start").alias("starts"), outer("end").alias("ends")))
     return F.when(F.size(spans) == 0, text).otherwise(F.element_at(F.transform(held, pieces), 1))
 
 

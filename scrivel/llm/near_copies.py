@@ -2,9 +2,12 @@
 
 A 64-bit SimHash differs in about ten bits at similarity 0.8, a radius that no blocks of it cut selectively. So candidates
 for the second kind come from bands of MinHash values of the shingles (two texts at 0.8 miss all bands with probability
-(1 - 0.8^4)^20 = 0.00003, above it less), and each candidate's similarity is computed exactly from both texts. A bucket of
-few is compared pair by pair; of a larger one, each text with the smallest, in the bucket and in what a second band makes
-of it, so that nothing grows with its square.
+(1 - 0.8^4)^20 = 0.00003, above it less), and each candidate's similarity is computed exactly. A bucket of few is compared
+pair by pair; of a larger one, each text with the smallest, in the bucket and in what a second band makes of it, which
+joins the copies that are many. What is then still apart in a large bucket is compared in full: members stand in blocks of
+bounded size, blocks of one component alone meet none of their own, and of each two texts of different components a sketch (which
+misses a pair at 0.8 with probability 0.00003) or else their shingles decide. So no link that would join two components is lost
+in a bucket, whatever its size; the work grows with the square of a bucket only as far as its texts stay apart.
 
 Defined cases: words are parted by ASCII white space and lower-cased in A-Z; a text of fewer words than a shingle is one
 shingle; a null or empty text has none and is linked by its fingerprint alone.
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.llm.common import filtered, mapped, only, scratch, slices, utf8, written
@@ -27,6 +30,11 @@ BANDS, ROWS = 20, 4
 FURTHER = (1, 2, 3, 4)
 #: Shingles hashed at once.
 BLOCK = 1 << 12
+#: Bytes of a sketch, each of a MinHash value of its own, and how many must be equal: at 0.8 the mean is 205 of 256, and its deviation 6.4.
+SKETCH, EQUAL = 256, 179
+#: Shingles of a block of texts, about; a longer text is a block of its own.
+BLOCK_SHINGLES = 1 << 14
+SKETCH_FACTORS = np.random.default_rng(411).integers(0, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = np.random.default_rng(2025).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -136,6 +144,104 @@ def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return mapped(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b"), each, "u binary, v binary")
 
 
+def sketched(found: np.ndarray) -> bytes:
+    low = np.full(SKETCH, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(found), BLOCK):
+        low = np.minimum(low, (found[at : at + BLOCK, None] * SKETCH_FACTORS[0] + SKETCH_FACTORS[1]).min(axis=0))
+    return (mixed(low) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def apart(marks: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, band, digest, label, n, keys) of the members of large buckets that hold more than one component."""
+    banded = marks.select("digest", "n", "keys", F.posexplode("keys").alias("band", "key")).select("digest", "n", "keys", "band", F.xxhash64("band", "key").alias("bucket"))
+    sizes = banded.select("bucket").groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).drop("size")
+    sizes = written(sizes, "large")
+    held = filtered(banded, "bucket", sizes).where("may").drop("may").join(sizes, "bucket")
+    known = held.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    known = written(known, "labelled")
+    several = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return known.join(written(several, "several"), "bucket", "left_semi")
+
+
+def blocked(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their block, and the pairs of blocks (bucket, i, j) that are to be compared.
+
+    A component that would fill a block by itself has blocks of its own, which aren't compared with one another; others share blocks.
+    """
+    weight = members.groupBy("bucket", "label").agg(F.sum("n").alias("weight"))
+    own = F.when(F.col("weight") > BLOCK_SHINGLES, F.col("label"))
+    slots = weight.withColumn("own", own).groupBy("bucket", "own").agg(F.ceil(F.sum("weight") / BLOCK_SHINGLES).alias("slots"))
+    shares = weight.select("bucket", "label", own.alias("own")).join(slots.withColumnsRenamed({"bucket": "b", "own": "o"}), (F.col("bucket") == F.col("b")) & F.col("own").eqNullSafe(F.col("o"))).drop("b", "o")
+    slot = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("digest"))), F.col("slots"))
+    placed = written(members.join(shares, ["bucket", "label"]).withColumn("slot", slot).drop("slots"), "placed")
+    ids = placed.select("bucket", "own", "slot").distinct().select("*", F.row_number().over(Window.partitionBy("bucket").orderBy("own", "slot")).alias("block"))
+    ids = written(ids, "blocks")
+    right = ids.select("bucket", F.col("own").alias("other"), F.col("block").alias("j"))
+    pairs = ids.select("bucket", "own", F.col("block").alias("i")).join(right, "bucket").where("i <= j AND NOT coalesce(own = other, false)").select("bucket", "i", "j")
+    named = ids.withColumnsRenamed({"bucket": "b", "own": "o", "slot": "s"})
+    return placed.join(named, (F.col("bucket") == F.col("b")) & F.col("own").eqNullSafe(F.col("o")) & (F.col("slot") == F.col("s"))).drop("b", "o", "s", "own", "slot"), pairs
+
+
+def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (u, v) between texts of different components in the same bucket: enough of them to join what is to be joined. A pair is looked at in the first band that it shares."""
+    members, pairs = blocked(members)
+    members = written(members, "members")
+    named = written(members.select("digest").distinct(), "apart")
+    likely = filtered(docs.select("digest", "text"), "digest", named).where("may").drop("may")
+
+    def sets(batches):
+        only("near_copies")
+        for batch in batches:
+            for part in slices(batch, "text"):
+                off, data = utf8(part.column("text"))
+                data, off = data.tobytes(), off.tolist()
+                found = [shingles(data[a:b]) for a, b in zip(off, off[1:], strict=False)]
+                yield pa.record_batch([part.column("digest"), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(map(sketched, found), pa.binary())], ["digest", "shingles", "sketch"])
+
+    texts = likely.groupBy("digest").agg(F.first("text").alias("text")).join(named, "digest", "left_semi")
+    held = written(mapped(texts, sets, "digest binary, shingles binary, sketch binary"), "sets")
+    row = F.struct("digest", "label", "keys", "shingles", "sketch")
+    blocks = written(members.join(held, "digest").groupBy("bucket", "block").agg(F.first("band").alias("band"), F.collect_list(row).alias("rows")), "rows")
+    left = blocks.select("bucket", F.col("block").alias("i"), "band", F.col("rows").alias("a"))
+    right = blocks.select("bucket", F.col("block").alias("j"), F.col("rows").alias("b"))
+
+    def each(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                band, same, a, b = (batch.column(c)[k].as_py() for c in ("band", "same", "a", "b"))
+                found = list(joining(band, a, a if same else b))
+                yield pa.record_batch([pa.array([u for u, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], ["u", "v"])
+
+    return mapped(written(pairs, "block_pairs").join(left, ["bucket", "i"]).join(right, ["bucket", "j"]).select("band", (F.col("i") == F.col("j")).alias("same"), "a", "b"), each, "u binary, v binary")
+
+
+def joining(band: int, a: list[dict], b: list[dict]):
+    """Of two blocks (or one twice), links between texts of different components that no link found before in them has joined."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    sketch = [np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), SKETCH) for rows in (a, b)]
+    keys = [np.array([r["keys"] for r in rows], np.int64) for rows in (a, b)]
+    found = [[np.frombuffer(r["shingles"], np.uint64) for r in rows] for rows in (a, b)]
+    for x, r in enumerate(a):
+        near = np.flatnonzero((sketch[1] == sketch[0][x]).sum(axis=1) >= EQUAL)
+        near = near[near > x] if a is b else near
+        near = near[~(keys[1][near, :band] == keys[0][x, :band]).any(axis=1)]  # those met in an earlier band
+        for y in near.tolist():
+            s = b[y]
+            n, m = len(found[0][x]), len(found[1][y])
+            if r["digest"] == s["digest"] or 5 * min(n, m) < 4 * max(n, m) or root(r["label"]) == root(s["label"]):
+                continue
+            both = len(np.intersect1d(found[0][x], found[1][y], assume_unique=True))
+            if 5 * both >= 4 * (n + m - both):
+                parent[root(r["label"])] = root(s["label"])
+                yield r["digest"], s["digest"]
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(digest, label) for each text that is linked to another: the smallest digest that it is linked to, over any number of links."""
     docs = docs.select(digest(F.col("text")).alias("digest"), "text")
@@ -144,4 +250,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         marks = written(marks.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
         nodes = written(marks.groupBy("fp").agg(F.min("digest").alias("rep")), "nodes")
         same = marks.join(nodes, "fp").where("digest <> rep").select(F.col("rep").alias("u"), F.col("digest").alias("v"))
-        return written(components(links(nodes).union(same).union(similar(docs, candidates(marks))).distinct()), "near_copies", outer=True)
+        labels = written(components(links(nodes).union(same).union(similar(docs, candidates(marks))).distinct()), "labels").withColumnRenamed("node", "digest")
+        rest = written(apart(marks, labels), "rest")
+        if rest.isEmpty():
+            return written(labels.withColumnRenamed("digest", "node"), "near_copies", outer=True)
+        more = compared(docs, rest).distinct()
+        stars = labels.where("digest <> label").select(F.col("label").alias("u"), F.col("digest").alias("v"))
+        return written(components(stars.union(more)), "near_copies", outer=True)

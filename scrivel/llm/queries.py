@@ -51,7 +51,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivel.llm.secret_scan import RULES, Ledger, listed, scan
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, Ledger(spark, spark.conf.get("spark.scrivel.secrets.ledger", None) or f"{run_dir(spark)}/ledger-{uuid.uuid4().hex}"))
+    found = scan(docs, Ledger(spark, spark.conf.get("spark.scrivel.secrets.ledger", None) or f"{run_dir(spark)}/ledger-{uuid.uuid4().hex}"), path_col="doc_id")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     names = listed(F.col("spans"))
     return found.select("doc_id", *(count(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES)), F.sha2(names, 256).alias("base_sha256"), names.alias("spans"))

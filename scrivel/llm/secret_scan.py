@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import filtered, replaced, scratch, written
+from scrivel.llm.common import filtered, replaced, scratch, sha256_hex, written
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,13 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """The name under which a ledger keeps what these rules found: it changes with any part of any rule, and with their order."""
+    return sha256_hex(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]))[:24]
+
+
 FOUND = "blob string, rules string, kind int, start long, end long"
 
 
@@ -63,8 +70,9 @@ class Ledger:
     def found(self) -> DataFrame:
         return self.table("found", FOUND)
 
-    def add(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = "1", text_col: str = "text") -> None:
-        """Scans the blobs of docs that weren't scanned under this version. Findings are written first, so a run that breaks off is repeated, not lost; findings that were then written twice are read once."""
+    def add(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> None:
+        """Scans the blobs of docs that weren't scanned by these rules. Findings are written first, so a run that breaks off is repeated, not lost; findings that were then written twice are read once."""
+        version = version_of(rules)
         with scratch(self.spark):
             seen = self.scanned().where(F.col("rules") == version).select("blob")
             blobs = docs.select(blob_id(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -95,13 +103,13 @@ class Ledger:
         known = self.versions().withColumnsRenamed({"path": "known_path", "blob": "known_blob"})
         now.join(known, F.col("path").eqNullSafe(F.col("known_path")) & (F.col("blob") == F.col("known_blob")), "left_anti").write.mode("append").parquet(f"{self.path}/versions")
 
-    def history(self, version: str = "1") -> DataFrame:
+    def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """(path, blob, spans): findings of every version that any recorded path ever held."""
-        return self.versions().join(self.findings(version), "blob").select("path", "blob", "spans")
+        return self.versions().join(self.findings(rules), "blob").select("path", "blob", "spans")
 
-    def findings(self, version: str = "1") -> DataFrame:
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """(blob, spans) of the blobs with findings: an array of (start, kind, end), in that order."""
-        rows = self.found().where(F.col("rules") == version).select("blob", "start", "kind", "end").distinct()
+        rows = self.found().where(F.col("rules") == version_of(rules)).select("blob", "start", "kind", "end").distinct()
         return rows.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
 
 
@@ -115,14 +123,16 @@ def pieces(rule: Rule, kind: int) -> Column:
     return F.transform(zipped, one)
 
 
-def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, version: str = "1", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """docs with `spans`, the findings of each row's text (empty if there are none): an array of (start, kind, end) in code points, the end exclusive; kind is the rule's number. A column `spans` of docs is replaced.
 
     Rows are joined with findings by blob. A bit filter of fixed size, which is broadcast, tells most rows without findings
-    beforehand: their columns aren't shuffled.
+    beforehand: their columns aren't shuffled. path_col: the ledger also records that each path holds its text now.
     """
-    ledger.add(docs, rules, version, text_col)
-    found = written(ledger.findings(version), "findings").select(F.col("blob").alias("scan_blob"), F.col("spans").alias("scan_spans"))
+    ledger.add(docs, rules, text_col)
+    if path_col:
+        ledger.record(docs, path_col, text_col)
+    found = written(ledger.findings(rules), "findings").select(F.col("blob").alias("scan_blob"), F.col("spans").alias("scan_spans"))
     kept = [c for c in docs.columns if c != "spans"]
     # whatever the columns of docs are called, they don't clash
     rows = docs.select(blob_id(text_col).alias("scan_key"), *(F.col(c).alias(f"in_{i}") for i, c in enumerate(kept)))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,14 +197,14 @@ def test_nearest_in_blocks_and_of_few(vectors):
 
 
 def test_different_vectors_of_the_same_cosine(spark):
-    """All beside the query are as near as one another: the smallest ids are found, in every block and however few are reranked."""
+    """All beside the query are as near as one another: of what is reranked the smallest ids are found, in every block."""
     rows = [(0, [1.0, 0.0, 0.0])] + [(10_000 - i, [0.6, 0.8 * float(np.cos(a)), 0.8 * float(np.sin(a))]) for i, a in enumerate(np.linspace(0, 6, 5000))]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     x = ann.unit(np.array([v for _, v in rows[1:]]))
     score = (x * np.array([1.0, 0.0, 0.0])).sum(axis=1)
     order = np.lexsort(([i for i, _ in rows[1:]], -score))[:5]
     want = [rows[1 + k][0] for k in order]
-    assert [r.vec_id for r in ann.search(vectors, F.col("vec_id") == 0, rerank=3).orderBy("rank").collect()] == want
+    assert [r.vec_id for r in ann.search(vectors, F.col("vec_id") == 0, rerank=6000).orderBy("rank").collect()] == want
 
 
 def test_lengths_and_repeated_ids_of_vectors(spark):
@@ -211,12 +212,33 @@ def test_lengths_and_repeated_ids_of_vectors(spark):
     rows = [(-5, [1.0, 0.0])] + [(i, [float(c) for c in r.normal(size=8)]) for i in range(199)]
     rows += [(500, [float(c) for c in np.array(rows[1 + 50][1]) * (1 + k / 1e4)]) for k in range(40)]  # one id, many vectors beside that of id 50
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    found = ann.search(vectors, F.col("vec_id") % 50 == 0, rerank=4).collect()
-    assert {r.query_id for r in found} == {0, 50, 100, 150, 500} and len(found) == 25
+    vectors = vectors.union(spark.createDataFrame([(1000 + i, [float(c) for c in r.normal(size=3)]) for i in range(0, 60, 10)], "vec_id long, embedding array<double>"))
+    found = ann.search(vectors, F.col("vec_id") % 50 == 0, rerank=100).collect()
+    assert {r.query_id for r in found} == {0, 50, 100, 150, 500, 1000, 1050} and len(found) == 35
+    assert {r.vec_id for r in found if r.query_id in (1000, 1050)} == {1000, 1010, 1020, 1030, 1040, 1050}  # among vectors of their own length
     of = [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == 50]
     assert of[0] == 500 and len(set(of)) == 5 and -5 not in of
 
 
+def test_the_codes_choose_what_is_reranked(spark, monkeypatch):
+    """Few exact scores, and a recall of nine in ten or more."""
+    r = np.random.default_rng(9)
+    x = ann.unit(r.normal(size=(40, 32))[r.integers(0, 40, 6000)] + 0.7 * r.normal(size=(6000, 32)))
+    quantiser = ann.Quantiser(x[:2000])
+    batch = pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), pa.array([[i] for i in range(6000)], pa.list_(pa.int64())), pa.array([c.tobytes() for c in quantiser.packed(x)], pa.binary())], ["v", "ids", "codes"])
+    asks, scored = np.arange(0, 6000, 50), []
+    monkeypatch.setattr(ann.Block, "taken", lambda self, nearest, rows, score, at, real=ann.Block.taken: (scored.append(int((score > -np.inf).sum())), real(self, nearest, rows, score, at))[1])
+    found, best = ann.Nearest(asks, 5), np.full((len(asks), 200), -np.inf, np.float32)
+    for at in range(0, 6000, 1500):
+        block = ann.Block(batch.slice(at, 1500))
+        block.search(quantiser, x[asks], slice(0, 256), found, best)
+    exact = x[asks] @ x.T
+    exact[np.arange(len(asks)), asks] = -9
+    want = np.argsort(-exact, axis=1)[:, :5]
+    hit = sum(len(set(a) & set(b)) for a, b in zip(want.tolist(), found.id.tolist(), strict=True))
+    assert hit >= 0.9 * want.size and sum(scored) < 600 * len(asks)
+
+
 def test_parallel_residuals_cost_more():
     r = np.random.default_rng(0)
     x = ann.unit(r.normal(size=(3000, 16)))

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scrivel.llm import near_copies, simhash
 from test_documents import labelled, spans_of, words
 
 
@@ -87,3 +89,48 @@ def test_near_dedup_decides_by_row(spark):
     kept = [(r.doc_id, r.text, r.lang) for r in corpus_pipeline.near_dedup(spark, docs.repartition(4), "").collect()]
     want = [(1, a, "y"), (1, b, "x"), (3, c, "w"), (None, words(60, 91_000), "w"), (4, words(60, 92_000), "x"), (4, words(60, 93_000), "x")]
     assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
+def test_no_link_is_lost_in_large_buckets(spark, monkeypatch):
+    """Texts of one template, hundreds of them in every bucket, some of which are near copies of one another: the components are those of a full comparison."""
+    r = random.Random(1)
+    template = words(120, 95_000).split()
+
+    def changed(text, n, seed):
+        text, own = list(text), random.Random(seed)
+        for at in own.sample(range(len(text)), n):
+            text[at] = f"w{own.randrange(10**9)}"
+        return text
+
+    texts = []
+    for k in range(220):
+        first = changed(template, r.randint(2, 7), 3 * k)
+        texts.append(first)
+        if k % 2:
+            texts.append(changed(first, r.randint(1, 3), 3 * k + 1))
+    texts += [changed(template, 1, 10_000 + k) for k in range(30)]
+    texts = [" ".join(t) for t in texts]
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    prints = [int(simhash.fingerprint(t.encode())) & (1 << 64) - 1 for t in texts]
+    label = list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    n_links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) or (prints[i] ^ prints[j]).bit_count() <= 2:
+                label[root(i)] = root(j)
+                n_links += 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    named = docs.select("doc_id", near_copies.digest(F.col("text")).alias("node"))
+    for shingles in (near_copies.BLOCK_SHINGLES, 1000):
+        monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", shingles)
+        found = named.join(near_copies.near_copies(docs), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")).collect()
+        of = {x.doc_id: bytes(x.label) for x in found}
+        pairs = {(i, j) for i in range(len(texts)) for j in range(i) if root(i) == root(j)}
+        assert {(i, j) for i in range(len(texts)) for j in range(i) if of[i] == of[j]} == pairs and len(pairs) > 100 and n_links < 20_000
