@@ -70,7 +70,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
     from scrivel.llm.secret_scan import Ledger, redacted, scan
 
-    found = scan(docs.select(*COLUMNS), Ledger(spark, f"{run_dir(spark)}/ledger-{uuid.uuid4().hex}"))
+    found = scan(docs.select(*COLUMNS), Ledger(spark, f"{run_dir(spark)}/ledger-{uuid.uuid4().hex}"), path_col="doc_id")
     return changed(found, redacted(F.col("text"), F.col("spans"))).select(*COLUMNS)
 
 
