@@ -6,6 +6,8 @@ stands: no token is shuffled or sorted, and rows that repeat an id are documents
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +115,26 @@ def plain_text(docs: DataFrame) -> DataFrame:
     return folded(docs, "text string", lambda rtf: [(shown.shown_text(rtf),)])
 
 
+def cells(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, cells) of tables that aren't nested, from tokens alone: the texts of each row's cells; rows are counted through a document."""
+    return folded(docs, "row long, cells array<string>", lambda rtf: enumerate(shown.rows_of_cells(rtf)))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word is shown in the bodies of all documents (doc_id, rtf), in lower case. Words are counted where a document stands, and each is sent once for a batch."""
+    from scrivel.operators.analytics import split_words
+
+    def each(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0):
+                if text.is_valid:
+                    counts.update(split_words(shown.shown_text(text.as_py()).lower()))
+            yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    return docs.select("rtf").mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def style_in_force(docs: DataFrame, words: dict[str, str], reset: str = "plain") -> DataFrame:
     """(doc_id, pos, text, ...): pieces of the body's text with the value of each property in `words` (control word: property), null where nothing set it: the latest setter before them whose group is still open. `reset` sets every property to null."""
     names = sorted(set(words.values()))

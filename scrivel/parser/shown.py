@@ -92,6 +92,25 @@ def shown_text(text: str) -> str:
     return "".join([piece for piece, _ in visible(text) if piece])
 
 
+def rows_of_cells(text: str) -> list[list[str]]:
+    """The texts of cells, row by row, of tables that aren't nested in one another; paragraphs of a cell are parted by line ends. Cells of a row that doesn't end are none."""
+    rows: list[list[str]] = []
+    cells: list[str] = []
+    held: list[str] = []
+    for piece, t in visible(text):
+        if piece is not None:
+            held.append(piece)
+        elif t.startswith("\\cell") and WORDS.fullmatch(t)[1] == "cell":
+            cells.append("".join(held))
+            held.clear()
+        elif t.startswith(("\\row", "\\trowd")) and (word := WORDS.fullmatch(t)[1]) in ("row", "trowd"):
+            if word == "row":
+                rows.append(cells)
+            cells = []
+            held.clear()
+    return rows
+
+
 def styled(text: str, words: dict[str, str], reset: str) -> list[tuple]:
     """(number of the piece, characters, value of each property) of the pieces of equal style. words: control word to property; `reset` sets every property to null. A group's end brings back what held before it."""
     names = sorted(set(words.values()))

@@ -74,8 +74,7 @@ def marked_lists(rows: DataFrame, doc: str, order: str, ls: F.Column, level: F.C
 SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 100
 """)
 def word_freq_topk(spark, sf_dir):
-    counts = A.word_counts(T.plain_text(encoded_documents(spark, sf_dir)))
-    return counts.orderBy(F.desc("n"), "word").limit(100)
+    return T.word_counts(encoded_documents(spark, sf_dir)).orderBy(F.desc("n"), "word").limit(100)
 
 
 @query("""
@@ -260,10 +259,8 @@ SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity) AS quantity, count(D
 """)
 def cell_values_agg(spark, sf_dir):
     docs = encode_rows(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity", "l_returnflag"])
-    parsed = P.parse(docs, want=("nodes.node_type", "nodes.col", "nodes.text"))
-    of = lambda i: F.filter("nodes", lambda n: (n["node_type"] == "cell") & (n["col"] == i))
     # the cells of a row stand in one array: no shuffle puts them together
-    rows = parsed.select("doc_id", F.explode(F.arrays_zip(of(0).alias("q"), of(1).alias("flag"))).alias("r")).select("doc_id", F.col("r.q.text").cast("double").alias("q"), F.col("r.flag.text").alias("flag"))
+    rows = T.cells(docs).select("doc_id", F.get("cells", F.lit(0)).cast("double").alias("q"), F.get("cells", F.lit(1)).alias("flag"))
     return rows.groupBy("flag").agg(F.count("*").alias("n"), F.sum("q").alias("quantity"), F.count_distinct("doc_id").alias("tables"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivel.limits import Limits
+from scrivel.operators import analytics as A
 from scrivel.operators import parse as P
 from scrivel.operators import slices as S
 from scrivel.operators import structure as X
@@ -198,6 +199,23 @@ def test_runs_agree_with_the_reader(spark):
     assert len(set(keys.values())) == len(keys) > 20
 
 
+def test_cells_agree_with_the_reader(spark):
+    r = random.Random(12)
+    docs = []
+    for i in range(50):
+        row = lambda n: "\\trowd" + "".join(f"\\cellx{(c + 1) * 500}" for c in range(n)) + " " + "".join("\\pard\\intbl " + r.choice(["x", "{\\b y}", "", "a\\par b", "\\u233 ?", "{\\*\\odd z}w"]) + "\\cell " for _ in range(n)) + "\\row "
+        docs.append((i, "{\\rtf1 " + "".join(row(r.randint(1, 4)) for _ in range(r.randint(1, 4))) + r.choice(["", "\\pard after\\par ", "\\trowd\\cellx9 "]) + "}"))
+    df = spark.createDataFrame(docs, "doc_id long, rtf string")
+    got = sorted((x.doc_id, x.row, list(x.cells)) for x in T.cells(df).collect())
+    nodes = P.table(P.parse(df), "nodes").where("node_type = 'cell'").groupBy("doc_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]).alias("cells"))
+    assert got == sorted((x.doc_id, x.row, list(x.cells)) for x in nodes.collect())
+
+
+def test_word_counts(spark, odd):
+    texts = T.plain_text(odd)
+    assert sorted(map(tuple, T.word_counts(odd).collect())) == sorted(map(tuple, A.word_counts(texts).collect()))
+
+
 def test_grid(spark):
     r = random.Random(8)
     cells, want = [], {}
@@ -254,3 +272,13 @@ def test_contents(spark):
             level = ranks[size]
             now = [*now[:level], now[level] + 1, *[0] * (2 - level)]
             assert number == ".".join(map(str, now[: level + 1]))
+
+
+def test_tables_of_repeated_and_missing_ids(spark):
+    """Fonts, widths and references of documents that share an id stay apart."""
+    one = lambda font, *right: f"{{\\rtf1{{\\fonttbl{{\\f1 {font};}}}}\\deff1\\trowd{''.join(f'\\cellx{x}' for x in right)} " + "{\\f1 x}\\cell " * len(right) + "\\row }"
+    docs = spark.createDataFrame([(1, one("A", 100, 300)), (1, one("B", 150, 500)), (None, one("C", 70, 90))], "doc_id long, rtf string").repartition(3)
+    parsed = P.parse(docs, want=("cells", "uses", "fonts", "default_font"))
+    assert sorted(r.width for r in A.cell_widths(P.table(parsed, "cells")).collect()) == [20, 70, 100, 150, 200, 350]
+    fonts = A.resolve_fonts(*(P.table(parsed, name) for name in ("uses", "fonts", "default_font")))
+    assert sorted((repr(r.doc_id), r.family) for r in fonts.select("doc_id", "family").distinct().collect()) == [("1", "A"), ("1", "B"), ("None", "C")]
