@@ -90,6 +90,14 @@ def theme_base(index: Column) -> Column:
     return from_hex(F.get(F.array(*map(F.lit, THEME)), index))
 
 
+def resolved_color(rgb, theme, tinted, shaded) -> Column:
+    """struct(r, g, b) of an entry: its own color, else that of its theme index, first shaded and then tinted where it says so, else null."""
+    base = theme_base(col(theme))
+    dark = lambda c: F.when(col(shaded).isNotNull(), shade(c, shaded)).otherwise(c)
+    light = lambda c: F.when(col(tinted).isNotNull(), tint(c, tinted)).otherwise(c)
+    return F.coalesce(col(rgb), F.when(base.isNotNull(), F.struct(*(light(dark(base[c])).alias(c) for c in "rgb"))))
+
+
 def nearest_pattern(percent) -> Column:
     """The shading pattern of a share in hundredths of a percent; of two as near, the lighter one."""
     p = F.least(F.greatest(col(percent), F.lit(0)), F.lit(10_000))

@@ -956,4 +956,4 @@ def pdf_running_heads(spark, sf_dir):
     return pages.select("doc_id", "page", F.element_at("pieces", -2).alias("head"), F.element_at("pieces", -1).alias("total"))
 
 
-from scrivel.plans import structure  # noqa: E402, F401  # registers its queries
+from scrivel.plans import scalars, structure  # noqa: E402, F401  # they register their queries
