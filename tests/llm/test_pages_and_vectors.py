@@ -58,6 +58,31 @@ def test_archive_of_any_ids(spark, tmp_path):
     assert back == want
 
 
+def test_an_archive_grows(spark, pages, tmp_path):
+    """Two calls, as brute force: payloads are stored once, new records revisit the response that stands, and every revisit names a record."""
+    path = f"file://{tmp_path}/grown"
+    warc.write_archive(pages, path)
+    before = {bytes(r.header) for r in spark.read.parquet(f"{path}/records").collect()}
+    more = [(1, "u", "<title>red car</title>" + "x" * 200), (20, "u", "new" * 50), (19, "u", "new" * 50), (None, "u", "new" * 50), (21, "u", "short"), (2, "u", None)]
+    warc.write_archive(spark.createDataFrame(more, "page_id long, url string, html string"), path)
+    back = warc.read_archive(spark, path).collect()
+    assert before < {bytes(r.header) for r in back} and len(back) == len(before) + len(more)
+    texts = {(r.html or "").encode() for r in pages.collect()} | {(h or "").encode() for _, _, h in more}
+    assert spark.read.parquet(f"{path}/payloads").count() == len(texts) and {bytes(r.payload) for r in back} == texts
+    got = {(r.page_id, r.record_type, r.refers_to) for r in back if r.url == "u"}
+    assert got == {(1, "revisit", 3), (20, "revisit", 19), (19, "response", None), (None, "revisit", 19), (21, "response", None), (2, "response", None)}
+    head = lambda r, name: (re.search(rf"\r\n{name}: ([^\r]*)\r\n", bytes(r.header).decode()) or [None, None])[1]
+    records = {head(r, "WARC-Record-ID"): r for r in back}
+    assert len(records) == len(back) and all(re.fullmatch("<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}>", i) for i in records)
+    for r in back:
+        to = head(r, "WARC-Refers-To")
+        assert (to is not None) == (r.record_type == "revisit")
+        if to:
+            assert (records[to].page_id, records[to].digest, records[to].record_type) == (r.refers_to, r.digest, "response")
+    with pytest.raises(ValueError, match="ids of type bigint"):
+        warc.write_archive(spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string"), path)
+
+
 def test_archive_of_nothing(spark, pages, tmp_path):
     warc.write_archive(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archive(spark, f"file://{tmp_path}/none").count() == 0
