@@ -15,6 +15,7 @@ from operator import attrgetter
 from scrivel.functions import colors
 from scrivel.limits import Limits
 from scrivel.parser import fields
+from scrivel.parser import reasons as why
 from scrivel.parser.lexer import InvalidDocument, tokens, validate
 
 
@@ -307,8 +308,8 @@ class Reader:
         in_row = bool(self.tables) and self.tables[-1].row is not None
         if not in_row:
             if self.intbl and (self.text or self.inlines):
-                self.malformed("\\intbl content without table row context")
-                self.drop("Table paragraph without row context")
+                self.malformed(why.INTBL_OUTSIDE)
+                self.drop(why.PARAGRAPH_OUTSIDE)
                 self.intbl = False
             if self.tables:
                 self.end_table()
@@ -342,7 +343,7 @@ class Reader:
             return None
         if self.ls not in self.overrides:
             self.warn("unresolved_list_override", ls_id=self.ls)
-            self.drop(f"Unresolved list override ls_id={self.ls}")
+            self.drop(why.UNRESOLVED_OVERRIDE.format(self.ls))
             return None
         number = self.overrides[self.ls]
         levels = self.lists.get(number, [])
@@ -412,12 +413,12 @@ class Reader:
         if word in METADATA or word == "bkmkend":
             to = self.skip_group(found, i)
         elif word in DROPPED:
-            self.drop("Dropped unsupported RTF destination content")
+            self.drop(why.UNSUPPORTED_DESTINATION)
             to = self.skip_group(found, i)
         elif word in TABLES:
             to = self.skip_group(found, i, getattr(self, f"read_{TABLES[word]}")())
         elif word == "nonshppict" and len(self.groups) > 1 and self.groups[-2].shppict:
-            self.drop("Dropped nonshppict in favor of shppict")
+            self.drop(why.NONSHPPICT)
             to = self.skip_group(found, i)
         elif word in CHANNELS:
             self.redirect(CHANNELS[word], self.channels.setdefault(CHANNELS[word], []))
@@ -445,7 +446,7 @@ class Reader:
             return None  # plain_word begins them
         elif starred and word != "nonshppict":
             self.warn("unknown_destination", destination=word)
-            self.drop(f"Dropped unknown destination group \\{word}")
+            self.drop(why.UNKNOWN_DESTINATION.format(word))
             to = self.skip_group(found, i)
         else:
             return None
@@ -492,7 +493,7 @@ class Reader:
                 self.warn("unsupported_nesting_level", level=level, max=8)
         elif word in LEGACY:
             self.warn("unsupported_list_control", control_word=word)
-            self.drop("Dropped legacy paragraph numbering content")
+            self.drop(why.LEGACY_NUMBERING)
         elif word in ("sect", "pgnrestart", "pgnstarts", "pgndec", "pgnlcrm", "pgnucrm"):
             self.section_word(word, n)
         elif word in ("field", "fldinst", "fldrslt"):
@@ -518,7 +519,7 @@ class Reader:
             if n is not None and n > 0:
                 now["start_page"] = n
             elif n is not None:
-                self.warn("section_numbering_fallback", reason="Invalid \\pgnstarts value; ignored")
+                self.warn("section_numbering_fallback", reason=why.PAGE_START)
         else:
             now["number_format"] = {"pgndec": "arabic", "pgnlcrm": "roman_lower", "pgnucrm": "roman_upper"}[word]
 
@@ -643,9 +644,9 @@ class Reader:
         raw = "".join(p["hex"])
         digits = re.sub("[ \t\n\r\f]", "", raw)
         if "format" not in p:
-            self.drop("Dropped unsupported image format", len(raw))
+            self.drop(why.IMAGE_FORMAT, len(raw))
         elif len(digits) % 2 or re.search("[^0-9a-fA-F]", digits):
-            self.drop("Dropped malformed image hex payload", len(raw))
+            self.drop(why.IMAGE_HEX, len(raw))
         else:
             data = bytes.fromhex(digits)
             self.image_bytes += len(data)
@@ -711,7 +712,7 @@ class Reader:
             self.link(reference, results)
         elif family == "hyperlink":
             self.inlines += results
-            self.drop("Unsupported hyperlink URL scheme")
+            self.drop(why.LINK_SCHEME)
         elif family == "page":
             if reference["kind"] == "page_ref" and visible:
                 reference["fallback_text"] = visible
@@ -723,9 +724,9 @@ class Reader:
             runs = [r for x in results for r in projected(x)]
             self.inlines.append({"type": "semantic_field", "reference": reference, "runs": runs, "has_non_run_content": other})
             if reference["kind"] == "merge_field":
-                self.warn("unsupported_field", reason="Unsupported field type: MERGEFIELD (result preserved)")
+                self.warn("unsupported_field", reason=why.MERGE_FIELD)
             if other:
-                self.warn("unsupported_field", reason="Semantic field result contained non-run inline content; downgraded to text runs")
+                self.warn("unsupported_field", reason=why.FIELD_DOWNGRADED)
         elif family == "toc":
             for switch in odd:
                 self.warn("unsupported_toc_switch", switch=switch)
@@ -733,13 +734,13 @@ class Reader:
         else:
             self.inlines += results
             if said.upper().startswith("HYPERLINK"):
-                self.drop("Malformed or unsupported hyperlink URL" if results else "Field with no result text")
+                self.drop(why.LINK_URL if results else why.FIELD_WITHOUT_RESULT)
             elif said and results:
-                self.warn("unsupported_field", reason="Unrecognized field type; result text preserved")
+                self.warn("unsupported_field", reason=why.FIELD_UNRECOGNIZED)
             elif said:
-                self.drop("Dropped unsupported field type with no result")
+                self.drop(why.UNSUPPORTED_WITHOUT_RESULT)
             else:
-                self.drop("Field with no instruction text" if results else "Field with no instruction and no result")
+                self.drop(why.FIELD_WITHOUT_INSTRUCTION if results else why.FIELD_WITH_NEITHER)
         self.run_style = f.style
 
     def link(self, target: dict, results: list[dict]) -> None:
@@ -755,7 +756,7 @@ class Reader:
                 open_link = None
                 self.inlines.append(x)
         if not any(x["type"] == "hyperlink" for x in self.inlines[before:]):
-            self.drop("Hyperlink field had no text runs for clickable content" if results else "Field with no result text")
+            self.drop(why.LINK_WITHOUT_RUNS if results else why.FIELD_WITHOUT_RESULT)
 
     # ---- tables
 
@@ -820,20 +821,20 @@ class Reader:
         while len(self.tables) > depth and len(self.tables) > 1:
             self.end_table()
         if not self.tables and depth > 1:
-            self.malformed("Nested table start without parent row context")
+            self.malformed(why.NESTED_OUTSIDE)
         while self.tables and len(self.tables) < depth:
             if len(self.tables) >= self.limits.max_table_nesting_depth:
                 raise InvalidDocument("invalid_structure", f"Table nesting depth exceeds maximum {self.limits.max_table_nesting_depth}")
             if self.tables[-1].row is None:
-                self.malformed("Nested table start without parent row context")
+                self.malformed(why.NESTED_OUTSIDE)
                 break
             self.end_paragraph()
             self.cell()
             self.begin_table()
         if self.tables and self.tables[-1].row is not None:
-            self.auto_close_cell("Unclosed table cell at row boundary")
+            self.auto_close_cell(why.CELL_AT_ROW_BOUNDARY)
             self.warn("unclosed_table_row")
-            self.drop("Unclosed table row at new row definition")
+            self.drop(why.ROW_AT_NEW_ROW)
             self.end_row()
         if not self.tables:  # text that waits goes to the first cell
             self.begin_table()
@@ -857,8 +858,8 @@ class Reader:
     def end_cell_word(self) -> None:
         self.finish_children()
         if not self.tables or self.tables[-1].row is None:
-            self.malformed("\\cell encountered outside table context")
-            self.drop("Table cell control outside table context")
+            self.malformed(why.CELL_OUTSIDE)
+            self.drop(why.CELL_CONTROL_OUTSIDE)
             self.end_paragraph()
             return
         self.end_paragraph()
@@ -867,11 +868,11 @@ class Reader:
     def end_row_word(self) -> None:
         self.finish_children()
         if not self.tables or self.tables[-1].row is None:
-            self.malformed("\\row encountered outside table context")
-            self.drop("Table row control outside table context")
+            self.malformed(why.ROW_OUTSIDE)
+            self.drop(why.ROW_CONTROL_OUTSIDE)
             return
         self.tables[-1].define.commit()
-        self.auto_close_cell("Unclosed table cell at row end")
+        self.auto_close_cell(why.CELL_AT_ROW_END)
         self.end_row()
         self.intbl = False
 
@@ -885,7 +886,7 @@ class Reader:
             if width > 0 or not i and d.right[i] > 0:
                 cell["width_twips"] = width
             else:
-                self.malformed(f"Non-increasing \\cellx boundaries at cell {i}")
+                self.malformed(why.CELL_EDGES.format(i))
         for name in ("merge", "v_align"):
             if name in said:
                 cell[name] = said[name]
@@ -932,8 +933,8 @@ class Reader:
         d, cells = t.define, t.row
         t.row = None
         if d.right and len(cells) != len(d.right):
-            self.malformed(f"Cell count ({len(cells)}) does not match \\cellx count ({len(d.right)})")
-            self.drop("Table cell count mismatch")
+            self.malformed(why.CELL_COUNTS.format(len(cells), len(d.right)))
+            self.drop(why.CELL_COUNT_MISMATCH)
         props = {k: d.row[k] for k in ("alignment", "left_indent", "cell_gap_twips") if k in d.row}
         if shading := self.shaded(d.row.get("cbpat"), d.row.get("cfpat"), d.row.get("shading")):
             props["shading"] = shading
@@ -972,16 +973,16 @@ class Reader:
                 continue
             if cells[i].get("merge") == "horizontal_continue":
                 del cells[i]["merge"]
-                self.warn("merge_conflict", reason="Orphan merge continuation without start - treating as standalone cell")
-                self.drop("merge_semantics")
+                self.warn("merge_conflict", reason=why.ORPHAN_MERGE)
+                self.drop(why.MERGE_SEMANTICS)
             i += 1
 
     def end_table(self) -> None:
         t = self.tables[-1]
         if t.row is not None:
-            self.auto_close_cell("Unclosed table cell at document end")
+            self.auto_close_cell(why.CELL_AT_DOCUMENT_END)
             self.warn("unclosed_table_row")
-            self.drop("Unclosed table row at document end")
+            self.drop(why.ROW_AT_END)
             self.end_row()
         self.tables.pop()
         if not t.rows:
