@@ -165,7 +165,7 @@ class Packer:
             yield from self.sealed(window)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset). `vocabulary` is a path that every executor can open.
 
     No shuffle: a task holds its open windows alone, of which there are few at each level.
