@@ -18,6 +18,8 @@ from scrivel.operators import tokens as T
 from scrivel.operators.render import all_warnings, convert_to_docx, convert_to_html, convert_to_pdf, convert_to_typst, docx_elements, docx_paragraphs, mapping_warnings, pdf_pages
 from scrivel.sources.rtf import document, encode_rows, encode_text, escaped
 
+#: Keys of one document, where a group's rows are more than a document may hold.
+PART = 1000
 STATS = ("paragraph_count", "run_count", "bytes_processed", "duration_ms")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -558,10 +560,13 @@ WITH t AS (SELECT p_brand, row_number() OVER w - 1 AS pos, sum(p_size * 10) OVER
 SELECT p_brand AS doc_id, CAST(max(total) AS BIGINT) AS total, CAST(min(pos) FILTER (total > 5000) AS BIGINT) AS failed_at FROM t GROUP BY p_brand
 """)
 def image_budget(spark, sf_dir):
+    """A brand's pictures stand in documents of PART keys each, as all of them are more than a document may have bytes; the budget runs through a brand's documents."""
     picture = F.concat(F.lit("{\\pict\\pngblip "), F.expr("repeat('0a', p_size * 10)"), F.lit("}"))
-    docs = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(document(joined(picture, F.col("p_partkey"))).alias("rtf"))
-    images = P.table(P.parse(docs, want=("nodes",)), "nodes").where("node_type = 'image'")
-    return A.within_budget(images.select("doc_id", F.get("path", F.lit(0)).cast("long").alias("pos"), F.col("image_bytes").cast("long").alias("size")), 5000)
+    part = F.struct(F.col("p_brand").alias("doc_id"), F.floor(F.col("p_partkey") / PART).alias("part")).alias("doc_id")
+    docs = read(spark, sf_dir, "part").groupBy(part).agg(document(joined(picture, F.col("p_partkey"))).alias("rtf"))
+    images = F.filter("nodes", lambda x: x["node_type"] == "image")
+    parts = P.parse(docs, want=("nodes.node_type", "nodes.image_bytes")).select("doc_id.*", F.transform(images, lambda x: x["image_bytes"].cast("long")).alias("sizes"))
+    return A.within_budget_of_parts(parts, 5000)
 
 
 @query("""

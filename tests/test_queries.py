@@ -100,3 +100,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.paragraph_count for r in spark.table("parsed").collect()] == [2]
+
+
+def test_pictures_of_a_group_may_be_more_than_a_document_holds(spark, tmp_path):
+    n = 24_000  # of one brand: 12 MB of text
+    rows = spark.range(n).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 2 == 0, "even").when(F.col("id") > 5, "odd").otherwise("few").alias("p_brand"), F.lit(50).alias("p_size"))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    expected = duckdb.sql(Q.ORACLES["image_budget"].replace("FROM part", f"FROM read_parquet('{tmp_path}/part.parquet/*.parquet') part")).fetchall()
+    got = [tuple(r[c] for c in ("doc_id", "total", "failed_at")) for r in Q.QUERIES["image_budget"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(expected) and {r[2] for r in got} == {None, 10}
+
+
+def test_budgets_of_documents_in_parts(spark):
+    parts = [(d, p, [(d * 7 + p * 3 + i) % 5 for i in range((p * d) % 4)]) for d in range(1, 9) for p in range(6)]
+    images = [(d, p * 10 + i, x) for d, p, sizes in parts for i, x in enumerate(sizes)]
+    ranks = {d: {pos: k for k, pos in enumerate(sorted(p for e, p, _ in images if e == d))} for d in range(1, 9)}
+    whole = A.within_budget(spark.createDataFrame([(d, ranks[d][pos], x) for d, pos, x in images], "doc_id long, pos long, size long"), 9)
+    split = A.within_budget_of_parts(spark.createDataFrame(parts, "doc_id long, part long, sizes array<long>"), 9)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
