@@ -86,23 +86,33 @@ def only(operator: str, forget: Callable[[], None] = lambda: None) -> None:
     for k in others:
         _kept.pop(k)()
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # what the C library holds goes back to the system, where it can
-            ctypes.CDLL(None).malloc_trim(0)
+        released()
     _kept[operator] = forget
 
 
+def released() -> None:
+    """What this worker no longer needs goes back to the system, where the C library can: a worker that waits counts with its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def mapped(df: DataFrame, each, schema) -> DataFrame:
-    """df.mapInArrow with batches of bounded bytes, as texts may be long. A bound that the session sets itself is kept."""
+    """df.mapInArrow with batches of bounded bytes, as texts may be long. A bound that the session sets itself is kept. At a task's end its worker gives back what it no longer needs."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark._jsparkSession.sessionState().conf().contains(key):
         spark.conf.set(key, BATCH_BYTES)
-    return df.mapInArrow(each, schema)
+
+    def task(batches):
+        yield from each(batches)
+        released()
+
+    return df.mapInArrow(task, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):

@@ -23,6 +23,8 @@ from scrivel.llm.common import Bounded, mapped, only, slices, texts
 
 #: Fixed value: pretokens of the vocabulary, within ASCII and lower case.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: Text bytes that are cut and encoded at once: lists of a slice's words and the library's answers take many times as much.
+SLICE_BYTES = 1 << 20
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -189,7 +191,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 for doc, ids in zip(part.column("doc_id").to_pylist(), ids_of(texts(part.column("text"))), strict=True):
                     rows.extend(packer.place(doc, ids + end))
                 if len(rows) >= 10_000:

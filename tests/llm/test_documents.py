@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -516,3 +517,50 @@ def test_written_tables_can_be_released(spark):
     release(spark)
     with pytest.raises(Exception, match="not exist"):
         df.count()
+
+
+def test_a_worker_gives_back_what_a_task_no_longer_needs(spark, monkeypatch):
+    class Table:
+        sparkSession = spark
+
+        def mapInArrow(self, each, schema):
+            return each(iter([1, 2]))
+
+    done = []
+    monkeypatch.setattr(common, "released", lambda: done.append("released"))
+    for x in common.mapped(Table(), lambda batches: batches, ""):
+        done.append(x)
+    assert done == [1, 2, "released"]
+
+
+def test_packing_encodes_a_mebibyte_at_once(spark, monkeypatch):
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        partitionId = staticmethod(lambda: 0)
+
+    class Table:
+        sparkSession = spark
+        schema = spark.range(0).withColumn("doc_id", F.col("id")).schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, each, schema):
+            texts = ["word " * 40_000] * 20  # 4 MB
+            return list(each(iter([pa.record_batch([pa.array(range(20)), pa.array(texts)], ["doc_id", "text"])])))
+
+    sizes = []
+
+    class Fake:
+        def many(self, found):
+            sizes.append(sum(map(len, found)))
+            return [b"\2\0\0\0"] * len(found)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Fake())
+    monkeypatch.setattr(packing.encoder, "cache_clear", lambda: None, raising=False)
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    packing.pack(Table(), WORDS)
+    assert sum(sizes) == 20 * 200_000 and max(sizes) <= 1 << 20
