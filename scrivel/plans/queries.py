@@ -693,9 +693,15 @@ def typst_tables(spark, sf_dir):
 # ---- the rest of the reader, one feature each
 
 
-def of_parts(spark, sf_dir, body: F.Column, head: str = "") -> DataFrame:
-    """A document for each part."""
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), document(body, head).alias("rtf"))
+def spread(rows: DataFrame, each: int = 500) -> DataFrame:
+    """Rows dealt out, about `each` to a task, where rows are short and the work on one is long: bytes of input, which splits go by, don't tell it."""
+    return rows.repartition(max(1, -(-rows.count() // each)))
+
+
+def of_parts(spark, sf_dir, body: F.Column, head: str = "", dealt: bool = False) -> DataFrame:
+    """A document for each part; dealt: spread over tasks."""
+    parts = read(spark, sf_dir, "part")
+    return (spread(parts) if dealt else parts).select(F.col("p_partkey").alias("doc_id"), document(body, head).alias("rtf"))
 
 
 def one_of(*forms: str) -> F.Column:
@@ -957,7 +963,7 @@ def pdf_running_heads(spark, sf_dir):
     """Headers of first, even and other pages, and the number of pages, which is known at the end."""
     lines = "x\\par " * 60
     body = F.concat(F.lit("{\\headerf first}{\\headerl even}{\\headerr odd}{\\footer {\\field{\\*\\fldinst NUMPAGES}{\\fldrslt 1}}}" + lines), F.col("p_size").cast("string"))
-    pages = pdf_pages(convert_to_pdf(of_parts(spark, sf_dir, body)))
+    pages = pdf_pages(convert_to_pdf(of_parts(spark, sf_dir, body, dealt=True)))
     return pages.select("doc_id", "page", F.element_at("pieces", -2).alias("head"), F.element_at("pieces", -1).alias("total"))
 
 

@@ -118,3 +118,10 @@ def test_budgets_of_documents_in_parts(spark):
     whole = A.within_budget(spark.createDataFrame([(d, ranks[d][pos], x) for d, pos, x in images], "doc_id long, pos long, size long"), 9)
     split = A.within_budget_of_parts(spark.createDataFrame(parts, "doc_id long, part long, sizes array<long>"), 9)
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_long_work_on_short_rows_is_dealt_out(spark, tmp_path):
+    spark.range(0, 2000, 1, 1).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    found = Q.QUERIES["pdf_running_heads"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 4
+    assert Q.spread(spark.range(0)).count() == 0
