@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Text bytes that an Arrow function works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Bytes that Spark hands over at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def work_dir(spark: SparkSession) -> str:

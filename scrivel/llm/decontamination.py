@@ -31,7 +31,8 @@ from scrivel.llm.fm_index import FMIndex
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 FACTOR = 0x9E3779B97F4A7C15
-PART = 1 << 20
+#: Bytes whose sums are made at once, and bytes of text that are indexed at once: arrays of a slice's words take some twenty times as much.
+PART, SLICE_BYTES = 1 << 18, 1 << 20
 SPANS = "array<struct<start:int,end:int>>"
 #: Windows of a block of the benchmark, and bytes of their words, at most.
 BLOCK, BLOCK_BYTES = 100_000, 32 << 20
@@ -229,7 +230,7 @@ def held_back(batches, most: int):
     """Lists of slices: one at a time, or as many as have `most` bytes of text together."""
     parts, total = [], 0
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", SLICE_BYTES):
             parts.append(part)
             total += part.get_total_buffer_size() if most else 0
             if total >= most:

@@ -564,3 +564,10 @@ def test_packing_encodes_a_mebibyte_at_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "TaskContext", Context)
     packing.pack(Table(), WORDS)
     assert sum(sizes) == 20 * 200_000 and max(sizes) <= 1 << 20
+
+
+def test_decontamination_indexes_a_mebibyte_at_once():
+    batch = pa.record_batch([pa.array(["word " * 40_000] * 20)], ["text"])  # 4 MB
+    sizes = [sum(len(x.as_py()) for x in part.column("text")) for parts in decontamination.held_back([batch], 0) for part in parts]
+    assert sum(sizes) == 20 * 200_000 and max(sizes) <= 1 << 20
+    assert common.BATCH_BYTES <= 2 << 20
