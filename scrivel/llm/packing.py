@@ -19,10 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import Bounded, mapped, only, slices, texts
+from scrivel.llm.common import Bounded, mapped, only, slices, texts, utf8
 
 #: Fixed value: pretokens of the vocabulary, within ASCII and lower case.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: For each byte, whether it stands between spaces; what else is white space is left to the library.
+BETWEEN = ~np.isin(np.arange(256), [9, 10, 13, 32])
 #: Text bytes that are cut and encoded at once: lists of a slice's words and the library's answers take many times as much.
 SLICE_BYTES = 1 << 20
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -56,16 +58,18 @@ class Encoder:
             return self.pieces[lower]  # the vocabulary is of lower case; only the sigma's depends on its neighbours
         return self.inner(piece) if piece else b""
 
-    def learn(self, cut: list[list[str]]) -> None:
-        """Brings what stands between spaces into the cache, all at once: the library encodes many new words in one text, where each ends with an id of a word's end, which tells them apart; the same word with a capital or a sign after it follows."""
+    def turned(self) -> None:
+        """Between slices, so that none loses what it needs."""
+        if len(self.pieces) >= self.pieces.most:
+            self.pieces.turn()
+
+    def learn(self, odd: list[str]) -> None:
+        """Brings what stands between spaces and isn't held into the cache, all at once: the library encodes many new words in one text, where each ends with an id of a word's end, which tells them apart; the same word with a capital or a sign after it follows."""
         known = self.pieces
-        if len(known) >= known.most:  # between slices, so that none loses what it needs
-            known.turn()
         old = known.old
-        odd = set(itertools.chain.from_iterable(cut)).difference(known)
-        again = odd.intersection(old)
-        known.update(zip(again, map(old.__getitem__, again), strict=True))
-        odd -= again
+        kept = list(map(old.get, odd)) if old else [None] * len(odd)
+        known.update((p, ids) for p, ids in zip(odd, kept, strict=True) if ids is not None)
+        odd = [p for p, ids in zip(odd, kept, strict=True) if ids is None]
         words = {p: p.rstrip(".,").lower() for p in odd}
         new = [w for w in set(words.values()).difference(known) if w not in old and w.isalpha() and "\u03c2" not in w and len(w) <= 64]
         lists = [new[i : i + 500] for i in range(0, len(new), 500)]
@@ -88,12 +92,32 @@ class Encoder:
                 known[piece] = ids if sign is None else ids + sign
 
     def many(self, texts: list[str]) -> list[bytes]:
+        """Words are numbered as Arrow columns, so that only distinct ones become objects and are looked up; their ids are gathered by number."""
         if not self.apart:
             return [self.inner(t) for t in texts]
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(cut)
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        off, data = utf8(pa.array(texts, pa.large_string()))
+        inside = BETWEEN[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        heads = off[:-1][off[:-1] < len(data)]
+        first[heads] = inside[heads]  # no word crosses a text's end
+        words = np.append(np.flatnonzero(first[inside]), np.count_nonzero(inside))
+        words = pa.Array.from_buffers(pa.large_string(), len(words) - 1, [None, pa.py_buffer(words), pa.py_buffer(data[inside])]).dictionary_encode()
+        code, distinct = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.turned()
+        found = list(map(self.pieces.get, distinct))
+        odd = [k for k, ids in enumerate(found) if ids is None]
+        self.learn([distinct[k] for k in odd])
+        for k in odd:
+            found[k] = self.pieces[distinct[k]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = sizes[code]
+        to = np.concatenate(([0], np.cumsum(n)))  # where the ids of each word begin and end
+        place = np.repeat((np.cumsum(sizes) - sizes)[code] - to[:-1], n)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(found), "<u4")[place].tobytes()
+        ends = 4 * to[np.searchsorted(np.flatnonzero(first), off)]
+        return [ids[a:b] for a, b in itertools.pairwise(ends.tolist())]
 
 
 @functools.lru_cache(maxsize=2)

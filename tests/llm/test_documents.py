@@ -571,3 +571,13 @@ def test_decontamination_indexes_a_mebibyte_at_once():
     sizes = [sum(len(x.as_py()) for x in part.column("text")) for parts in decontamination.held_back([batch], 0) for part in parts]
     assert sum(sizes) == 20 * 200_000 and max(sizes) <= 1 << 20
     assert common.BATCH_BYTES <= 2 << 20
+
+
+def test_packing_makes_objects_of_distinct_words_alone(monkeypatch):
+    held, asked = packing.Encoder(WORDS), []
+    get = held.pieces.__class__.get
+    monkeypatch.setattr(held.pieces.__class__, "get", lambda self, key, other=None: asked.append(key) or get(self, key, other), raising=False)
+    texts = ["one two\tone\n two, " * 500, "", " ", "One \u00e9t\u00e9 two. <|x|> a1-b2 \u00a0", "one"]
+    assert held.many(texts) == [held.inner(t) for t in texts]
+    assert 0 < len(asked) < 40
+    assert held.many([]) == []
